@@ -215,10 +215,13 @@ def explain_route(routed: DataFrame, rules) -> DataFrame:
     spark = routed.sparkSession
     from ..functions.coercion import js_string
     lkp = spark.createDataFrame(
-        [(r.rule_id, r.field, r.operator, js_string(r.value), r.target, r.category)
+        [(r.rule_id, r.field, r.operator, js_string(r.value),
+          r.value if isinstance(r.value, str) else None,
+          r.value if isinstance(r.value, float) else None, r.target, r.category)
          for r in rs],
         "matched_rule_id string, rule_field string, rule_operator string, "
-        "rule_value string, rule_target string, rule_category string")
+        "rule_value string, rule_value_str string, rule_value_num double, "
+        "rule_target string, rule_category string")
     return routed.join(F.broadcast(lkp), "matched_rule_id", "left")
 
 

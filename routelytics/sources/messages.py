@@ -89,6 +89,16 @@ def read_messages_json(spark: SparkSession, path: str, schema=MESSAGE) -> DataFr
     return spark.read.schema(schema).json(path)
 
 
+def stream_path(path: str) -> str:
+    """A file stream source lists a directory, or the files a glob matches; a
+    single file is given as a one-file glob (the source would otherwise take
+    the file itself as the partition base path)."""
+    import os
+    if os.path.isfile(path):
+        return path[:-1] + "[" + path[-1] + "]"
+    return path
+
+
 def read_messages_stream(spark: SparkSession, path: str, schema,
                          fmt: str = "parquet", start: str = "latest",
                          max_files_per_trigger: int | None = None) -> DataFrame:
@@ -103,7 +113,7 @@ def read_messages_stream(spark: SparkSession, path: str, schema,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if start == "latest":
         reader = reader.option("latestFirst", "false")
-    return reader.load(path)
+    return reader.load(stream_path(path))
 
 
 def read_queue(routed: DataFrame, queue: str) -> DataFrame:
