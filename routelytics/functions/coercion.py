@@ -1,5 +1,9 @@
 """Dynamic-value helpers: JavaScript-style Number(x), String(x) and truthiness
-as Spark Column expressions (all JVM-side, codegen-friendly).
+as Spark SQL expressions (all JVM-side, codegen-friendly).
+
+The helpers build SQL text (``*_sql``), so a compiled rule chain is handed to
+the JVM as one expression string instead of thousands of py4j Column calls;
+``Column`` wrappers are provided for DataFrame code.
 
 Spark differences neutralised here: ``NaN > x`` is true in Spark, so every
 numeric comparison is guarded with ``isnan``; ``try_cast('' as double)`` is NULL
@@ -14,13 +18,38 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DataType, NumericType, StringType)
+from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 DECIMAL_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 HEX_RE = r"^0[xX][0-9a-fA-F]+$"
 _NAN = float("nan")
 
 
+# --------------------------------------------------------------------------
+# SQL literal helpers
+# --------------------------------------------------------------------------
+def q_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def q_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def q_double(v: float) -> str:
+    if math.isnan(v):
+        return "CAST('NaN' AS DOUBLE)"
+    if math.isinf(v):
+        return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
+    r = repr(float(v))
+    if "e" in r or "E" in r:
+        return f"CAST('{r}' AS DOUBLE)"
+    return f"{r}D"
+
+
+NAN_SQL = q_double(_NAN)
+
+
 # --------------------------------------------------------------------------
 # driver-side (rule values are literals)
 # --------------------------------------------------------------------------
@@ -72,73 +101,90 @@ def js_string(value) -> str:
 
 
 # --------------------------------------------------------------------------
-# column-side
+# SQL text builders (``c`` is a SQL expression, e.g. a quoted column)
 # --------------------------------------------------------------------------
-def string_to_number(c: Column) -> Column:
+def string_to_number_sql(c: str) -> str:
     """Number(text): trimmed; empty -> 0; decimal; hex; +-Infinity; else NaN.
     SQL NULL (missing) -> NaN."""
-    t = F.trim(c)
-    return (
-        F.when(c.isNull(), F.lit(_NAN))
-        .when(t == "", F.lit(0.0))
-        .when(t.rlike(DECIMAL_RE), t.try_cast("double"))
-        .when(t.rlike(HEX_RE),
-              F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double"))
-        .when(t.isin("Infinity", "+Infinity"), F.lit(math.inf))
-        .when(t == "-Infinity", F.lit(-math.inf))
-        .otherwise(F.lit(_NAN))
-    )
-
-
-def to_number(c: Column, dtype: DataType) -> Column:
+    t = f"trim({c})"
+    return (f"CASE WHEN {c} IS NULL THEN {NAN_SQL} "
+            f"WHEN {t} = '' THEN 0.0D "
+            f"WHEN {t} RLIKE {q_str(DECIMAL_RE)} THEN try_cast({t} AS DOUBLE) "
+            f"WHEN {t} RLIKE {q_str(HEX_RE)} THEN try_cast(conv(substring({t}, 3), 16, 10) AS DOUBLE) "
+            f"WHEN {t} IN ('Infinity', '+Infinity') THEN {q_double(math.inf)} "
+            f"WHEN {t} = '-Infinity' THEN {q_double(-math.inf)} "
+            f"ELSE {NAN_SQL} END")
+
+
+def to_number_sql(c: str, dtype: DataType) -> str:
     """Number(x) for a typed column; SQL NULL is treated as missing -> NaN."""
     if isinstance(dtype, BooleanType):
-        return F.when(c.isNull(), F.lit(_NAN)).otherwise(c.cast("double"))
+        return f"CASE WHEN {c} IS NULL THEN {NAN_SQL} ELSE CAST({c} AS DOUBLE) END"
     if isinstance(dtype, NumericType):
-        return F.coalesce(c.cast("double"), F.lit(_NAN))
+        return f"coalesce(CAST({c} AS DOUBLE), {NAN_SQL})"
     if isinstance(dtype, StringType):
-        return string_to_number(c)
-    return F.lit(_NAN)
+        return string_to_number_sql(c)
+    return NAN_SQL
 
 
-def number_to_js_string(x: Column) -> Column:
+def number_to_js_string_sql(x: str) -> str:
     """String(number) as JavaScript prints it: integers without '.0', plain
     decimals between 1e-7 and 1e21, exponent form 'de+N' otherwise."""
-    ax = F.abs(x)
-    integral = (x == F.floor(x)) & (ax < F.lit(1e21))
-    big = F.regexp_replace(
-        F.regexp_replace(x.cast("decimal(38,16)").cast("string"), r"0+$", ""), r"\.$", "")
-    small = F.regexp_replace(
-        F.regexp_replace(x.cast("decimal(38,37)").cast("string"), r"0+$", ""), r"\.$", "")
-    java = x.cast("string")  # e.g. 1.5E-8
-    mant = F.regexp_replace(F.split(java, "E").getItem(0), r"\.0$", "")
-    exp = F.split(java, "E").getItem(1).try_cast("int")
-    expo = F.concat(mant, F.lit("e"), F.when(exp > 0, F.lit("+")).otherwise(F.lit("")),
-                    exp.cast("string"))
-    return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), F.lit("NaN"))
-        .when(x == F.lit(math.inf), F.lit("Infinity"))
-        .when(x == F.lit(-math.inf), F.lit("-Infinity"))
-        .when(x == 0, F.lit("0"))
-        .when(integral, x.cast("decimal(38,0)").cast("string"))
-        .when((ax >= 1) & (ax < F.lit(1e21)), big)
-        .when((ax >= F.lit(1e-7)) & (ax < 1), small)
-        .otherwise(expo)
-    )
-
-
-def to_js_string(c: Column, dtype: DataType) -> Column:
+    strip = lambda e: f"regexp_replace(regexp_replace({e}, '0+$', ''), '\\\\.$', '')"
+    big = strip(f"CAST(CAST({x} AS DECIMAL(38,16)) AS STRING)")
+    small = strip(f"CAST(CAST({x} AS DECIMAL(38,37)) AS STRING)")
+    java = f"CAST({x} AS STRING)"
+    mant = f"regexp_replace(split({java}, 'E')[0], '\\\\.0$', '')"
+    exp = f"try_cast(split({java}, 'E')[1] AS INT)"
+    expo = f"concat({mant}, 'e', CASE WHEN {exp} > 0 THEN '+' ELSE '' END, CAST({exp} AS STRING))"
+    return (f"CASE WHEN {x} IS NULL THEN CAST(NULL AS STRING) "
+            f"WHEN isnan({x}) THEN 'NaN' "
+            f"WHEN {x} = {q_double(math.inf)} THEN 'Infinity' "
+            f"WHEN {x} = {q_double(-math.inf)} THEN '-Infinity' "
+            f"WHEN {x} = 0 THEN '0' "
+            f"WHEN {x} = floor({x}) AND abs({x}) < {q_double(1e21)} THEN CAST(CAST({x} AS DECIMAL(38,0)) AS STRING) "
+            f"WHEN abs({x}) >= 1 AND abs({x}) < {q_double(1e21)} THEN {big} "
+            f"WHEN abs({x}) >= {q_double(1e-7)} AND abs({x}) < 1 THEN {small} "
+            f"ELSE {expo} END")
+
+
+def to_js_string_sql(c: str, dtype: DataType) -> str:
     """String(x) for a typed column; NULL (missing) -> 'undefined'."""
     if isinstance(dtype, StringType):
         s = c
     elif isinstance(dtype, BooleanType):
-        s = F.when(c, F.lit("true")).when(~c, F.lit("false"))
+        s = f"CASE WHEN {c} THEN 'true' WHEN NOT {c} THEN 'false' END"
     elif isinstance(dtype, NumericType):
-        s = number_to_js_string(c.cast("double"))
+        s = number_to_js_string_sql(f"CAST({c} AS DOUBLE)")
     else:
-        s = c.cast("string")
-    return F.coalesce(s, F.lit("undefined"))
+        s = f"CAST({c} AS STRING)"
+    return f"coalesce({s}, 'undefined')"
+
+
+def num_cmp_sql(x: str, op: str, v: float) -> str:
+    """JS ``x > v`` / ``x < v`` on a double expression: NaN and NULL never match."""
+    if math.isnan(v):
+        return "false"
+    return f"coalesce(NOT isnan({x}) AND {x} {op} {q_double(v)}, false)"
+
+
+# --------------------------------------------------------------------------
+# Column wrappers
+# --------------------------------------------------------------------------
+def string_to_number(name: str) -> Column:
+    return F.expr(string_to_number_sql(q_ident(name)))
+
+
+def to_number(name: str, dtype: DataType) -> Column:
+    return F.expr(to_number_sql(q_ident(name), dtype))
+
+
+def to_js_string(name: str, dtype: DataType) -> Column:
+    return F.expr(to_js_string_sql(q_ident(name), dtype))
+
+
+def number_to_js_string(name: str) -> Column:
+    return F.expr(number_to_js_string_sql(q_ident(name)))
 
 
 def falsy_to_null(c: Column, dtype: DataType) -> Column:
@@ -150,16 +196,3 @@ def falsy_to_null(c: Column, dtype: DataType) -> Column:
     if isinstance(dtype, NumericType):
         return F.when((c != 0) & ~F.isnan(c.cast("double")), c)
     return c
-
-
-def num_gt(x: Column, v: float) -> Column:
-    """JS ``x > v`` on a double column: NaN and NULL never match."""
-    if math.isnan(v):
-        return F.lit(False)
-    return F.coalesce(~F.isnan(x) & (x > F.lit(v)), F.lit(False))
-
-
-def num_lt(x: Column, v: float) -> Column:
-    if math.isnan(v):
-        return F.lit(False)
-    return F.coalesce(~F.isnan(x) & (x < F.lit(v)), F.lit(False))

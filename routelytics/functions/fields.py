@@ -16,10 +16,12 @@ def camel_to_snake(name: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
 
 
-def resolve_field(df: DataFrame, field: str | None) -> str | None:
+def resolve_field(df, field: str | None) -> str | None:
+    """``df`` is a DataFrame or a StructType (pass the schema when resolving
+    many fields: each ``df.columns`` is a round trip to the JVM)."""
     if not field:
         return None
-    cols = df.columns
+    cols = df.names if hasattr(df, "names") else df.columns
     if field in cols:
         return field
     lower = {c.lower(): c for c in cols}

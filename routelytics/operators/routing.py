@@ -27,9 +27,9 @@ from pyspark.sql.types import NumericType, StringType
 from ..constants import (BATCH_QUEUE, DEFAULT_LABEL, NAIVE_QUEUE,
                          NAIVE_RULE_LABEL, OTHER_DELIVERY_PRIORITY,
                          URGENT_DELIVERY_PRIORITY, URGENT_QUEUE)
-from ..functions.coercion import js_number, to_number
+from ..functions.coercion import js_number, q_ident, q_str, to_number_sql
 from ..functions.fields import resolve_field
-from .rules import Rule, collect_rules, predicate
+from .rules import Rule, collect_rules, predicate, predicate_sql
 
 CHAIN_MAX_RULES = 80
 _POS = "matched_position"
@@ -51,11 +51,16 @@ def delivery_priority(queue: Column) -> Column:
 # ---------------------------------------------------------------------------
 def first_match_chain(df: DataFrame, rules: list[Rule]) -> Column:
     """Position of the first matching rule, NULL if none."""
-    expr = None
-    for i, r in enumerate(rules):
-        p = predicate(df, r)
-        expr = F.when(p, F.lit(i)) if expr is None else expr.when(p, F.lit(i))
-    return expr if expr is not None else F.lit(None).cast("int")
+    if not rules:
+        return F.lit(None).cast("int")
+    return F.expr(_chain_sql(df.schema, list(enumerate(rules))))
+
+
+def _chain_sql(schema, items) -> str:
+    """``CASE WHEN p0 THEN 0 WHEN p1 THEN 1 ... END`` as one SQL expression:
+    a single parse on the JVM instead of a py4j call per Column operation."""
+    whens = " ".join(f"WHEN {predicate_sql(schema, r)} THEN {i}" for i, r in items)
+    return f"CASE {whens} END"
 
 
 # ---------------------------------------------------------------------------
@@ -100,9 +105,10 @@ def first_match_decomposed(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame,
     eq_groups: dict[tuple[str, str], dict] = defaultdict(dict)
     thr_groups: dict[tuple[str, str], list] = defaultdict(list)
     chain: list[tuple[int, Rule]] = []
+    schema = df.schema
     for pos, r in enumerate(rules):
-        name = resolve_field(df, r.field)
-        dtype = df.schema[name].dataType if name else None
+        name = resolve_field(schema, r.field)
+        dtype = schema[name].dataType if name else None
         if r.operator == "equals" and name is not None:
             if isinstance(r.value, str) and isinstance(dtype, StringType):
                 eq_groups[(name, "string")].setdefault(r.value, pos)
@@ -130,8 +136,8 @@ def first_match_decomposed(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame,
         parts.append(F.col(out))
         drop.append(out)
     for k, ((name, op), items) in enumerate(thr_groups.items()):
-        dtype = df.schema[name].dataType
-        x = to_number(F.col(f"`{name}`"), dtype)
+        dtype = schema[name].dataType
+        x = F.expr(to_number_sql(q_ident(name), dtype))
         if op == "greaterThan":                        # x > t  <=>  -x < -t
             df, pos = _threshold_lookup(df, -x, [(-t, p) for t, p in items], f"g{k}")
             drop += [f"_bx_g{k}", f"_bk_g{k}"]
@@ -140,11 +146,7 @@ def first_match_decomposed(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame,
             drop += [f"_bx_l{k}", f"_bk_l{k}"]
         parts.append(pos)
     if chain:
-        expr = None
-        for pos, r in chain:
-            p = predicate(df, r)
-            expr = F.when(p, F.lit(pos)) if expr is None else expr.when(p, F.lit(pos))
-        parts.append(expr)
+        parts.append(F.expr(_chain_sql(schema, chain)))
     if not parts:
         return df, F.lit(None).cast("int"), drop
     res = parts[0] if len(parts) == 1 else F.least(*parts)
@@ -177,14 +179,21 @@ def route(df: DataFrame, rules, method: str = "auto") -> DataFrame:
 def _decorate(df: DataFrame, rs: list[Rule]) -> DataFrame:
     def pick(values, dtype):
         if not rs:
-            return F.lit(None).cast(dtype)
-        arr = F.array(*[F.lit(v).cast(dtype) for v in values])
-        return F.when(F.col(_POS).isNotNull(), F.element_at(arr, F.col(_POS) + 1))
-    label = F.coalesce(pick([r.target for r in rs], "string"), F.lit(DEFAULT_LABEL))
-    return (df.withColumn("matched_rule_id", pick([r.rule_id for r in rs], "string"))
-              .withColumn("matched_priority", pick([r.priority for r in rs], "int"))
-              .withColumn("matched_rule", label)
-              .withColumn("target_queue", queue_name(F.col("matched_rule"))))
+            return f"CAST(NULL AS {dtype})"
+        lits = ", ".join("NULL" if v is None else (q_str(v) if isinstance(v, str) else str(v))
+                         for v in values)
+        return (f"CASE WHEN {_POS} IS NOT NULL THEN "
+                f"element_at(array({lits}), {_POS} + 1) END")
+    label = f"coalesce({pick([r.target for r in rs], 'STRING')}, {q_str(DEFAULT_LABEL)})"
+    keep = [q_ident(c) for c in df.columns if c not in
+            ("matched_rule_id", "matched_priority", "matched_rule", "target_queue")]
+    return df.selectExpr(
+        *keep,
+        f"{pick([r.rule_id for r in rs], 'STRING')} AS matched_rule_id",
+        f"CAST({pick([r.priority for r in rs], 'INT')} AS INT) AS matched_priority",
+        f"{label} AS matched_rule",
+        f"CASE WHEN {label} = {q_str('urgent')} THEN {q_str(URGENT_QUEUE)} "
+        f"ELSE {q_str(BATCH_QUEUE)} END AS target_queue")
 
 
 def route_join_form(df: DataFrame, rules, key: str = "id") -> DataFrame:
@@ -194,13 +203,15 @@ def route_join_form(df: DataFrame, rules, key: str = "id") -> DataFrame:
     rs = collect_rules(rules)
     spark = df.sparkSession
     cond = None
-    # one OR over (position == i AND predicate_i): Spark evaluates it as a
-    # BroadcastNestedLoopJoin against at most MAX_RULES rows.
+    # CASE on the rule position: Spark evaluates it as a BroadcastNestedLoopJoin
+    # against at most MAX_RULES rows, one predicate per pair.
     pos_df = spark.createDataFrame([(i,) for i in range(len(rs))], "_rpos int")
-    for i, r in enumerate(rs):
-        c = (F.col("_rpos") == i) & predicate(df, r)
-        cond = c if cond is None else (cond | c)
-    if cond is None:
+    # evaluate only the predicate of the rule on the other side of the pair
+    schema = df.schema
+    if rs:
+        whens = " ".join(f"WHEN {i} THEN {predicate_sql(schema, r)}" for i, r in enumerate(rs))
+        cond = F.expr(f"CASE _rpos {whens} ELSE false END")
+    else:
         cond = F.lit(False)
     m = (df.select(key, *[c for c in df.columns if c != key])
            .join(F.broadcast(pos_df), cond, "left")

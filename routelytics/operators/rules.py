@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import OPERATORS
-from ..functions.coercion import (js_number, js_string, num_gt, num_lt,
-                                  to_js_string, to_number)
+from ..functions.coercion import (js_number, js_string, num_cmp_sql, q_double,
+                                  q_ident, q_str, to_js_string_sql, to_number_sql)
 from ..functions.fields import resolve_field
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
@@ -72,33 +72,39 @@ def collect_rules(rules: DataFrame | Iterable) -> list[Rule]:
     return sorted(out, key=lambda r: (r.priority, r.rule_id))
 
 
-def predicate(df: DataFrame, rule: Rule) -> Column:
-    """One rule as a boolean Column (never NULL)."""
-    name = resolve_field(df, rule.field)
+def predicate_sql(schema, rule: Rule) -> str:
+    """One rule as a boolean SQL expression (never NULL) over ``schema``."""
+    name = resolve_field(schema, rule.field)
     op, v = rule.operator, rule.value
     if op not in OPERATORS:
-        return F.lit(False)                                  # R5
+        return "false"                                       # R5
     if name is None:                                         # missing field
         if op == "contains":
-            return F.lit(js_string(v) in "undefined")
-        return F.lit(False)
-    c = F.col(f"`{name}`")
-    dtype = df.schema[name].dataType
+            return "true" if js_string(v) in "undefined" else "false"
+        return "false"
+    c = q_ident(name)
+    dtype = schema[name].dataType
     if op == "equals":                                       # R1, strict
         if isinstance(v, float):
             if not isinstance(dtype, NumericType) or math.isnan(v):
-                return F.lit(False)
-            x = c.cast("double")
-            return F.coalesce(~F.isnan(x) & (x == F.lit(v)), F.lit(False))
+                return "false"
+            x = f"CAST({c} AS DOUBLE)"
+            return f"coalesce(NOT isnan({x}) AND {x} = {q_double(v)}, false)"
         if isinstance(v, str) and isinstance(dtype, StringType):
-            return F.coalesce(c == F.lit(v), F.lit(False))
-        return F.lit(False)
+            return f"coalesce({c} = {q_str(v)}, false)"
+        return "false"
     if op == "contains":                                     # R2
-        return F.coalesce(to_js_string(c, dtype).contains(F.lit(js_string(v))), F.lit(False))
-    x = to_number(c, dtype)
+        return f"coalesce(contains({to_js_string_sql(c, dtype)}, {q_str(js_string(v))}), false)"
+    x = to_number_sql(c, dtype)
     if op == "greaterThan":                                  # R3
-        return num_gt(x, js_number(v))
-    return num_lt(x, js_number(v))                           # R4
+        return num_cmp_sql(f"({x})", ">", js_number(v))
+    return num_cmp_sql(f"({x})", "<", js_number(v))          # R4
+
+
+def predicate(df, rule: Rule) -> Column:
+    """One rule as a boolean Column.  ``df`` is the DataFrame or its schema."""
+    schema = df if hasattr(df, "names") else df.schema
+    return F.expr(predicate_sql(schema, rule))
 
 
 # ---------------------------------------------------------------------------
@@ -120,7 +126,7 @@ def type_rule_values(df: DataFrame, text_col: str = "value_text") -> DataFrame:
     """Form text that is numeric becomes a number, otherwise stays text.
     ``isNaN(Number(x))`` decides: blank text is the number 0."""
     from ..functions.coercion import string_to_number
-    n = string_to_number(F.col(text_col))
+    n = string_to_number(text_col)
     is_num = ~F.isnan(n)
     return (df.withColumn("value_num", F.when(is_num, n))
               .withColumn("value_str", F.when(~is_num, F.col(text_col)))

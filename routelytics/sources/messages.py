@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (ALL_PRIORITIES, ALL_REGIONS, BATCH_TYPES, CURRENCIES,
                          FRAUD_TYPES, SOURCES, URGENT_TYPES)
+from ..functions.coercion import q_str
 from ..schemas import MESSAGE
 
 # group -> type pool and amount scale (groups are event_id % 4)
@@ -33,49 +34,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def _pick(pool: list[str], idx: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in pool]), (idx + 1).cast("int"))
+def _pick(pool: list[str], idx: str) -> str:
+    arr = ", ".join(q_str(v) for v in pool)
+    return f"element_at(array({arr}), CAST(({idx}) + 1 AS INT))"
 
 
-def _pad_id(prefix: str, n: Column, width: int) -> Column:
-    s = n.cast("string")
+def _pad_id(prefix: str, n: str, width: int) -> str:
+    s = f"CAST({n} AS STRING)"
     # lpad truncates longer values; pad only up to max(width, len)
-    return F.concat(F.lit(prefix), F.lpad(s, F.greatest(F.lit(width), F.length(s)), "0"))
+    return f"concat({q_str(prefix)}, lpad({s}, greatest({width}, length({s})), '0'))"
 
 
 def message_columns(events: DataFrame) -> DataFrame:
     """events -> one message per event (schema MESSAGE + fixture extras:
-    latency_ms, ts_ms, processed_ms)."""
-    eid = F.col("event_id")
-    uid = F.col("user_id")
-    g = eid % 4
-    e4 = F.floor(eid / 4)
-    type_col = (F.when(g == 0, _pick(TYPE_POOLS[0], e4 % len(TYPE_POOLS[0])))
-                .when(g == 1, _pick(TYPE_POOLS[1], e4 % len(TYPE_POOLS[1])))
-                .when(g == 2, _pick(TYPE_POOLS[2], e4 % len(TYPE_POOLS[2])))
-                .otherwise(_pick(TYPE_POOLS[3], e4 % len(TYPE_POOLS[3]))))
-    scale = (F.when(g == 0, F.lit(AMOUNT_SCALE[0])).when(g == 1, F.lit(AMOUNT_SCALE[1]))
-             .when(g == 2, F.lit(AMOUNT_SCALE[2])).otherwise(F.lit(AMOUNT_SCALE[3])))
-    ts = F.col("ts").cast("timestamp")
-    ts_ms = F.unix_millis(ts)
-    k = F.get_json_object(F.col("props"), "$.k")
-    return events.select(
-        _pad_id("msg-", eid, 6).alias("id"),
-        ts.alias("ts"),
-        type_col.alias("type"),
-        _pick(PRIORITY_POOL, uid % len(PRIORITY_POOL)).alias("priority"),
-        F.when(eid % 7 == 2, F.lit(None).cast("double"))
-         .otherwise(F.col("value") * scale).alias("amount"),
-        (k.try_cast("double") / F.lit(100.0)).alias("risk_score"),
-        _pick(ALL_REGIONS, uid % len(ALL_REGIONS)).alias("region"),
-        _pick(CURRENCIES, uid % len(CURRENCIES)).alias("currency"),
-        _pad_id("user-", uid, 4).alias("user_id"),
-        _pick(SOURCES, eid % len(SOURCES)).alias("source"),
-        F.concat(F.lit("bench-"), (e4 % 2).cast("string")).alias("benchmark_id"),
-        (g != 3).alias("is_critical"),
-        ((eid * 37) % 400).cast("double").alias("latency_ms"),
-        ts_ms.alias("ts_ms"),
-        F.when(eid % 5 != 0, ts_ms + (eid * 13) % 9000).alias("processed_ms"),
+    latency_ms, ts_ms, processed_ms).  One ``selectExpr``: a narrow projection
+    that stays inside whole-stage codegen."""
+    g, e4 = "(event_id % 4)", "floor(event_id / 4)"
+    types = " ".join(f"WHEN {i} THEN {_pick(p, f'{e4} % {len(p)}')}" for i, p in enumerate(TYPE_POOLS))
+    scale = " ".join(f"WHEN {i} THEN {v!r}D" for i, v in enumerate(AMOUNT_SCALE))
+    ts = "CAST(ts AS TIMESTAMP)"
+    ts_ms = f"unix_millis({ts})"
+    return events.selectExpr(
+        f"{_pad_id('msg-', 'event_id', 6)} AS id",
+        f"{ts} AS ts",
+        f"CASE {g} {types} END AS type",
+        f"{_pick(PRIORITY_POOL, f'user_id % {len(PRIORITY_POOL)}')} AS priority",
+        f"CASE WHEN event_id % 7 = 2 THEN CAST(NULL AS DOUBLE) ELSE value * (CASE {g} {scale} END) END AS amount",
+        "try_cast(get_json_object(props, '$.k') AS DOUBLE) / 100.0D AS risk_score",
+        f"{_pick(ALL_REGIONS, f'user_id % {len(ALL_REGIONS)}')} AS region",
+        f"{_pick(CURRENCIES, f'user_id % {len(CURRENCIES)}')} AS currency",
+        f"{_pad_id('user-', 'user_id', 4)} AS user_id",
+        f"{_pick(SOURCES, f'event_id % {len(SOURCES)}')} AS source",
+        f"concat('bench-', CAST({e4} % 2 AS STRING)) AS benchmark_id",
+        f"{g} <> 3 AS is_critical",
+        "CAST((event_id * 37) % 400 AS DOUBLE) AS latency_ms",
+        f"{ts_ms} AS ts_ms",
+        f"CASE WHEN event_id % 5 <> 0 THEN {ts_ms} + (event_id * 13) % 9000 END AS processed_ms",
     )
 
 
