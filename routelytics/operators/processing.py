@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..constants import (BATCH_ACTION_COST_MS, BATCH_SIZE, BATCH_TIMEOUT_MS,
                          URGENT_ACTION_AMOUNT, URGENT_ACTION_COST_MS,
                          URGENT_ACTION_RISK)
-from .scan import ordered_scan
+from pyspark.sql import Window
+
+from .scan import BLK, assign_blocks, block_bounds
 
 
 def urgent_action(type_col: Column, amount: Column, risk: Column) -> Column:
@@ -55,7 +57,7 @@ def classify_batch_action(df: DataFrame, type_col="type") -> DataFrame:
 
 def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
                   shard: str | None = None, size: int = BATCH_SIZE,
-                  timeout_ms: int = BATCH_TIMEOUT_MS) -> DataFrame:
+                  timeout_ms: int = BATCH_TIMEOUT_MS, blocks: int | None = None) -> DataFrame:
     """The batch consumer's count-or-idle-timeout batches, replayed on event
     time.  A batch closes at ``size`` messages, or when the next message comes
     ``timeout_ms`` or more after the previous one (the timer restarts on every
@@ -63,24 +65,46 @@ def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
     ``size``.
 
     One collector is one ordered sequence (``shard=None``); a ``shard`` column
-    models several collectors.  Both are computed with the distributed ordered
-    scan: position, previous time stamp and the run start are prefix scans, so
-    no sequence is gathered into one task.
-
-    Adds ``chunk_start`` (position of the run start), ``chunk_no`` (within the
-    run), ``chunk_id`` (string key) and ``pos``."""
+    models several collectors.  Neither is gathered into one task: the sequence
+    is cut into blocks at fixed time cut points (see ``scan``); each block finds
+    its rank, previous stamp and last local run start with one window; a tiny
+    window over the per-block summaries carries counts, the previous block's
+    last stamp and the run start in effect across block borders.
+
+    Adds ``pos``, ``run_start`` (position of the run start), ``chunk_no``
+    (within the run) and ``chunk_id`` (string key)."""
     P = [shard] if shard else []
-    d = ordered_scan(df, P, [ts_ms, key], lags=[ts_ms])
-    gap = F.col(ts_ms) - F.col(f"lag_{ts_ms}")
-    start = F.when(F.col(f"lag_{ts_ms}").isNull() | (gap >= timeout_ms), F.col("pos"))
-    d = d.withColumn("_run_start", start.cast("long")).drop(f"lag_{ts_ms}")
-    d = ordered_scan(d, P, [ts_ms, key], maxes=["_run_start"], pos_col="_pos2")
-    d = (d.withColumn("run_start", F.col("cummax__run_start"))
-          .withColumn("chunk_no", F.floor((F.col("pos") - F.col("run_start")) / size))
-          .drop("_run_start", "cummax__run_start", "_pos2"))
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = assign_blocks(df, ts_ms, block_bounds(df, ts_ms, n))
+    w = Window.partitionBy(*P, BLK).orderBy(ts_ms, key)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prev = F.lag(ts_ms).over(w)
+    loc = (d.withColumn("_lpos", F.row_number().over(w))
+            .withColumn("_lgap", F.col(ts_ms) - prev))
+    loc = loc.withColumn("_lstart", F.max(F.when(F.col("_lgap") >= timeout_ms, F.col("_lpos"))).over(run))
+    tot = loc.groupBy(*P, BLK).agg(F.count(F.lit(1)).alias("_bn"),
+                                   F.min(ts_ms).alias("_bfirst"), F.max(ts_ms).alias("_blast"),
+                                   F.max("_lstart").alias("_bstart"))
+    wb = Window.partitionBy(*P).orderBy(BLK)
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    on = F.coalesce(F.sum("_bn").over(before), F.lit(0))
+    prev_last = F.lag("_blast").over(wb)
+    first_flag = prev_last.isNull() | ((F.col("_bfirst") - prev_last) >= timeout_ms)
+    blk = (tot.select(*P, BLK, "_bstart", on.alias("_on"), first_flag.alias("_ff"))
+              .withColumn("_own", F.when(F.col("_bstart").isNotNull(), F.col("_on") + F.col("_bstart"))
+                                   .when(F.col("_ff"), F.col("_on") + 1))
+              .withColumn("_carry", F.max("_own").over(before))
+              .select(*P, BLK, "_on",
+                      F.when(F.col("_ff"), F.col("_on") + 1).otherwise(F.col("_carry")).alias("_first_start")))
+    out = loc.join(blk, [*P, BLK], "left")
+    out = (out.withColumn("pos", F.col("_on") + F.col("_lpos"))
+              .withColumn("run_start", F.when(F.col("_lstart").isNotNull(), F.col("_on") + F.col("_lstart"))
+                                        .otherwise(F.col("_first_start")))
+              .withColumn("chunk_no", F.floor((F.col("pos") - F.col("run_start")) / size))
+              .drop(BLK, "_lpos", "_lgap", "_lstart", "_on", "_first_start"))
     parts = [F.col(shard).cast("string")] if shard else []
-    return d.withColumn("chunk_id", F.concat_ws(":", *parts, F.col("run_start").cast("string"),
-                                                F.col("chunk_no").cast("string")))
+    return out.withColumn("chunk_id", F.concat_ws(":", *parts, F.col("run_start").cast("string"),
+                                                  F.col("chunk_no").cast("string")))
 
 
 def chunk_stats(chunked: DataFrame, size: int = BATCH_SIZE) -> DataFrame:

@@ -39,13 +39,19 @@ def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
                .withColumn("v", F.try_parse_json(F.col(value))))
 
 
+def parse_and_validate(raw: DataFrame, value: str = "value") -> DataFrame:
+    """P1 + P10 in one pass: skip blank values, parse once, add ``v`` and
+    ``reason``."""
+    return validate_messages(raw.filter(F.col(value).isNotNull() & (F.col(value) != "")), value)
+
+
 def _vget(v: Column, path: str, t: str = "string") -> Column:
     return F.try_variant_get(v, path, t)
 
 
-def variant_falsy(v: Column, path: str) -> Column:
-    """JS falsiness of a JSON field: missing, null, '', false, 0 (any numeric)."""
-    x = F.try_variant_get(v, path, "variant")
+def scalar_falsy(x: Column) -> Column:
+    """JS falsiness of one extracted JSON value (a small VARIANT): missing,
+    null, '', false, 0 (any numeric type)."""
     t = F.schema_of_variant(x)
     as_str = F.try_variant_get(x, "$", "string")
     return F.coalesce(
@@ -57,19 +63,27 @@ def variant_falsy(v: Column, path: str) -> Column:
         F.lit(True))
 
 
-def reject_reason(v: Column) -> Column:
-    """P10, in order: malformed JSON; not an object (JSON null / scalar / array:
-    field access fails -> processing_error); id or type missing or falsy."""
-    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    return (F.when(v.isNull(), F.lit("malformed_json"))
-            .when(~is_obj, F.lit("processing_error"))
-            .when(variant_falsy(v, "$.id") | variant_falsy(v, "$.type"),
-                  F.lit("missing_required")))
-
-
-def validate_messages(parsed: DataFrame) -> DataFrame:
-    """P10: adds ``reason`` (NULL = valid).  Split with two filters."""
-    return parsed.withColumn("reason", reject_reason(F.col("v")))
+def validate_messages(parsed: DataFrame, value: str = "value") -> DataFrame:
+    """P10: adds ``reason`` (NULL = valid), in order: malformed JSON; valid JSON
+    that is not an object (JSON null / scalar / array: field access fails ->
+    processing_error); id or type missing or falsy.
+
+    The parse and the two required fields are produced by a one-row generator:
+    a filter on ``reason`` (dead letters, anti joins) cannot be pushed beneath a
+    generator, so each message is parsed once, not once per branch of the
+    pushed-down condition."""
+    cols = [c for c in parsed.columns if c != "v"]
+    parsed_v = F.try_parse_json(F.col(value))
+    fields = F.struct(parsed_v.alias("v"),
+                      F.col(value).rlike(r"^\s*\{").alias("_is_obj"))
+    d = parsed.select(*cols, F.inline(F.array(fields)))
+    d = d.select("*", F.try_variant_get("v", "$.id", "variant").alias("_vid"),
+                 F.try_variant_get("v", "$.type", "variant").alias("_vtype"))
+    reason = (F.when(F.col("v").isNull(), F.lit("malformed_json"))
+              .when(~F.col("_is_obj"), F.lit("processing_error"))
+              .when(scalar_falsy(F.col("_vid")) | scalar_falsy(F.col("_vtype")),
+                    F.lit("missing_required")))
+    return d.withColumn("reason", reason).drop("_is_obj", "_vid", "_vtype")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,8 @@ from ..constants import OPERATORS
 from ..functions.coercion import (js_number, js_string, num_cmp_sql, q_double,
                                   q_ident, q_str, to_js_string_sql, to_number_sql)
 from ..functions.fields import resolve_field
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import (BooleanType, DoubleType, FloatType, NumericType,
+                               StringType)
 
 # The driver holds at most this many rules; a larger table is refused rather
 # than silently truncated.
@@ -73,7 +74,10 @@ def collect_rules(rules: DataFrame | Iterable) -> list[Rule]:
 
 
 def predicate_sql(schema, rule: Rule) -> str:
-    """One rule as a boolean SQL expression (never NULL) over ``schema``."""
+    """One rule as a boolean SQL condition over ``schema``.  NULL means "no
+    match" (it is only used as a CASE WHEN / join condition), so conditions are
+    kept minimal: the compiled chain must stay small enough for whole-stage
+    codegen."""
     name = resolve_field(schema, rule.field)
     op, v = rule.operator, rule.value
     if op not in OPERATORS:
@@ -84,21 +88,26 @@ def predicate_sql(schema, rule: Rule) -> str:
         return "false"
     c = q_ident(name)
     dtype = schema[name].dataType
+    floating = isinstance(dtype, (DoubleType, FloatType))
     if op == "equals":                                       # R1, strict
         if isinstance(v, float):
             if not isinstance(dtype, NumericType) or math.isnan(v):
                 return "false"
-            x = f"CAST({c} AS DOUBLE)"
-            return f"coalesce(NOT isnan({x}) AND {x} = {q_double(v)}, false)"
+            return f"{c} = {q_double(v)}"                    # NaN never equals a number
         if isinstance(v, str) and isinstance(dtype, StringType):
-            return f"coalesce({c} = {q_str(v)}, false)"
+            return f"{c} = {q_str(v)}"
         return "false"
-    if op == "contains":                                     # R2
-        return f"coalesce(contains({to_js_string_sql(c, dtype)}, {q_str(js_string(v))}), false)"
-    x = to_number_sql(c, dtype)
-    if op == "greaterThan":                                  # R3
-        return num_cmp_sql(f"({x})", ">", js_number(v))
-    return num_cmp_sql(f"({x})", "<", js_number(v))          # R4
+    if op == "contains":                                     # R2 (NULL reads 'undefined')
+        return f"contains({to_js_string_sql(c, dtype)}, {q_str(js_string(v))})"
+    t = js_number(v)
+    if math.isnan(t):
+        return "false"
+    sym = ">" if op == "greaterThan" else "<"
+    if isinstance(dtype, NumericType):
+        # Spark orders NaN above every number: only '>' needs the guard
+        guard = f" AND NOT isnan({c})" if (floating and sym == ">") else ""
+        return f"({c} {sym} {q_double(t)}{guard})"
+    return num_cmp_sql(f"({to_number_sql(c, dtype)})", sym, t)   # R3 / R4
 
 
 def predicate(df, rule: Rule) -> Column:

@@ -22,7 +22,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLK = "_scan_blk"
+BLK = _BLK = "_scan_blk"
 
 
 def block_bounds(df: DataFrame, col: str, blocks: int, accuracy: int = 10000) -> list[float]:

@@ -8,16 +8,18 @@ collected.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import URGENT_QUEUE
 from ..operators.history import processed_log, to_history
 from ..operators.processing import batch_action, urgent_action
-from ..operators.quality import (dead_letters, parse_messages, raw_message_feed,
-                                 split_valid, validate_messages)
+from ..operators.quality import (dead_letters, parse_and_validate, raw_message_feed,
+                                 split_valid)
 from ..operators.routing import route, route_naive
-from ..sources.messages import message_view, read_table
+from ..sources.messages import message_view, read_table, spread_scan
 from ..sources.seed import ORDER_RULES, SEED_RULES
 
 NAIVE_ID = "naive-0"
@@ -62,14 +64,35 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["id", "type", "priority", "amount", "risk_score", "region", "currency",
-            "user_id", "source", "benchmark_id", "is_critical", "ts_ms"]
-    m = messages(spark, sf_dir).select(*cols, "ts")
-    return raw_message_feed(m, json_cols=cols)
+    """The raw message topic: JSON text derived from ``events`` by Spark and
+    written once per session as a table in the shared checkpoint folder (a
+    topic is stored data; parsing reads a real column, not an inlined
+    ``to_json`` expression)."""
+    path = _feed_path(spark, sf_dir)
+    if not _complete(spark, path):
+        cols = ["id", "type", "priority", "amount", "risk_score", "region", "currency",
+                "user_id", "source", "benchmark_id", "is_critical", "ts_ms"]
+        m = messages(spark, sf_dir).select(*cols, "ts")
+        raw_message_feed(m, json_cols=cols).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _feed_path(spark: SparkSession, sf_dir: str) -> str:
+    import hashlib
+    from ..session import ensure_checkpoint_dir
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-feed-{tag}"
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
 
 
 def validated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate_messages(parse_messages(raw_feed(spark, sf_dir)))
+    return parse_and_validate(raw_feed(spark, sf_dir))
 
 
 def rejected_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +104,6 @@ def rejected_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = spread_scan(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     return route(o, ORDER_RULES)

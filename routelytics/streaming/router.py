@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..constants import URGENT_QUEUE
 from ..operators.history import to_history
-from ..operators.quality import dead_letters, split_valid, validate_messages
+from ..operators.quality import dead_letters, parse_and_validate, split_valid
 from ..operators.routing import delivery_priority, route
 from ..schemas import MESSAGE
 
@@ -63,8 +63,7 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
         batch = batch.persist()
         try:
             if raw:
-                v = validate_messages(batch.filter(F.col("value").isNotNull() & (F.col("value") != ""))
-                                      .withColumn("v", F.try_parse_json("value")))
+                v = parse_and_validate(batch)
                 good, bad = split_valid(v)
                 dl = dead_letters(bad, URGENT_QUEUE)
                 _write(dl, f"{out_dir}/dead_letters", batch_id)
