@@ -23,22 +23,29 @@ KEY = ["benchmark_id", "message_id"]
 def to_history(routed: DataFrame) -> DataFrame:
     """One history row per routed message; falsy values become NULL."""
     s, d = StringType(), DoubleType()
+    have = set(routed.columns)
+
+    def opt(name, dtype="string"):
+        # a field the input does not carry is missing (NULL), as in the source
+        return F.col(name) if name in have else F.lit(None).cast(dtype)
     cols = [
         F.col("id").alias("message_id"),
         F.col("target_queue"),
         F.col("matched_rule"),
         F.col("matched_priority"),
-        F.col("latency_ms"),
-        F.col("ts"),
-        falsy_to_null(F.col("benchmark_id"), s).alias("benchmark_id"),
-        F.coalesce(F.col("is_critical"), F.lit(False)).alias("is_critical"),
-        falsy_to_null(F.col("type"), s).alias("message_type"),
-        falsy_to_null(F.col("priority"), s).alias("message_priority"),
-        falsy_to_null(F.col("region"), s).alias("message_region"),
-        falsy_to_null(F.col("risk_score"), d).alias("risk_score"),
-        falsy_to_null(F.col("amount"), d).alias("amount"),
-        falsy_to_null(F.col("source"), s).alias("source"),
-        falsy_to_null(F.col("user_id"), s).alias("user_id"),
+        # routing latency is measured upstream (publish - receipt); a stream
+        # stamps receipt once per micro-batch, so raw input has no per-row value
+        opt("latency_ms", "double").alias("latency_ms"),
+        opt("ts", "timestamp").alias("ts"),
+        falsy_to_null(opt("benchmark_id"), s).alias("benchmark_id"),
+        F.coalesce(opt("is_critical", "boolean"), F.lit(False)).alias("is_critical"),
+        falsy_to_null(opt("type"), s).alias("message_type"),
+        falsy_to_null(opt("priority"), s).alias("message_priority"),
+        falsy_to_null(opt("region"), s).alias("message_region"),
+        falsy_to_null(opt("risk_score", "double"), d).alias("risk_score"),
+        falsy_to_null(opt("amount", "double"), d).alias("amount"),
+        falsy_to_null(opt("source"), s).alias("source"),
+        falsy_to_null(opt("user_id"), s).alias("user_id"),
     ]
     extras = [c for c in ("ts_ms", "processed_ms") if c in routed.columns]
     return routed.select(*cols, *[F.col(c) for c in extras])
