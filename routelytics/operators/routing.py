@@ -196,6 +196,43 @@ def _decorate(df: DataFrame, rs: list[Rule]) -> DataFrame:
         f"ELSE {q_str(BATCH_QUEUE)} END AS target_queue")
 
 
+def route_json(df: DataFrame, rules, v: str = "v") -> DataFrame:
+    """R1-R8 on raw JSON (VARIANT column ``v``): the full dynamic-value table
+    (JSON null reads as 0 for numeric rules, 'null' for contains; a missing
+    field never matches except 'undefined'.includes).  Each field a rule names
+    is extracted once, in its own projection, before the chain reads it."""
+    from ..functions import variant as VJ
+    rs = collect_rules(rules)
+    fields = sorted({r.field for r in rs if r.field and r.operator in
+                     ("equals", "contains", "greaterThan", "lessThan")})
+    idx = {f: i for i, f in enumerate(fields)}
+    d = df
+    if fields:
+        d = d.selectExpr("*", *[f"{VJ.field_sql(q_ident(v), f)} AS {VJ.field_columns(i)['v']}"
+                                for f, i in idx.items()])
+        d = d.selectExpr("*", *[f"{VJ.type_sql(q_ident(VJ.field_columns(i)['v']))} AS "
+                                f"{VJ.field_columns(i)['t']}" for i in idx.values()])
+        extra = []
+        for f, i in idx.items():
+            c = VJ.field_columns(i)
+            x, t = q_ident(c["v"]), q_ident(c["t"])
+            extra.append(f"{VJ.number_sql(x, t)} AS {c['n']}")
+            if any(r.field == f and r.operator == "contains" for r in rs):
+                extra.append(f"{VJ.text_sql(x, t)} AS {c['s']}")
+        d = d.selectExpr("*", *extra)
+    whens = []
+    for i, r in enumerate(rs):
+        if r.field in idx:
+            cond = VJ.predicate_variant_sql(VJ.field_columns(idx[r.field]), r.operator, r.value)
+        else:
+            cond = "false"
+        whens.append(f"WHEN {cond} THEN {i}")
+    pos = F.expr(f"CASE {' '.join(whens)} END") if whens else F.lit(None)
+    d = d.withColumn(_POS, pos.cast("int"))
+    helper = [c for c in d.columns if c.startswith("_jf")]
+    return _decorate(d.drop(*helper), rs)
+
+
 def route_join_form(df: DataFrame, rules, key: str = "id") -> DataFrame:
     """J1/W1, relational form: left theta join with the (broadcast, bounded)
     rule table and ``min(position)`` per message.  Kept as the cross-check of

@@ -798,3 +798,22 @@ def all_queries() -> dict:
 def all_oracles() -> dict:
     from . import streaming_queries  # noqa: F401
     return dict(ORACLE)
+
+
+# ============================================================ raw JSON routing
+_JSON_MSGS = """msgs_json AS (
+  SELECT * REPLACE (COALESCE(amount, CAST(0 AS DOUBLE)) AS amount) FROM msgs
+  WHERE event_id % 50 <> 0 AND event_id % 53 <> 0)"""
+
+
+@query("route_json_counts", O.with_(O.msgs_cte(), _JSON_MSGS, O.routed_cte("msgs_json", name="jrouted")) + """
+SELECT target_queue, matched_priority, count(*) AS n FROM jrouted GROUP BY target_queue, matched_priority""")
+def route_json_counts(spark, sf):
+    """R1-R8 on the raw JSON feed (VARIANT path): valid messages routed with
+    the full dynamic-value semantics — a JSON null amount reads as 0, so the
+    'amount lessThan 10' rule takes it (the typed path treats NULL as missing)."""
+    from ..operators.quality import split_valid
+    from ..operators.routing import route_json
+    good, _ = split_valid(FX.validated_feed(spark, sf))
+    return (route_json(good, SEED_RULES).groupBy("target_queue", "matched_priority")
+            .agg(F.count(F.lit(1)).alias("n")))
