@@ -170,12 +170,21 @@ def route(df: DataFrame, rules, method: str = "auto") -> DataFrame:
         df, pos, drop = first_match_decomposed(df, rs)
     else:
         raise ValueError(method)
-    df = df.withColumn(_POS, pos.cast("int"))
+    df = with_decision(df, pos)
     if drop:
         df = df.drop(*drop)
     return _decorate(df, rs)
 
 
+def with_decision(df: DataFrame, pos: Column) -> DataFrame:
+    """Attach the first-match position through a one-row generator.  A filter
+    on the decision (one queue, one rule) then stays above the rule chain
+    instead of being pushed beneath it with the chain inlined, which would
+    evaluate every rule twice per row; filters on input columns still reach
+    the scan."""
+    return df.select("*", F.inline(F.array(F.struct(pos.cast("int").alias(_POS)))))
+
+
 def _decorate(df: DataFrame, rs: list[Rule]) -> DataFrame:
     def pick(values, dtype):
         if not rs:
@@ -228,7 +237,7 @@ def route_json(df: DataFrame, rules, v: str = "v") -> DataFrame:
             cond = "false"
         whens.append(f"WHEN {cond} THEN {i}")
     pos = F.expr(f"CASE {' '.join(whens)} END") if whens else F.lit(None)
-    d = d.withColumn(_POS, pos.cast("int"))
+    d = with_decision(d, pos)
     helper = [c for c in d.columns if c.startswith("_jf")]
     return _decorate(d.drop(*helper), rs)
 
