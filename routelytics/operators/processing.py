@@ -14,7 +14,7 @@ from ..constants import (BATCH_ACTION_COST_MS, BATCH_SIZE, BATCH_TIMEOUT_MS,
                          URGENT_ACTION_RISK)
 from pyspark.sql import Window
 
-from .scan import BLK, assign_blocks, block_bounds
+from .scan import BLK, assign_blocks, block_bounds, block_count
 
 
 def urgent_action(type_col: Column, amount: Column, risk: Column) -> Column:
@@ -74,8 +74,7 @@ def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
     Adds ``pos``, ``run_start`` (position of the run start), ``chunk_no``
     (within the run) and ``chunk_id`` (string key)."""
     P = [shard] if shard else []
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = assign_blocks(df, ts_ms, block_bounds(df, ts_ms, n))
+    d = assign_blocks(df, ts_ms, block_bounds(df, ts_ms, block_count(df, blocks)))
     w = Window.partitionBy(*P, BLK).orderBy(ts_ms, key)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev = F.lag(ts_ms).over(w)

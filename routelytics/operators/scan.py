@@ -24,13 +24,28 @@ from pyspark.sql import functions as F
 
 BLK = _BLK = "_scan_blk"
 
+# rows one window task sorts and scans; blocks = max(shuffle partitions, rows / this)
+ROWS_PER_BLOCK = 2_000_000
 
-def block_bounds(df: DataFrame, col: str, blocks: int, accuracy: int = 10000) -> list[float]:
-    """``blocks - 1`` approximate quantiles of ``col`` (distinct, sorted)."""
+
+def block_count(df: DataFrame, blocks: int | None = None) -> int:
+    """Explicit ``blocks``, else enough blocks that none exceeds ROWS_PER_BLOCK
+    rows (one count pass), and never fewer than the shuffle partitions."""
+    if blocks:
+        return blocks
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.count()
+    return max(floor, -(-rows // ROWS_PER_BLOCK))
+
+
+def block_bounds(df: DataFrame, col: str, blocks: int, accuracy: int | None = None) -> list[float]:
+    """``blocks - 1`` approximate quantiles of ``col`` (distinct, sorted); the
+    list is bounded by the block count and held on the driver as literals."""
     if blocks <= 1:
         return []
     qs = [i / blocks for i in range(1, blocks)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, accuracy).alias("q")).collect()[0]
+    acc = accuracy or max(10000, 10 * blocks)
+    row = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, acc).alias("q")).collect()[0]
     vals = [v for v in (row["q"] or []) if v is not None and not math.isnan(v)]
     return sorted(set(vals))
 
@@ -61,8 +76,7 @@ def ordered_scan(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[
     ``order_by`` must be a total order (end it with a unique key); its first
     column must be numeric or a timestamp (it defines the blocks)."""
     P, O = list(partition_by), list(order_by)
-    spark = df.sparkSession
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = block_count(df, blocks)
     lead = O[0]
     if dict(df.dtypes)[lead].startswith("timestamp"):
         df = df.withColumn("_scan_lead", F.unix_micros(F.col(lead)))
