@@ -6,14 +6,12 @@ nominal cost are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (BATCH_ACTION_COST_MS, BATCH_SIZE, BATCH_TIMEOUT_MS,
                          URGENT_ACTION_AMOUNT, URGENT_ACTION_COST_MS,
                          URGENT_ACTION_RISK)
-from pyspark.sql import Window
-
 from .scan import BLK, assign_blocks, block_bounds, block_count
 
 
@@ -36,7 +34,8 @@ def batch_action(type_col: Column) -> Column:
             .otherwise(F.lit("generic_batch")))
 
 
-def _cost(action: Column, table: dict) -> Column:
+def action_cost(action: Column, table: dict) -> Column:
+    """Nominal handling ms of an action label."""
     expr = None
     for k, v in table.items():
         expr = F.when(action == k, F.lit(v)) if expr is None else expr.when(action == k, F.lit(v))
@@ -47,12 +46,12 @@ def classify_urgent_action(df: DataFrame, type_col="type", amount="amount",
                            risk="risk_score") -> DataFrame:
     a = urgent_action(F.col(type_col), F.col(amount), F.col(risk))
     return df.withColumn("action", a).withColumn(
-        "cost_ms", _cost(F.col("action"), URGENT_ACTION_COST_MS))
+        "cost_ms", action_cost(F.col("action"), URGENT_ACTION_COST_MS))
 
 
 def classify_batch_action(df: DataFrame, type_col="type") -> DataFrame:
     return df.withColumn("action", batch_action(F.col(type_col))).withColumn(
-        "cost_ms", _cost(F.col("action"), BATCH_ACTION_COST_MS))
+        "cost_ms", action_cost(F.col("action"), BATCH_ACTION_COST_MS))
 
 
 def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
@@ -122,7 +121,7 @@ def chunk_cost(chunked: DataFrame, type_col: str = "message_type") -> DataFrame:
     """P17 for batches: a batch costs the sum over its distinct type groups."""
     per_type = (chunked.groupBy("chunk_id", F.col(type_col).alias("_t"))
                 .agg(F.count(F.lit(1)).alias("n"))
-                .withColumn("cost_ms", _cost(batch_action(F.col("_t")), BATCH_ACTION_COST_MS)))
+                .withColumn("cost_ms", action_cost(batch_action(F.col("_t")), BATCH_ACTION_COST_MS)))
     return per_type.groupBy("chunk_id").agg(F.sum("n").alias("messages"),
                                             F.count(F.lit(1)).alias("type_groups"),
                                             F.sum("cost_ms").alias("cost_ms"))

@@ -93,6 +93,12 @@ def queue_depth_series(routed: DataFrame, processed: DataFrame,
            .agg(F.sum("delta").alias("net"))
            .select("target_queue", F.col("w.start").alias("window_start"),
                    F.col("w.end").alias("window_end"), "net"))
+    return depth_from_nets(per)
+
+
+def depth_from_nets(per: DataFrame) -> DataFrame:
+    """Running depth per queue over (target_queue, window_start, window_end, net)
+    rows — the batch series above, or the nets a depth stream wrote."""
     per = per.withColumn("_wms", F.unix_millis("window_start"))
     s = ordered_scan(per, ["target_queue"], ["_wms"], sums=["net"], pos_col="_p")
     return s.select("target_queue", "window_start", "window_end", "net",

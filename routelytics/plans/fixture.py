@@ -13,9 +13,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import URGENT_QUEUE
+from ..constants import BATCH_ACTION_COST_MS, URGENT_ACTION_COST_MS, URGENT_QUEUE
 from ..operators.history import processed_log, to_history
-from ..operators.processing import batch_action, urgent_action
+from ..operators.processing import action_cost, batch_action, urgent_action
 from ..operators.quality import (dead_letters, parse_and_validate, raw_message_feed,
                                  split_valid)
 from ..operators.routing import route, route_naive
@@ -51,11 +51,8 @@ def with_cost(h: DataFrame) -> DataFrame:
     """Nominal handling cost of each message by the consumer of its queue."""
     ua = urgent_action(F.col("message_type"), F.col("amount"), F.col("risk_score"))
     ba = batch_action(F.col("message_type"))
-    cost = (F.when(F.col("target_queue") == URGENT_QUEUE,
-                   F.when(ua == "fraud_alert", 100).when(ua == "manual_approval", 80)
-                    .when(ua == "block_transaction", 60).otherwise(50))
-             .otherwise(F.when(ba == "warehouse_aggregate", 200)
-                        .when(ba == "generate_reports", 150).otherwise(100)))
+    cost = F.when(F.col("target_queue") == URGENT_QUEUE, action_cost(ua, URGENT_ACTION_COST_MS)) \
+        .otherwise(action_cost(ba, BATCH_ACTION_COST_MS))
     return h.withColumn("_cost", cost.cast("double"))
 
 

@@ -46,3 +46,21 @@ def live_metrics_stream(history_path: str, history_stream: DataFrame, out_dir: s
         live_metrics(h).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
     return (history_stream.writeStream.foreachBatch(run)
             .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
+
+
+def depth_deltas_stream(routed_stream: DataFrame, processed_stream: DataFrame,
+                        every: str = "2 seconds", delay: str = "1 minute") -> DataFrame:
+    """ST5 (stream form): net change of each queue per sampling window: +1 per
+    routed message at its routing time, -1 per processed message at its
+    processing time.  A windowed aggregate with a watermark (bounded state,
+    each closed window emitted once in append mode); the running depth is the
+    ordered scan of these nets (``queues.depth_from_nets``)."""
+    add = routed_stream.select("target_queue", F.col("ts").cast("timestamp").alias("ets"),
+                               F.lit(1).alias("delta"))
+    done = processed_stream.select("target_queue", F.timestamp_millis("processed_ms").alias("ets"),
+                                   F.lit(-1).alias("delta"))
+    return (add.unionByName(done).withWatermark("ets", delay)
+            .groupBy("target_queue", F.window("ets", every).alias("w"))
+            .agg(F.sum("delta").alias("net"))
+            .select("target_queue", F.col("w.start").alias("window_start"),
+                    F.col("w.end").alias("window_end"), "net"))
