@@ -148,5 +148,5 @@ def present_history(history: DataFrame) -> DataFrame:
          .otherwise(dash).alias("risk_text"),
         F.coalesce(F.col("risk_score") > RISK_FLAG_THRESHOLD, F.lit(False)).alias("risk_flag"),
         F.when(F.col("is_critical"), F.lit("YES")).otherwise(dash).alias("critical_label"),
-        F.date_format("ts", "HH:mm:ss").alias("time_label"),
+        F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "HH:mm:ss").alias("time_label"),
     )

@@ -63,7 +63,11 @@ def message_columns(events: DataFrame) -> DataFrame:
     g, e4 = "(event_id % 4)", "floor(event_id / 4)"
     types = " ".join(f"WHEN {i} THEN {_pick(p, f'{e4} % {len(p)}')}" for i, p in enumerate(TYPE_POOLS))
     scale = " ".join(f"WHEN {i} THEN {v!r}D" for i, v in enumerate(AMOUNT_SCALE))
-    ts = "CAST(ts AS TIMESTAMP)"
+    if dict(events.dtypes).get("ts") == "timestamp_ntz":
+        # wall-clock UTC time -> instant, independent of the session time zone
+        ts = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"
+    else:
+        ts = "CAST(ts AS TIMESTAMP)"
     ts_ms = f"unix_millis({ts})"
     return events.selectExpr(
         f"{_pad_id('msg-', 'event_id', 6)} AS id",
