@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import (BATCH_CONSUMER, HISTORY_DEFAULT_LIMIT,
                          RISK_FLAG_THRESHOLD, URGENT_CONSUMER, URGENT_QUEUE)
 from ..functions.coercion import falsy_to_null
+from ..functions.display import clock_time
 from ..functions.timefmt import parse_ts
 from pyspark.sql.types import DoubleType, StringType
 
@@ -148,5 +149,5 @@ def present_history(history: DataFrame) -> DataFrame:
          .otherwise(dash).alias("risk_text"),
         F.coalesce(F.col("risk_score") > RISK_FLAG_THRESHOLD, F.lit(False)).alias("risk_flag"),
         F.when(F.col("is_critical"), F.lit("YES")).otherwise(dash).alias("critical_label"),
-        F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "HH:mm:ss").alias("time_label"),
+        clock_time(F.col("ts")).alias("time_label"),
     )

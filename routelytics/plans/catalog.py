@@ -802,11 +802,12 @@ def all_oracles() -> dict:
 
 # ============================================================ raw JSON routing
 _JSON_MSGS = """msgs_json AS (
-  SELECT * REPLACE (COALESCE(amount, CAST(0 AS DOUBLE)) AS amount) FROM msgs
-  WHERE event_id % 50 <> 0 AND event_id % 53 <> 0)"""
+  SELECT m.* REPLACE (COALESCE(m.amount, CAST(0 AS DOUBLE)) AS amount)
+  FROM msgs m JOIN checked c ON c.key = m.id WHERE c.reason IS NULL)"""
 
 
-@query("route_json_counts", O.with_(O.msgs_cte(), _JSON_MSGS, O.routed_cte("msgs_json", name="jrouted")) + """
+@query("route_json_counts", O.with_(O.msgs_cte()) + _feed_sql() + ", " + _JSON_MSGS + ",\n"
+       + O.routed_cte("msgs_json", name="jrouted") + """
 SELECT target_queue, matched_priority, count(*) AS n FROM jrouted GROUP BY target_queue, matched_priority""")
 def route_json_counts(spark, sf):
     """R1-R8 on the raw JSON feed (VARIANT path): valid messages routed with

@@ -64,3 +64,12 @@ def test_timestamps(spark):
     assert H.valid_timestamps(df).count() == 2
     t = spark.createDataFrame([(dt.datetime(2026, 4, 13, 10, 0, 0, 123000),)], "ts timestamp")
     assert t.select(iso_ms(F.col("ts")).alias("s")).collect()[0].s == "2026-04-13T10:00:00.123Z"
+
+
+def test_display_helpers(spark):
+    from routelytics.functions.display import clock_time, locale_number, to_fixed
+    df = spark.createDataFrame([(1234567.0, 0.925, dt.datetime(2024, 1, 1, 9, 5, 7))], "a double, b double, t timestamp")
+    r = df.select(locale_number(F.col("a")).alias("a"), to_fixed(F.col("b")).alias("b"),
+                  locale_number(F.col("b")).alias("c"), clock_time(F.col("t")).alias("t")).collect()[0]
+    assert (r.a, r.c, r.t) == ("1,234,567", "0.925", "09:05:07")
+    assert r.b in ("0.92", "0.93")
