@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import (BATCH_ACTION_COST_MS, BATCH_SIZE, BATCH_TIMEOUT_MS,
                          URGENT_ACTION_AMOUNT, URGENT_ACTION_COST_MS,
                          URGENT_ACTION_RISK)
-from .scan import BLK, assign_blocks, block_bounds, block_count
+from .scan import BLK, assign_blocks, plan_blocks
 
 
 def urgent_action(type_col: Column, amount: Column, risk: Column) -> Column:
@@ -73,7 +73,7 @@ def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
     Adds ``pos``, ``run_start`` (position of the run start), ``chunk_no``
     (within the run) and ``chunk_id`` (string key)."""
     P = [shard] if shard else []
-    d = assign_blocks(df, ts_ms, block_bounds(df, ts_ms, block_count(df, blocks)))
+    d = assign_blocks(df, ts_ms, plan_blocks(df, ts_ms, blocks))
     w = Window.partitionBy(*P, BLK).orderBy(ts_ms, key)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev = F.lag(ts_ms).over(w)

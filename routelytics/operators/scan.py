@@ -28,26 +28,30 @@ BLK = _BLK = "_scan_blk"
 ROWS_PER_BLOCK = 2_000_000
 
 
-def block_count(df: DataFrame, blocks: int | None = None) -> int:
-    """Explicit ``blocks``, else enough blocks that none exceeds ROWS_PER_BLOCK
-    rows (one count pass), and never fewer than the shuffle partitions."""
-    if blocks:
-        return blocks
-    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.count()
-    return max(floor, -(-rows // ROWS_PER_BLOCK))
+GRID = 1024          # quantiles taken in the planning pass
 
 
-def block_bounds(df: DataFrame, col: str, blocks: int, accuracy: int | None = None) -> list[float]:
-    """``blocks - 1`` approximate quantiles of ``col`` (distinct, sorted); the
-    list is bounded by the block count and held on the driver as literals."""
-    if blocks <= 1:
+def plan_blocks(df: DataFrame, col: str, blocks: int | None = None) -> list[float]:
+    """Cut points of ``col`` for ``blocks`` blocks, or, when not given, for
+    enough blocks that none exceeds ROWS_PER_BLOCK rows (never fewer than the
+    shuffle partitions).  One aggregation pass computes the row count and a
+    grid of GRID approximate quantiles; the cut points are every k-th grid
+    point.  A second pass runs only when more than GRID blocks are needed.
+    The list is bounded by the block count and held on the driver as literals."""
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col(col).cast("double")
+    grid = max(GRID, blocks or 0)
+    qs = [i / grid for i in range(1, grid)]
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(x, qs, max(10000, 10 * grid)).alias("q")).collect()[0]
+    n = blocks or max(floor, -(-row["n"] // ROWS_PER_BLOCK))
+    if n <= 1:
         return []
-    qs = [i / blocks for i in range(1, blocks)]
-    acc = accuracy or max(10000, 10 * blocks)
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, acc).alias("q")).collect()[0]
-    vals = [v for v in (row["q"] or []) if v is not None and not math.isnan(v)]
-    return sorted(set(vals))
+    if n > grid:
+        return block_bounds(df, col, n)
+    q = row["q"] or []
+    picks = [q[round(j * grid / n) - 1] for j in range(1, n)]
+    return sorted({v for v in picks if v is not None and not math.isnan(v)})
 
 
 def assign_blocks(df: DataFrame, col: str, bounds: list[float]) -> DataFrame:
@@ -76,12 +80,11 @@ def ordered_scan(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[
     ``order_by`` must be a total order (end it with a unique key); its first
     column must be numeric or a timestamp (it defines the blocks)."""
     P, O = list(partition_by), list(order_by)
-    n = block_count(df, blocks)
     lead = O[0]
     if dict(df.dtypes)[lead].startswith("timestamp"):
         df = df.withColumn("_scan_lead", F.unix_micros(F.col(lead)))
         lead = "_scan_lead"
-    d = assign_blocks(df, lead, block_bounds(df, lead, n))
+    d = assign_blocks(df, lead, plan_blocks(df, lead, blocks))
 
     w = Window.partitionBy(*P, _BLK).orderBy(*O)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
