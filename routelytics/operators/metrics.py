@@ -60,7 +60,9 @@ def latency_by_queue(h: DataFrame) -> DataFrame:
                                         pct_disc("latency_ms", 0.95).alias("p95_ms"),
                                         pct_disc("latency_ms", 0.99).alias("p99_ms"))
     queues = h.sparkSession.createDataFrame([(URGENT_QUEUE,), (BATCH_QUEUE,)], "target_queue string")
-    return (queues.join(F.broadcast(agg), "target_queue", "left")
+    # both queues always reported; the per-queue aggregate is joined without a
+    # hint (its size is one row per distinct queue value; AQE picks the plan)
+    return (queues.join(agg, "target_queue", "left")
             .select("target_queue",
                     F.coalesce("n", F.lit(0)).alias("n"),
                     F.coalesce("avg_ms", F.lit(0.0)).alias("avg_ms"),
