@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
 
 
 def camel_to_snake(name: str) -> str:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEAD_LETTER_QUEUE
 
 
 def raw_message_feed(msgs: DataFrame, malformed_every: int = 50,
@@ -121,6 +120,3 @@ def preview_raw(raw: DataFrame, value: str = "value", width: int = 80) -> DataFr
         "preview", F.concat(F.substring(v, 1, width),
                             F.when(F.length(v) > width, F.lit("...")).otherwise(F.lit(""))))
 
-
-def route_target_for_dead_letter() -> str:
-    return DEAD_LETTER_QUEUE

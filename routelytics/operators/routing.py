@@ -29,7 +29,7 @@ from ..constants import (BATCH_QUEUE, DEFAULT_LABEL, NAIVE_QUEUE,
                          URGENT_DELIVERY_PRIORITY, URGENT_QUEUE)
 from ..functions.coercion import js_number, q_ident, q_str, to_number_sql
 from ..functions.fields import resolve_field
-from .rules import Rule, collect_rules, predicate, predicate_sql
+from .rules import Rule, collect_rules, predicate_sql
 
 CHAIN_MAX_RULES = 80
 _POS = "matched_position"

@@ -18,8 +18,7 @@ from ..constants import OPERATORS
 from ..functions.coercion import (js_number, js_string, num_cmp_sql, q_double,
                                   q_ident, q_str, to_js_string_sql, to_number_sql)
 from ..functions.fields import resolve_field
-from pyspark.sql.types import (BooleanType, DoubleType, FloatType, NumericType,
-                               StringType)
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 # The driver holds at most this many rules; a larger table is refused rather
 # than silently truncated.
@@ -36,10 +35,6 @@ class Rule:
     priority: int
     category: str | None = None
 
-    @property
-    def label(self) -> str:
-        return self.target
-
 
 def _value_of(value_str, value_num):
     if value_num is not None:

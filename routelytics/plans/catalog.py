@@ -20,7 +20,6 @@ from ..operators import processing as PR
 from ..operators import queues as Q
 from ..operators import quality as QL
 from ..operators.routing import delivery_priority, explain_route, route_join_form
-from ..operators.rules import rules_by_category
 from ..sources.messages import list_cohorts, read_queue, scan_history
 from ..sources.seed import SEED_RULES, seed_rules
 from . import fixture as FX
