@@ -2,8 +2,12 @@
 
 ``route`` adds the decision to every row without a shuffle:
 
-* up to ``CHAIN_MAX_RULES`` rules compile to one ``CASE WHEN`` chain that yields
-  the position of the first matching rule (rows stop at the first match);
+* up to ``CHAIN_MAX_RULES`` rules (and ``CHAIN_MAX_SQL`` characters of
+  conditions) compile to one ``CASE WHEN`` chain that yields the position of
+  the first matching rule (rows stop at the first match).  Measured on 100k
+  messages (local[8]): the chain is about twice as fast as the decomposed form
+  up to 500 rules; at 1,000 its generated code no longer compiles and Spark
+  falls back to interpreted evaluation, slower than the decomposed form;
 * larger rule sets are decomposed (equality rules -> broadcast hash join on the
   field value, numeric thresholds -> one binary search over the non-dominated
   thresholds per field, ``contains`` -> a short chain) and the first match is
@@ -31,7 +35,8 @@ from ..functions.coercion import js_number, q_ident, q_str, to_number_sql
 from ..functions.fields import resolve_field
 from .rules import Rule, collect_rules, predicate_sql
 
-CHAIN_MAX_RULES = 80
+CHAIN_MAX_RULES = 500
+CHAIN_MAX_SQL = 25_000
 _POS = "matched_position"
 
 
@@ -159,10 +164,13 @@ def first_match_decomposed(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame,
 def route(df: DataFrame, rules, method: str = "auto") -> DataFrame:
     """R7 + R8 + P4: first-match-wins routing of every row.
 
-    ``method``: 'chain', 'decomposed' or 'auto' (chain up to 80 rules)."""
+    ``method``: 'chain', 'decomposed' or 'auto' (the chain while it stays
+    within the size that still compiles to whole-stage code)."""
     rs = collect_rules(rules)
     if method == "auto":
-        method = "chain" if len(rs) <= CHAIN_MAX_RULES else "decomposed"
+        small = len(rs) <= CHAIN_MAX_RULES and \
+            len(_chain_sql(df.schema, list(enumerate(rs)))) <= CHAIN_MAX_SQL
+        method = "chain" if small else "decomposed"
     drop: list[str] = []
     if method == "chain":
         pos = first_match_chain(df, rs)
