@@ -214,10 +214,8 @@ _REC_COLS = "id, type, priority, amount, risk_score, region, currency, user_id,
 SELECT id AS key, to_json(struct_pack({', '.join(f'{c} := {c}' for c in _REC_COLS.split(', '))})) AS value FROM msgs""")
 def kafka_records(spark, sf):
     """K4: key = id, value = JSON text of the message (nulls kept)."""
-    m = FX.messages(spark, sf)
-    cols = _REC_COLS.split(", ")
-    return m.select(F.col("id").alias("key"),
-                    F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+    from ..sinks.tables import to_kafka_records
+    return to_kafka_records(FX.messages(spark, sf).select(*_REC_COLS.split(", ")), key="id")
 
 
 # raw feed in SQL: to_json of the same columns, every 50th cut in half, every 53rd without id

@@ -21,6 +21,7 @@ from ..operators.history import to_history
 from ..operators.quality import dead_letters, parse_and_validate, split_valid
 from ..operators.routing import delivery_priority, route
 from ..schemas import MESSAGE
+from ..sinks.tables import append_history, write_dead_letters, write_routed
 
 
 def stamp_received(df: DataFrame) -> DataFrame:
@@ -46,13 +47,6 @@ def from_variant(df: DataFrame, v: str = "v", schema=MESSAGE) -> DataFrame:
     return df.select(*cols, *[c for c in df.columns if c not in {f.name for f in schema.fields} and c != v])
 
 
-def _write(df: DataFrame, path: str, batch_id: int, partition_by=None) -> None:
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
-
-
 def routing_batch(rules_loader: Callable[[], object], out_dir: str,
                   prepare: Callable[[DataFrame], DataFrame] | None = None,
                   raw: bool = False) -> Callable[[DataFrame, int], None]:
@@ -66,7 +60,7 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
                 v = parse_and_validate(batch)
                 good, bad = split_valid(v)
                 dl = dead_letters(bad, URGENT_QUEUE)
-                _write(dl, f"{out_dir}/dead_letters", batch_id)
+                write_dead_letters(dl, f"{out_dir}/dead_letters", batch_id)
                 msgs = from_variant(good)
             else:
                 msgs = batch
@@ -75,8 +69,8 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
             routed = route(msgs, rules).withColumn(
                 "delivery_priority", delivery_priority(F.col("target_queue")))
             routed = routed.persist()
-            _write(routed.drop("matched_position"), f"{out_dir}/routed", batch_id, "target_queue")
-            _write(to_history(routed), f"{out_dir}/history", batch_id)
+            write_routed(routed, f"{out_dir}/routed", batch_id)
+            append_history(to_history(routed), f"{out_dir}/history", batch_id)
             routed.unpersist()
         finally:
             batch.unpersist()

@@ -79,3 +79,22 @@ def test_preview(spark):
     raw = spark.createDataFrame([("x" * 100,), ("short",)], "value string")
     out = {r.raw_length: r.preview for r in preview_raw(raw).collect()}
     assert out[100] == "x" * 80 + "..." and out[5] == "short"
+
+
+def test_sinks(spark):
+    from routelytics.session import scratch_path
+    from routelytics.sinks.tables import append_history, to_kafka_records, write_routed
+    df = spark.createDataFrame([("a", "urgent.queue", None), ("b", "batch.queue", 5.0)],
+                               "id string, target_queue string, amount double")
+    p = scratch_path(spark, "t-sink")
+    write_routed(df, p, batch_id=0)
+    write_routed(df, p, batch_id=0)            # replayed batch: replaced, not duplicated
+    back = spark.read.parquet(p)
+    assert back.count() == 2 and set(back.columns) >= {"target_queue", "delivery_priority", "batch_id"}
+    assert back.filter("target_queue = 'urgent.queue'").collect()[0].delivery_priority == 10
+    rec = to_kafka_records(df).collect()
+    assert rec[0].key == "a" and '"amount":null' in rec[0].value
+    assert to_kafka_records(df, key=None).columns == ["value"]
+    h = scratch_path(spark, "t-hist")
+    append_history(df, h); append_history(df, h)
+    assert spark.read.parquet(h).count() == 4
