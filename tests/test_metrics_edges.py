@@ -73,3 +73,19 @@ def test_display_helpers(spark):
                   locale_number(F.col("b")).alias("c"), clock_time(F.col("t")).alias("t")).collect()[0]
     assert (r.a, r.c, r.t) == ("1,234,567", "0.925", "09:05:07")
     assert r.b in ("0.92", "0.93")
+
+
+def test_exact_percentiles_match_percentile_disc(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["u", "b"]), rnd.random() * 1000 if rnd.random() < 0.9 else float(rnd.randint(0, 5)))
+            for _ in range(3000)]
+    df = spark.createDataFrame(rows, "q string, x double")
+    a = {r.q: (r.p55_ms, r.p95_ms, r.p99_ms) for r in M.exact_percentiles(df, "x", (0.55, 0.95, 0.99), by=["q"]).collect()}
+    b = {r.q: (r.a, r.b, r.c) for r in df.groupBy("q").agg(
+        F.expr("percentile_disc(0.55) WITHIN GROUP (ORDER BY x)").alias("a"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY x)").alias("b"),
+        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY x)").alias("c")).collect()}
+    assert a == b
+    g = M.exact_percentiles(df, "x", (0.95,)).collect()[0]
+    assert g.p95_ms == df.selectExpr("percentile_disc(0.95) WITHIN GROUP (ORDER BY x) AS p").collect()[0].p
