@@ -34,8 +34,8 @@ def to_history(routed: DataFrame) -> DataFrame:
         F.col("target_queue"),
         F.col("matched_rule"),
         F.col("matched_priority"),
-        # routing latency is measured upstream (publish - receipt); a stream
-        # stamps receipt once per micro-batch, so raw input has no per-row value
+        # routing latency is measured upstream (publish - receipt; the stream
+        # router measures it per micro-batch); absent -> NULL
         opt("latency_ms", "double").alias("latency_ms"),
         opt("ts", "timestamp").alias("ts"),
         falsy_to_null(opt("benchmark_id"), s).alias("benchmark_id"),

@@ -11,6 +11,7 @@ changes reach the router (the intended behaviour of the cache invalidation).
 
 from __future__ import annotations
 
+import time
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -53,6 +54,7 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
     """The ``foreachBatch`` body: route one micro-batch and write queues, dead
     letters and history for it (K1, K2, K3)."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        received = time.time()                      # receipt of this micro-batch
         rules = rules_loader()                      # R13: fresh rules per batch
         batch = batch.persist()
         try:
@@ -70,6 +72,11 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
                 "delivery_priority", delivery_priority(F.col("target_queue")))
             routed = routed.persist()
             write_routed(routed, f"{out_dir}/routed", batch_id)
+            # latency = queue write done - receipt, as publish - receipt in the
+            # source; every message of a micro-batch shares its batch's value
+            published_ms = round((time.time() - received) * 1000.0, 3)
+            if "latency_ms" not in routed.columns:
+                routed = routed.withColumn("latency_ms", F.lit(published_ms))
             append_history(to_history(routed), f"{out_dir}/history", batch_id)
             routed.unpersist()
         finally:

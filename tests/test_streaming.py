@@ -43,6 +43,8 @@ def test_raw_stream_dead_letters_and_rule_refresh(spark, tmp_path):
     q.awaitTermination()
     routed = {r.id: r.target_queue for r in spark.read.parquet(f"{out}/routed").collect()}
     assert routed == {"a": "urgent.queue", "b": "batch.queue"}
+    hist = spark.read.parquet(f"{out}/history").collect()
+    assert all(h.latency_ms is not None and h.latency_ms > 0 for h in hist)
     dl = {r.reason for r in spark.read.parquet(f"{out}/dead_letters").collect()}
     assert dl == {"missing_required", "malformed_json"}
     # A rule change is picked up by the next micro-batch
