@@ -251,25 +251,20 @@ def route_json(df: DataFrame, rules, v: str = "v") -> DataFrame:
 
 
 def route_join_form(df: DataFrame, rules, key: str = "id") -> DataFrame:
-    """J1/W1, relational form: left theta join with the (broadcast, bounded)
-    rule table and ``min(position)`` per message.  Kept as the cross-check of
+    """J1 / W1, relational form: the set of (message, matching rule) pairs,
+    then the lowest position per message.  Each message emits only the
+    positions of the rules it matches (a generator over one array, no nested
+    loop join), and ``min`` per key picks the first match.  A cross-check of
     the compiled chain; ``route`` is the production path (no shuffle)."""
     rs = collect_rules(rules)
-    spark = df.sparkSession
-    cond = None
-    # CASE on the rule position: Spark evaluates it as a BroadcastNestedLoopJoin
-    # against at most MAX_RULES rows, one predicate per pair.
-    pos_df = spark.createDataFrame([(i,) for i in range(len(rs))], "_rpos int")
-    # evaluate only the predicate of the rule on the other side of the pair
     schema = df.schema
     if rs:
-        whens = " ".join(f"WHEN {i} THEN {predicate_sql(schema, r)}" for i, r in enumerate(rs))
-        cond = F.expr(f"CASE _rpos {whens} ELSE false END")
+        hits = ", ".join(f"CASE WHEN {predicate_sql(schema, r)} THEN {i} END" for i, r in enumerate(rs))
+        matches = F.expr(f"array_compact(array({hits}))")
     else:
-        cond = F.lit(False)
-    m = (df.select(key, *[c for c in df.columns if c != key])
-           .join(F.broadcast(pos_df), cond, "left")
-           .groupBy(key).agg(F.min("_rpos").alias(_POS)))
+        matches = F.array().cast("array<int>")
+    pairs = df.select(key, F.explode_outer(matches).alias("_rpos"))
+    m = pairs.groupBy(key).agg(F.min("_rpos").cast("int").alias(_POS))
     return _decorate(m, rs)
 
 

@@ -40,3 +40,10 @@ def test_two_cohort_comparison_is_one_aggregation(spark):
     from routelytics.plans import fixture as FX
     p = _plan(compare_cohorts(FX.all_history(spark, SF001), FX.SMART_ID, FX.NAIVE_ID))
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
+
+
+def test_join_form_has_no_nested_loop(spark):
+    from routelytics.operators.routing import route_join_form
+    o = read_table(spark, SF001, "orders")
+    p = _plan(route_join_form(o, ORDER_RULES, key="o_orderkey"))
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
