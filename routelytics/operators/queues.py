@@ -84,7 +84,7 @@ def depth_events(routed: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def queue_depth_series(routed: DataFrame, processed: DataFrame,
-                       every: str = DEPTH_SAMPLE_EVERY) -> DataFrame:
+                       every: str = DEPTH_SAMPLE_EVERY, materialize: bool = True) -> DataFrame:
     """ST5 (batch form): depth per queue at the end of every sampling window.
     Deltas are pre-aggregated per (queue, window) with map-side combine; the
     running depth is a distributed ordered scan over the windows of a queue."""
@@ -93,6 +93,11 @@ def queue_depth_series(routed: DataFrame, processed: DataFrame,
            .agg(F.sum("delta").alias("net"))
            .select("target_queue", F.col("w.start").alias("window_start"),
                    F.col("w.end").alias("window_end"), "net"))
+    if materialize:
+        # the nets are small (one row per queue and window) but cost a full pass
+        # over routing and processing; a reliable checkpoint (spark.checkpoint.dir)
+        # computes them once for the scan's planning pass and the scan itself
+        per = per.checkpoint(eager=True)
     return depth_from_nets(per)
 
 
