@@ -77,7 +77,9 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feed_path(spark: SparkSession, sf_dir: str) -> str:
     import hashlib
     from ..session import ensure_checkpoint_dir
-    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    local = "://" not in sf_dir
+    key = os.path.abspath(sf_dir) if local else sf_dir.rstrip("/")
+    tag = hashlib.sha1(key.encode()).hexdigest()[:12]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-feed-{tag}"
 
 
