@@ -131,3 +131,19 @@ def test_decomposed_equals_chain_on_random_rules(spark):
     a = {r.id: r.matched_priority for r in route(df, rules, method="chain").collect()}
     b = {r.id: r.matched_priority for r in route(df, rules, method="decomposed").collect()}
     assert a == b
+
+
+def test_auto_switches_to_decomposed_for_large_rule_sets(spark):
+    rnd = random.Random(11)
+    rules = [(p, "type", "equals", f"t{rnd.randint(0, 700)}", "urgent") if p % 2 else
+             (p, "amount", rnd.choice(["greaterThan", "lessThan"]), rnd.uniform(0, 1000), "batch")
+             for p in range(1, 602)]
+    rows = [(f"m{i}", f"t{rnd.randint(0, 700)}", "low", rnd.uniform(0, 1000), 0.1, "", None) for i in range(200)]
+    df = _df(spark, rows)
+    auto = route(df, rules)
+    assert "_bk_" not in " ".join(auto.columns)            # helper columns dropped
+    a = {r.id: r.matched_priority for r in auto.collect()}
+    b = {r.id: r.matched_priority for r in route(df, rules, method="chain").collect()}
+    assert a == b
+    plan = auto._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan                                    # the decomposed form was chosen
