@@ -25,6 +25,15 @@ from ..schemas import MESSAGE
 from ..sinks.tables import append_history, write_dead_letters, write_routed
 
 
+def rules_from_table(spark, path: str) -> Callable[[], object]:
+    """A loader that re-reads the rule table (S4) each time it is called;
+    the router calls it at the start of every micro-batch, so a change written
+    to the table (``rules.apply_rule_changes`` then ``seed.write_rules``) is
+    used by the next batch."""
+    from ..operators.rules import collect_rules, load_rules
+    return lambda: collect_rules(load_rules(spark, path))
+
+
 def stamp_received(df: DataFrame) -> DataFrame:
     """Receipt time (one value per micro-batch)."""
     return df.withColumn("received_at", F.current_timestamp())

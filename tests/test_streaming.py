@@ -56,3 +56,32 @@ def test_raw_stream_dead_letters_and_rule_refresh(spark, tmp_path):
     q.awaitTermination()
     routed = {r.id: r.target_queue for r in spark.read.parquet(f"{out}/routed").collect()}
     assert routed["c"] == "urgent.queue" and routed["a"] == "urgent.queue"
+
+
+def test_rule_table_changes_reach_the_router(spark):
+    from routelytics.operators.rules import apply_rule_changes
+    from routelytics.schemas import RULE_CHANGE
+    from routelytics.sources.seed import seed_rules, write_rules
+    from routelytics.streaming.router import rules_from_table
+    rules_path = scratch_path(spark, "t-rules")
+    write_rules(seed_rules(spark, [(1, "type", "equals", "fraud", "urgent", "fraud")]), rules_path)
+    src = scratch_path(spark, "t-rt-src")
+    os.makedirs(src, exist_ok=True)
+    with open(f"{src}/0.json", "w") as f:
+        f.write(json.dumps({"value": json.dumps({"id": "a", "type": "report"})}) + "\n")
+    out = scratch_path(spark, "t-rt-out")
+    loader = rules_from_table(spark, rules_path)
+    run = lambda: route_stream(spark.readStream.schema("value string").json(src), loader, out,
+                               f"{out}/_ck", raw=True, available_now=True).awaitTermination()
+    run()
+    change = spark.createDataFrame([(1, "create", "r0002", "type", "equals", "report", None, "urgent", 2,
+                                     "eventType", None)], RULE_CHANGE)
+    new_rules, _ = apply_rule_changes(spark.read.parquet(rules_path), change)
+    from routelytics.schemas import RULE
+    snapshot = spark.createDataFrame(new_rules.collect(), RULE)   # rule tables are bounded
+    write_rules(snapshot, rules_path)                             # same table, same loader
+    with open(f"{src}/1.json", "w") as f:
+        f.write(json.dumps({"value": json.dumps({"id": "b", "type": "report"})}) + "\n")
+    run()
+    got = {r.id: r.target_queue for r in spark.read.parquet(f"{out}/routed").collect()}
+    assert got == {"a": "batch.queue", "b": "urgent.queue"}
