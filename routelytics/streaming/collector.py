@@ -5,6 +5,10 @@ A batch is flushed when it holds ``size`` messages, or ``timeout_ms`` after the
 is the pending list (at most ``size - 1`` messages) plus a batch counter, in
 the state store (RocksDB provider), with one processing-time timer.
 
+Shutdown ("flush the rest at stop") arrives as a control row: a row with a
+NULL ``message_id`` makes its collector flush what it holds at once
+(``flushed_by='stop'``); ``stop_markers`` builds one per collector.
+
 Collectors are keyed by a ``shard`` column: one shard reproduces the single
 collector of the source system; hashing messages over many shards gives many
 independent collectors, so no single task carries the whole queue.  The
@@ -72,9 +76,15 @@ class BatchCollector(StatefulProcessor):
         shard = key[0]
         items = list(self.pending.get()) if self.pending.exists() else []
         items = [(m, t) for m, t in items]
-        arrivals = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "message_id"])
+        arrivals = pd.concat(list(rows), ignore_index=True).sort_values(
+            ["ts_ms", "message_id"], na_position="last")
         out = []
         for m, t in zip(arrivals["message_id"], arrivals["ts_ms"]):
+            if m is None or (isinstance(m, float) and pd.isna(m)):   # stop marker
+                if items:
+                    out.append(self._flush(shard, items, "stop"))
+                    items = []
+                continue
             items.append((m, int(t)))
             if len(items) >= self.size:
                 out.append(self._flush(shard, items, "size"))
@@ -100,6 +110,13 @@ class BatchCollector(StatefulProcessor):
         pass
 
 
+def stop_markers(spark, shards: int):
+    """One stop marker per collector (shards 0..n-1 as keyed by
+    ``collect_batches`` without an explicit shard column)."""
+    return spark.createDataFrame([(str(i), None, None) for i in range(shards)],
+                                 "shard string, message_id string, ts_ms long")
+
+
 def collect_batches(stream: DataFrame, shard: str | None = None, size: int = BATCH_SIZE,
                     timeout_ms: int = BATCH_TIMEOUT_MS, shards: int | None = None) -> DataFrame:
     """Apply the collector to a stream of (message_id, ts_ms).  ``shard`` names
@@ -110,7 +127,11 @@ def collect_batches(stream: DataFrame, shard: str | None = None, size: int = BAT
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     if shard is None:
         n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        stream = stream.withColumn("_shard", (F.abs(F.xxhash64("message_id")) % n).cast("string"))
+        if "shard" in stream.columns:       # stop markers carry their collector
+            stream = stream.withColumn("_shard", F.coalesce(
+                F.col("shard"), (F.abs(F.xxhash64("message_id")) % n).cast("string")))
+        else:
+            stream = stream.withColumn("_shard", (F.abs(F.xxhash64("message_id")) % n).cast("string"))
         shard = "_shard"
     keyed = stream.select(F.col(shard).cast("string").alias("shard"), "message_id",
                           F.col("ts_ms").cast("long").alias("ts_ms"))

@@ -27,3 +27,28 @@ def test_collector_size_and_timeout(spark):
         q.stop()
     rows = spark.sql(f"select batch_no, flushed_by, count(*) n from {name} group by 1, 2 order by 1").collect()
     assert [(r.flushed_by, r.n) for r in rows] == [("size", 10), ("size", 10), ("size", 10), ("timeout", 7)]
+
+
+def test_collector_flushes_at_stop(spark):
+    from routelytics.streaming.collector import stop_markers
+    src = scratch_path(spark, "t-stop-src")
+    schema = "shard string, message_id string, ts_ms long"
+    spark.createDataFrame([(None, f"m{i:03d}", 1000 + i) for i in range(13)], schema) \
+        .coalesce(1).write.parquet(f"{src}/a")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+    out = collect_batches(stream, shards=1, size=10, timeout_ms=3_600_000)   # timer never fires
+    name = "collector_stop"
+    q = (out.writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, "t-stop-ck"))
+         .trigger(processingTime="500 milliseconds").start())
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and spark.sql(f"select count(*) c from {name}").collect()[0].c < 10:
+            time.sleep(1)
+        stop_markers(spark, 1).coalesce(1).write.parquet(f"{src}/b")
+        while time.time() < deadline and spark.sql(f"select count(*) c from {name}").collect()[0].c < 13:
+            time.sleep(1)
+    finally:
+        q.stop()
+    rows = spark.sql(f"select flushed_by, count(*) n from {name} group by 1 order by 1").collect()
+    assert [(r.flushed_by, r.n) for r in rows] == [("size", 10), ("stop", 3)]
