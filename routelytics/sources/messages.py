@@ -109,20 +109,25 @@ def stream_path(path: str) -> str:
 
 
 def read_messages_stream(spark: SparkSession, path: str, schema,
-                         fmt: str = "parquet", start: str = "latest",
+                         fmt: str = "parquet", start: str = "earliest",
                          max_files_per_trigger: int | None = None) -> DataFrame:
     """The message topic as a streaming DataFrame.
 
     A broker source (``format('kafka')`` with ``startingOffsets=start``) plugs in
-    here; the image has no broker package, so files stand in for the topic.  A
-    file source always starts from the earliest file; 'latest' is honoured by
-    ``latestFirst``."""
+    here; the image has no broker package, so files stand in for the topic.
+    ``start='earliest'`` replays every file; ``start='latest'`` subscribes from
+    now: only files written after the stream is defined are read (filter on the
+    file modification time of the source's ``_metadata`` column)."""
+    import time
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = reader.load(stream_path(path))
     if start == "latest":
-        reader = reader.option("latestFirst", "false")
-    return reader.load(stream_path(path))
+        since_ms = int(time.time() * 1000)
+        df = (df.filter(F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(since_ms)))
+                .select(*[f.name for f in schema.fields]))
+    return df
 
 
 def read_queue(routed: DataFrame, queue: str) -> DataFrame:

@@ -85,3 +85,18 @@ def test_rule_table_changes_reach_the_router(spark):
     run()
     got = {r.id: r.target_queue for r in spark.read.parquet(f"{out}/routed").collect()}
     assert got == {"a": "batch.queue", "b": "urgent.queue"}
+
+
+def test_latest_start_skips_existing_messages(spark):
+    import time
+    src = scratch_path(spark, "t-latest")
+    spark.createDataFrame([("old",)], "id string").write.mode("append").parquet(src)
+    time.sleep(1.2)
+    s = read_messages_stream(spark, src, spark.createDataFrame([], "id string").schema, start="latest")
+    time.sleep(1.2)
+    spark.createDataFrame([("new",)], "id string").write.mode("append").parquet(src)
+    out = scratch_path(spark, "t-latest-out")
+    q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_ck") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r.id for r in spark.read.parquet(out).collect()] == ["new"]
