@@ -90,9 +90,14 @@ def mark_processed(history: DataFrame, processed: DataFrame, key=KEY) -> DataFra
     duplicates."""
     hist = history.drop(*[c for c in ("processed_ms",) if c in history.columns])
     w = Window.partitionBy(*key).orderBy("ts", "target_queue")
-    ranked = hist.withColumn("_rn", F.row_number().over(w))
-    p = _latest_per_key(processed, key).withColumn("_rn", F.lit(1))
-    return ranked.join(p, [*key, "_rn"], "left").drop("_rn")
+    h = hist.withColumn("_rn", F.row_number().over(w)).alias("h")
+    p = _latest_per_key(processed, key).alias("p")
+    # equi-join on the key (the rank window already partitioned history by it);
+    # "only the first row" is an extra join condition, not a join key
+    cond = [F.col(f"h.{k}") == F.col(f"p.{k}") for k in key] + [F.col("h._rn") == 1]
+    j = h.join(p, cond, "left")
+    extra = [c for c in p.columns if c not in key]
+    return j.select("h.*", *[F.col(f"p.{c}") for c in extra]).drop("_rn")
 
 
 def recent_history(history: DataFrame, limit=HISTORY_DEFAULT_LIMIT) -> DataFrame:
