@@ -51,7 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="routelytics-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)   # for DataFrame.checkpoint()
+    except Exception:  # noqa: BLE001  (no SparkContext handle, e.g. a remote session)
+        pass
     return path
 
 

@@ -39,10 +39,12 @@ def spread_scan(df: DataFrame) -> DataFrame:
     row group) is spread round-robin before CPU-heavy per-row work.  A large
     scan already has more splits than cores and is left as it is: no shuffle
     is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD API, e.g. a remote session)
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def _pick(pool: list[str], idx: str) -> str:
