@@ -71,3 +71,17 @@ def test_chunks_per_shard(spark):
         seq = sorted(((i, t) for i, gg, t, _ in rows if gg == g), key=lambda x: (x[1], x[0]))
         expected += _simulate(seq, 4, 300)
     assert sorted(sorted(c) for c in got.values()) == sorted(sorted(c) for c in expected)
+
+
+def test_hot_key_is_spread_over_blocks(spark):
+    from pyspark.sql import functions as F
+    from routelytics.operators.scan import BLK, assign_blocks, plan_blocks
+    rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i, 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, t long, v long")
+    bounds = plan_blocks(df, "t", blocks=12)
+    per = (assign_blocks(df, "t", bounds).filter(F.col("g") == "hot")
+           .groupBy(BLK).count().collect())
+    assert len(per) >= 10 and max(r["count"] for r in per) <= 2000 / 6
+    out = ordered_scan(df, ["g"], ["t"], sums=["v"], blocks=12).filter(F.col("g") == "hot")
+    got = sorted((r.t, r.pos, r.cum_v) for r in out.collect())
+    assert [(p, c) for _, p, c in got] == [(i, i) for i in range(1, 2001)]
