@@ -47,13 +47,18 @@ def collect_rules(rules: DataFrame | Iterable) -> list[Rule]:
 
     Accepts a rule DataFrame (RULE schema) or tuples (see sources.seed)."""
     if isinstance(rules, DataFrame):
-        rows = (rules.select("rule_id", "field", "operator", "value_str", "value_num",
-                             "target_queue", "priority", "category")
+        have = set(rules.columns)
+        opt = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
+        rows = (rules.select(opt("rule_id", "string").alias("rule_id"), "field", "operator",
+                             opt("value_str", "string").alias("value_str"),
+                             opt("value_num", "double").alias("value_num"),
+                             "target_queue", "priority", opt("category", "string").alias("category"))
                 .limit(MAX_RULES + 1).collect())
         if len(rows) > MAX_RULES:
             raise ValueError(f"rule table has more than {MAX_RULES} rules")
-        out = [Rule(r.rule_id, r.field, r.operator, _value_of(r.value_str, r.value_num),
-                    r.target_queue, int(r.priority or 0), r.category) for r in rows]
+        out = [Rule(r.rule_id or f"r{int(r.priority or 0):04d}-{i}", r.field, r.operator,
+                    _value_of(r.value_str, r.value_num), r.target_queue, int(r.priority or 0),
+                    r.category) for i, r in enumerate(rows)]
     else:
         out = []
         for t in rules:

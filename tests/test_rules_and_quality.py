@@ -98,3 +98,15 @@ def test_sinks(spark):
     h = scratch_path(spark, "t-hist")
     append_history(df, h); append_history(df, h)
     assert spark.read.parquet(h).count() == 4
+
+
+def test_minimal_rule_table_loads(spark):
+    from routelytics.operators.routing import route
+    rules = spark.createDataFrame([("type", "equals", "fraud", None, "urgent", 1),
+                                   ("amount", "lessThan", None, 10.0, "batch", 2)],
+                                  "field string, operator string, value_str string, value_num double, "
+                                  "target_queue string, priority int")
+    msgs = spark.createDataFrame([("a", "fraud", 50.0), ("b", "log", 5.0), ("c", "log", 50.0)],
+                                 "id string, type string, amount double")
+    got = {r.id: r.matched_priority for r in route(msgs, rules).collect()}
+    assert got == {"a": 1, "b": 2, "c": None}
