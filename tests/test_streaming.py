@@ -100,3 +100,15 @@ def test_latest_start_skips_existing_messages(spark):
         .trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.id for r in spark.read.parquet(out).collect()] == ["new"]
+
+
+def test_console_sink_runs(spark):
+    from routelytics.streaming.router import console_sink
+    src = scratch_path(spark, "t-console")
+    spark.createDataFrame([("a", "fraud")], "id string, type string").write.parquet(src)
+    s = read_messages_stream(spark, src, spark.read.parquet(src).schema)
+    q = console_sink(s, scratch_path(spark, "t-console-ck"))
+    q.processAllAvailable()
+    progress = q.lastProgress
+    q.stop()
+    assert progress is not None and progress["numInputRows"] == 1
