@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (BATCH_P95_TARGET_MS, BATCH_QUEUE,
+from ..constants import (ACCURACY_VIEW_THRESHOLD, BATCH_P95_TARGET_MS, BATCH_QUEUE,
                          CRITICAL_ACCURACY_TARGET, METRICS_WINDOW_ROWS,
                          MISSING_P95_MS, URGENT_P95_TARGET_MS, URGENT_QUEUE)
 from .history import clean_latency, recent_history
@@ -323,7 +323,7 @@ def live_metrics(h: DataFrame, n: int = METRICS_WINDOW_ROWS) -> DataFrame:
                  F.count(ms).alias("_nts"), F.min(ms).alias("_t0"), F.max(ms).alias("_t1"))
     empty = F.col("total_messages") == 0
     dur = F.when(F.col("_nts") > 1, (F.col("_t1") - F.col("_t0")) / F.lit(1000.0)).otherwise(F.lit(1.0))
-    return a.select(
+    out = a.select(
         "total_messages",
         F.coalesce(F.col("_avg"), F.lit(0.0)).alias("avg_latency_ms"),
         "urgent_count", "batch_count",
@@ -332,6 +332,8 @@ def live_metrics(h: DataFrame, n: int = METRICS_WINDOW_ROWS) -> DataFrame:
         F.when(empty, F.lit(0.0)).otherwise(
             F.try_divide(F.col("total_messages").cast("double"), F.greatest(dur, F.lit(1.0))))
          .alias("throughput"))
+    # the view shows accuracy as healthy from 95 % up
+    return out.withColumn("accuracy_ok", F.col("accuracy_pct") >= F.lit(ACCURACY_VIEW_THRESHOLD))
 
 
 def queue_split(metrics: DataFrame) -> DataFrame:

@@ -662,7 +662,7 @@ lm AS (
 """
 
 
-@query("live_metrics", _LIVE + "SELECT * FROM lm")
+@query("live_metrics", _LIVE + "SELECT *, accuracy_pct >= 95.0 AS accuracy_ok FROM lm")
 def live_metrics(spark, sf):
     """A15 (+ T2): endpoint metrics over the newest 1000 rows."""
     return M.live_metrics(FX.history(spark, sf))
