@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as ED
 from . import mixing as MX
+from . import simhash as SH
 from . import warc as WA
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +76,12 @@ def op5_mixing(spark, sf):
     return MX.mix(_read(spark, sf, "documents")).drop("source", "text_hash")
 
 
+@query("op8_simhash")
+def op8_simhash(spark, sf):
+    """Near-duplicate components of all documents: 4-word shingles, 4 bits."""
+    return SH.simhash_components(_read(spark, sf, "documents")).drop("text_hash")
+
+
 @query("op10_warc", r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
