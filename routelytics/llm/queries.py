@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as ED
 from . import mixing as MX
+from . import packing as PK
 from . import simhash as SH
 from . import warc as WA
 
@@ -30,6 +31,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+@query("op1_packing")
+def op1_packing(spark, sf):
+    """Best-fit packing of all documents into sequences of 4,096 tokens."""
+    return PK.pack(_read(spark, sf, "documents"))
+
+
 @query("op2_exact_dedup", r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,
