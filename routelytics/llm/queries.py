@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup as ED
 from . import mixing as MX
 from . import packing as PK
+from . import secrets as SE
 from . import simhash as SH
 from . import warc as WA
 
@@ -83,6 +84,21 @@ def op5_mixing(spark, sf):
     return MX.mix(_read(spark, sf, "documents")).drop("source", "text_hash")
 
 
+def _joined(spans):
+    """``kind:start:end`` of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query("op7_secrets")
+def op7_secrets(spark, sf):
+    """Secrets in all documents; counts and digest of the base kinds, spans of all."""
+    found = SE.find_secrets(_read(spark, sf, "documents"))
+    base = [r.name for r in SE.BASE]
+    n = [F.size(F.filter("secrets", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *n, F.sha2(_joined(F.filter(
+        "secrets", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+
+
 @query("op8_simhash")
 def op8_simhash(spark, sf):
     """Near-duplicate components of all documents: 4-word shingles, 4 bits."""
