@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as ED
+from . import line_rules as LR
 from . import mixing as MX
 from . import packing as PK
+from . import pii as PI
 from . import secrets as SE
 from . import simhash as SH
 from . import warc as WA
@@ -89,12 +91,25 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query("op6_pii")
+def op6_pii(spark, sf):
+    """Personal data in all documents; counts and digest of the base spans, spans of all."""
+    found = PI.find_pii(_read(spark, sf, "documents"))
+    base = F.filter("pii", lambda x: x["base"])
+    n = [_count(base, k) for k in PI.BASE]
+    return found.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+
+
 @query("op7_secrets")
 def op7_secrets(spark, sf):
     """Secrets in all documents; counts and digest of the base kinds, spans of all."""
     found = SE.find_secrets(_read(spark, sf, "documents"))
     base = [r.name for r in SE.BASE]
-    n = [F.size(F.filter("secrets", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    n = [_count(F.col("secrets"), k) for k in base]
     return found.select("doc_id", *n, F.sha2(_joined(F.filter(
         "secrets", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
 
@@ -105,6 +120,36 @@ def op8_simhash(spark, sf):
     return SH.simhash_components(_read(spark, sf, "documents")).drop("text_hash")
 
 
+@query("op9_line_rules", r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, list_aggregate(ws[i:i + 2], 'string_agg', ' ') AS w
+  FROM d, unnest(range(1, len(ws) - 1)) r(i) WHERE len(ws) >= 3),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM rep, unnest([0, 1, 2]) e(k) GROUP BY doc_id),
+ln AS (
+  SELECT doc_id, source, t, raw, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
+  FROM d, unnest(string_split(t, chr(10))) u(raw) WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
+fr AS (SELECT source, line FROM ln GROUP BY ALL HAVING count(DISTINCT t) > 10),
+rm AS (
+  SELECT doc_id, sum(len(string_split(ln.line, ' ')))::BIGINT AS n FROM ln
+  WHERE EXISTS (SELECT 1 FROM fr WHERE fr.line = ln.line AND fr.source IS NOT DISTINCT FROM ln.source) GROUP BY doc_id),
+dup AS (SELECT doc_id, (count(*) - count(DISTINCT raw))::BIGINT AS n FROM ln GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(length(list_aggregate(ws, 'string_agg', '')), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+         coalesce(cov.n, 0) AS n_repeat_words, coalesce(rm.n, 0) AS n_removed
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN rm USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_removed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed >= 0.5 * n_words AS kept FROM b""")
+def op9_line_rules(spark, sf):
+    """Quality rules and cross-document line frequency of all documents."""
+    return LR.line_rules(_read(spark, sf, "documents"))
+
+
 @query("op10_warc", r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
