@@ -13,6 +13,7 @@ from . import line_rules as LR
 from . import mixing as MX
 from . import packing as PK
 from . import pii as PI
+from . import quality_mil as QM
 from . import secrets as SE
 from . import simhash as SH
 from . import warc as WA
@@ -91,6 +92,12 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+@query("op4_quality")
+def op4_quality(spark, sf):
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    return QM.classify(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
 def _count(spans, kind: str):
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
