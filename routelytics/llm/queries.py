@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as ED
+from . import langid_crf as LI
 from . import line_rules as LR
 from . import mixing as MX
 from . import packing as PK
@@ -92,6 +93,12 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+@query("op3_language")
+def op3_language(spark, sf):
+    """The language of all documents, learned from the rows that are not held out."""
+    return LI.identify(_read(spark, sf, "documents"))
+
+
 @query("op4_quality")
 def op4_quality(spark, sf):
     """Quality scores of all documents, learned from the labels that are not held out."""
