@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,7 +115,6 @@ def running_totals(df: DataFrame, order: list, value: str, out: str, scratch: Sc
         .mapInPandas(block_sums, schema), "blocks")
     g = F.lit("") if group is None else F.col(group)
     totals = blocks.groupBy(g.alias("_g"), F.col("_block").alias("_b")).agg(F.sum(value).alias("_t"))
-    from pyspark.sql import Window
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # one row per block and group; a source's rows meet at most as many blocks as there are partitions
     offsets = scratch.table(totals.select("_g", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0))
@@ -126,10 +125,9 @@ def running_totals(df: DataFrame, order: list, value: str, out: str, scratch: Sc
             .select(*df.columns, out))
 
 
-def row_key(df: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Add ``_h`` (hash of ``columns``) and ``_n`` (a running number among rows that
-    agree on the id and the hash): together with the id they name one row, also where
-    ids are null or repeated.  Rows that agree on id and columns are exchangeable."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(id_col, "_h").orderBy("_h")
-    return df.withColumn("_h", F.xxhash64(*columns)).withColumn("_n", F.row_number().over(w))
+def numbered(df: DataFrame, hash_col: str, id_col: str = "doc_id", first=None) -> DataFrame:
+    """Add ``_n``: a running number among rows that agree on the id and ``hash_col`` (in
+    the order of ``first``, if given).  Id, hash and number together name one row, also
+    where ids are null or repeated; rows that agree on what is hashed are exchangeable."""
+    w = Window.partitionBy(id_col, hash_col).orderBy(hash_col if first is None else first)
+    return df.withColumn("_n", F.row_number().over(w))

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WS, Scratch, partitions
 
@@ -100,9 +101,10 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, text_col: str =
     ordered = (keyed.repartitionByRange(n, "_head", "_sha", *prefer)
                .sortWithinPartitions("_head", "_sha", "_norm", *prefer)
                .select("_id", "_sha", "_norm", *(["row"] if carry else [])))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields if f.name != "_norm")
-    runs = s.table(ordered.mapInArrow(
-        _runs, schema + ", _block int, _run long, _place long, _edge string"), "runs")
+    schema = T.StructType([f for f in ordered.schema.fields if f.name != "_norm"])
+    for name, kind in (("_block", T.IntegerType()), ("_run", T.LongType()), ("_place", T.LongType()), ("_edge", T.StringType())):
+        schema = schema.add(name, kind)
+    runs = s.table(ordered.mapInArrow(_runs, schema), "runs")
 
     # one row per block: its edges and the sizes and survivors of its first and last run
     narrow = runs.select("_id", "_block", "_run", "_place", "_edge")

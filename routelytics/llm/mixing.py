@@ -48,24 +48,24 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: int = 2,
         seed: str = "mix") -> DataFrame:
     """One row per document of ``docs`` (doc_id, text, source): doc_id, size (words),
     source_size, target (of its source), taken (words the mix takes; a multiple of
-    size, at most ``epochs`` times it), source, text_hash.
+    size, at most ``epochs`` times it), row_hash (of text and source).
 
     Null text has size 0; documents of size 0 are never taken.  Null sources form one
     source, the last.  Null and repeated ids are ordinary rows (rows alike in id,
     source and text are exchangeable).  An empty table gives an empty result.  Reruns
     give the same result: the shuffle is a hash of the id and ties go by source, hash,
-    id, text hash and copy number.  Extra columns are ignored.
+    id, row hash and copy number.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     s = Scratch(spark, "mix")
     sized = s.table(docs.select(
         "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.xxhash64("text").alias("text_hash"),
+        F.xxhash64("text", "source").alias("row_hash"),
         F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
         .alias("_key"), F.monotonically_increasing_id().alias("_row")), "sized")
     targets = s.table(source_targets(sized, s, weights, share, epochs), "targets")
     budget = targets.agg(F.sum("target")).first()[0] or 0.0
-    tie = ["_key", "doc_id", "text_hash", "_row"]
+    tie = ["_key", "doc_id", "row_hash", "_row"]
     sent = running_totals(sized, [F.col("source").asc_nulls_last(), *tie], "size", "_sent", s, "source")
     # the source table is joined by hash partitions of a few rows; hot sources: AQE splits them
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
@@ -79,4 +79,4 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: int = 2,
              .agg(F.sum("size").alias("_taken")))
     return sent.join(taken, "_row", "left").select(
         "doc_id", "size", "source_size", "target",
-        F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "source", "text_hash")
+        F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "row_hash")

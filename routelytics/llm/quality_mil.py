@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PASSAGE, STRETCH = 64, 1 << 21
 #: Labelled rows that the fit may use: the first by hash of the id.
@@ -230,7 +231,7 @@ def score_quality(docs: DataFrame, model: GatedAttention, carry: list[str], text
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], [*b.schema.names[:-1], "_score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "_score double"])
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("_score", T.DoubleType())])
     return src.mapInArrow(run, schema)
 
 

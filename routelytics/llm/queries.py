@@ -85,7 +85,7 @@ SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0) AS taken
 FROM c LEFT JOIN k ON c.doc_id = k.doc_id""")
 def op5_mixing(spark, sf):
     """Weighted fair queueing of all documents."""
-    return MX.mix(_read(spark, sf, "documents")).drop("source", "text_hash")
+    return MX.mix(_read(spark, sf, "documents")).drop("row_hash")
 
 
 def _joined(spans):
@@ -131,7 +131,7 @@ def op7_secrets(spark, sf):
 @query("op8_simhash")
 def op8_simhash(spark, sf):
     """Near-duplicate components of all documents: 4-word shingles, 4 bits."""
-    return SH.simhash_components(_read(spark, sf, "documents")).drop("text_hash")
+    return SH.simhash_components(_read(spark, sf, "documents")).drop("component", "text_hash")
 
 
 @query("op9_line_rules", r"""

@@ -196,7 +196,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_
                        cell_rows: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, fingerprint (16 hex digits),
     component_id (smallest id reachable over links of at most ``max_bits`` bits),
-    text_hash.
+    component (a number of the component, also where it has no id), text_hash.
 
     Null, empty and white-space texts have fingerprint zero and are linked like any
     other; a text of fewer words than a shingle is one shingle.  Null ids take part and
@@ -213,7 +213,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_
         "fp", "low", F.coalesce("v", "fp").alias("root")), "named")
     roots = s.table(named.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
     # written first, so that both sides of the joins are shuffled (or measured small) and hot keys can be split
-    by_fp = s.table(named.join(roots, "root").select("fp", "component_id"), "by_fp")
+    by_fp = s.table(named.join(roots, "root").select("fp", "component_id", "root"), "by_fp")
     return fps.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id", "text_hash")
+        "component_id", F.col("root").alias("component"), "text_hash")
