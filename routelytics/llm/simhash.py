@@ -8,8 +8,8 @@ of them, so it agrees on at least three groups; every fingerprint is therefore f
 under each choice of three groups (its projected grid cell), and pairs meet in a cell.
 There the Manhattan bound is tested over all axes, then the bit distance exactly.
 
-Copies fall together first (one row per distinct fingerprint), and a cell emits a
-spanning forest of its links, never all pairs; an edge is emitted only in the first
+Copies fall together first (one row per distinct fingerprint), and a cell of more than
+a few rows emits a spanning forest of its links, never all pairs; an edge is emitted only in the first
 cell its ends share, which loses no connection (by induction over the cells' order).
 Cells above ``cell_rows`` are split into chunks whose pairs are searched separately.
 """
@@ -30,8 +30,9 @@ from .components import components
 
 SEED = 42
 LOW = 0x5555555555555555
-#: Runs up to this length are searched by comparing neighbours at every offset.
-SHORT = 48
+#: Cells up to this size are searched by comparing rows at every offset, and all their links
+#: (fewer than this for a row) emitted; larger ones give a spanning forest.
+SHORT = 12
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
