@@ -24,6 +24,7 @@ URGENT_QUEUE = "urgent.queue"
 BATCH_QUEUE = "batch.queue"
 DEAD_LETTER_QUEUE = "dead.letter.queue"
 NAIVE_QUEUE = "naive.queue"
+TOPIC = "events"
 URGENT_DELIVERY_PRIORITY = 10
 OTHER_DELIVERY_PRIORITY = 1
 DEFAULT_LABEL = "batch"
@@ -57,4 +58,3 @@ RISK_FLAG_THRESHOLD = 0.8
 
 # ---- fixed values: rule engine ----------------------------------------------
 OPERATORS = ("equals", "contains", "greaterThan", "lessThan")
-RULE_CATEGORIES = ("fraud", "payment", "risk", "priority", "eventType", "region")

@@ -14,8 +14,8 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def iso_ms(ts: Column) -> Column:
-    """``toISOString()`` (UTC session time zone)."""
-    return F.date_format(ts, ISO_MS)
+    """``toISOString()``: UTC, whatever the session's time zone."""
+    return F.date_format(F.timestamp_add("MILLISECOND", F.unix_millis(ts), F.lit("1970-01-01").cast("timestamp_ntz")), ISO_MS)
 
 
 def parse_ts(text: Column) -> Column:

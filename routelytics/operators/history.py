@@ -22,7 +22,8 @@ KEY = ["benchmark_id", "message_id"]
 
 
 def to_history(routed: DataFrame) -> DataFrame:
-    """One history row per routed message; falsy values become NULL."""
+    """One history row per routed message; falsy values become NULL (G2).  ``ts`` is
+    the routing time: ``routed_at`` where the router stamped it, else the message's own."""
     s, d = StringType(), DoubleType()
     have = set(routed.columns)
 
@@ -37,7 +38,7 @@ def to_history(routed: DataFrame) -> DataFrame:
         # routing latency is measured upstream (publish - receipt; the stream
         # router measures it per micro-batch); absent -> NULL
         opt("latency_ms", "double").alias("latency_ms"),
-        opt("ts", "timestamp").alias("ts"),
+        opt("routed_at" if "routed_at" in have else "ts", "timestamp").alias("ts"),
         falsy_to_null(opt("benchmark_id"), s).alias("benchmark_id"),
         F.coalesce(opt("is_critical", "boolean"), F.lit(False)).alias("is_critical"),
         falsy_to_null(opt("type"), s).alias("message_type"),
@@ -52,6 +53,15 @@ def to_history(routed: DataFrame) -> DataFrame:
     return routed.select(*cols, *[F.col(c) for c in extras])
 
 
+def same_key(left: str, right: str, key=None):
+    """Join condition on the key; a missing cohort (optional in messages) is a cohort.
+    Null-safe equality is hash-joined like any other."""
+    cond = F.lit(True)
+    for k in key or KEY:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
 def consumer_of(queue) -> "F.Column":
     return F.when(queue == URGENT_QUEUE, F.lit(URGENT_CONSUMER)).otherwise(F.lit(BATCH_CONSUMER))
 
@@ -61,7 +71,7 @@ def processed_log(history: DataFrame, cost_col: str | None = None) -> DataFrame:
     ``processed_ms`` is set (PROCESSED schema)."""
     cost = F.col(cost_col).cast("double") if cost_col else F.lit(None).cast("double")
     return (history.filter(F.col("processed_ms").isNotNull())
-            .select("benchmark_id", "message_id", "processed_ms",
+            .select("benchmark_id", "message_id", "target_queue", "processed_ms",
                     consumer_of(F.col("target_queue")).alias("processed_by"),
                     cost.alias("processing_time"),
                     F.lit("processed").alias("status")))
@@ -80,21 +90,27 @@ def mark_processed_many(history: DataFrame, processed: DataFrame, key=KEY) -> Da
     ``key=['message_id']`` reproduces the source system, whose ids repeat
     across runs (G9)."""
     hist = history.drop(*[c for c in ("processed_ms",) if c in history.columns])
-    return hist.join(_latest_per_key(processed, key), list(key), "left")
+    h, p = hist.alias("h"), _latest_per_key(processed, key).alias("p")
+    extra = [c for c in p.columns if c not in key]
+    return h.join(p, same_key("h", "p", key), "left").select("h.*", *[F.col(f"p.{c}") for c in extra])
 
 
 def mark_processed(history: DataFrame, processed: DataFrame, key=KEY) -> DataFrame:
-    """J2 (find-one-and-update): only the first history row of a key (by time,
-    then queue) receives the processed fields; duplicates stay 'routed'.
-    The rank window is keyed by message, so no partition outgrows one id's
-    duplicates."""
+    """J2 (find-one-and-update): only the first history row of a key (by time, then
+    queue, then the row's other columns) receives the processed fields; duplicates stay
+    'routed'.  Rows without a message id match no update, so they are kept out of the
+    window, whose partitions are one id's duplicates."""
     hist = history.drop(*[c for c in ("processed_ms",) if c in history.columns])
-    w = Window.partitionBy(*key).orderBy("ts", "target_queue")
+    lead = [c for c in ("ts", "target_queue") if c in hist.columns]
+    rest = sorted(c for c in hist.columns if c not in (*lead, *key))
+    # ids that are missing are told apart by a hash, so they share no partition
+    alone = F.when(F.col("message_id").isNull(), F.xxhash64(*lead, *rest))
+    w = Window.partitionBy(*key, alone).orderBy(*lead, *rest)
     h = hist.withColumn("_rn", F.row_number().over(w)).alias("h")
     p = _latest_per_key(processed, key).alias("p")
     # equi-join on the key (the rank window already partitioned history by it);
     # "only the first row" is an extra join condition, not a join key
-    cond = [F.col(f"h.{k}") == F.col(f"p.{k}") for k in key] + [F.col("h._rn") == 1]
+    cond = same_key("h", "p", key) & (F.col("h._rn") == 1) & F.col("h.message_id").isNotNull()
     j = h.join(p, cond, "left")
     extra = [c for c in p.columns if c not in key]
     return j.select("h.*", *[F.col(f"p.{c}") for c in extra]).drop("_rn")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import (BATCH_ACTION_COST_MS, BATCH_SIZE, BATCH_TIMEOUT_MS,
                          URGENT_ACTION_AMOUNT, URGENT_ACTION_COST_MS,
                          URGENT_ACTION_RISK)
-from .scan import BLK, assign_blocks, plan_blocks
+from .scan import BLK, ordered_blocks
 
 
 def urgent_action(type_col: Column, amount: Column, risk: Column) -> Column:
@@ -65,7 +65,7 @@ def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
 
     One collector is one ordered sequence (``shard=None``); a ``shard`` column
     models several collectors.  Neither is gathered into one task: the sequence
-    is cut into blocks at fixed time cut points (see ``scan``); each block finds
+    is range-sorted into blocks (see ``scan``); each block finds
     its rank, previous stamp and last local run start with one window; a tiny
     window over the per-block summaries carries counts, the previous block's
     last stamp and the run start in effect across block borders.
@@ -73,7 +73,7 @@ def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
     Adds ``pos``, ``run_start`` (position of the run start), ``chunk_no``
     (within the run) and ``chunk_id`` (string key)."""
     P = [shard] if shard else []
-    d = assign_blocks(df, ts_ms, plan_blocks(df, ts_ms, blocks))
+    d = ordered_blocks(df, [ts_ms, key], blocks)
     w = Window.partitionBy(*P, BLK).orderBy(ts_ms, key)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev = F.lag(ts_ms).over(w)
@@ -94,7 +94,10 @@ def assign_chunks(df: DataFrame, ts_ms: str = "ts_ms", key: str = "message_id",
               .withColumn("_carry", F.max("_own").over(before))
               .select(*P, BLK, "_on",
                       F.when(F.col("_ff"), F.col("_on") + 1).otherwise(F.col("_carry")).alias("_first_start")))
-    out = loc.join(blk, [*P, BLK], "left")
+    keys = F.col(f"l.{BLK}") == F.col(f"b.{BLK}")
+    for c in P:
+        keys = keys & F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}"))
+    out = loc.alias("l").join(blk.alias("b"), keys, "left").select("l.*", "b._on", "b._first_start")
     out = (out.withColumn("pos", F.col("_on") + F.col("_lpos"))
               .withColumn("run_start", F.when(F.col("_lstart").isNotNull(), F.col("_on") + F.col("_lstart"))
                                         .otherwise(F.col("_first_start")))

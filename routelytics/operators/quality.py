@@ -64,8 +64,8 @@ def scalar_falsy(x: Column) -> Column:
 
 def validate_messages(parsed: DataFrame, value: str = "value") -> DataFrame:
     """P10: adds ``reason`` (NULL = valid), in order: malformed JSON; valid JSON
-    that is not an object (JSON null / scalar / array: field access fails ->
-    processing_error); id or type missing or falsy.
+    that is null (field access fails -> processing_error); id or type missing or falsy,
+    as they also are in a scalar or an array.
 
     The parse and the two required fields are produced by a one-row generator:
     a filter on ``reason`` (dead letters, anti joins) cannot be pushed beneath a
@@ -79,7 +79,8 @@ def validate_messages(parsed: DataFrame, value: str = "value") -> DataFrame:
     d = d.select("*", F.try_variant_get("v", "$.id", "variant").alias("_vid"),
                  F.try_variant_get("v", "$.type", "variant").alias("_vtype"))
     reason = (F.when(F.col("v").isNull(), F.lit("malformed_json"))
-              .when(~F.col("_is_obj"), F.lit("processing_error"))
+              .when(F.is_variant_null("v"), F.lit("processing_error"))
+              .when(~F.col("_is_obj"), F.lit("missing_required"))
               .when(scalar_falsy(F.col("_vid")) | scalar_falsy(F.col("_vtype")),
                     F.lit("missing_required")))
     return d.withColumn("reason", reason).drop("_is_obj", "_vid", "_vtype")

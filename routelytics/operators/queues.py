@@ -9,11 +9,12 @@ by key (anti joins, shuffled on the key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import (BATCH_QUEUE, DEPTH_SAMPLE_EVERY, DEPTH_SAMPLES_KEPT,
+from ..constants import (BATCH_QUEUE, DEAD_LETTER_QUEUE, DEPTH_SAMPLE_EVERY, DEPTH_SAMPLES_KEPT,
                          URGENT_QUEUE)
+from .history import same_key
 from .routing import delivery_priority
 from .scan import ordered_scan
 
@@ -22,10 +23,21 @@ KEY = ["benchmark_id", "message_id"]
 
 def pending(routed: DataFrame, processed: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """Messages still waiting in their queue."""
-    p = routed.join(processed.select(*KEY), KEY, "left_anti")
-    if rejected is not None:
-        p = p.join(rejected.select(*KEY), KEY, "left_anti")
-    return p
+    p = _without(routed, processed)
+    return p if rejected is None else _without(p, rejected)
+
+
+def _without(routed: DataFrame, done: DataFrame) -> DataFrame:
+    return routed.alias("r").join(done.select(*KEY).alias("d"), same_key("r", "d"), "left_anti")
+
+
+def once(log: DataFrame) -> DataFrame:
+    """One row per message of a processed log: a replayed batch repeats its rows.  The
+    newest counts; a row without a message id is its own."""
+    row = F.struct(*[F.col(c) for c in ("processed_ms", *sorted(c for c in log.columns if c != "processed_ms"))])
+    own = F.when(F.col("message_id").isNull(), F.monotonically_increasing_id())
+    return (log.groupBy(*[F.col(k).alias(f"_{k}") for k in KEY], own.alias("_own"))
+            .agg(F.max(row).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in log.columns]))
 
 
 def queue_stats(routed: DataFrame, processed: DataFrame, dead_letters: DataFrame,
@@ -37,7 +49,7 @@ def queue_stats(routed: DataFrame, processed: DataFrame, dead_letters: DataFrame
              .select(F.lit("pending").alias("_kind"), F.col("target_queue").alias("_q"))
              .unionByName(dead_letters.select(F.lit("dlq").alias("_kind"),
                                               F.lit(None).cast("string").alias("_q")))
-             .unionByName(processed.filter(F.col("status") == "processed")
+             .unionByName(once(processed.filter(F.col("status") == "processed"))
                           .select(F.lit("done").alias("_kind"), F.lit(None).cast("string").alias("_q"))))
     k = F.col("_kind")
     return kinds.agg(
@@ -49,7 +61,7 @@ def queue_stats(routed: DataFrame, processed: DataFrame, dead_letters: DataFrame
 
 def processed_counters(processed: DataFrame, dead_letters: DataFrame) -> DataFrame:
     """Per consumer, messages processed and rejects sent to dead letters."""
-    p = processed.groupBy(F.col("processed_by").alias("consumer")).agg(
+    p = once(processed).groupBy(F.col("processed_by").alias("consumer")).agg(
         F.count(F.lit(1)).alias("processed"))
     r = dead_letters.groupBy(F.col("original_queue").alias("queue")).agg(
         F.count(F.lit(1)).alias("rejected"))
@@ -63,41 +75,43 @@ def processed_counters(processed: DataFrame, dead_letters: DataFrame) -> DataFra
 
 def expire_to_dead_letter(routed: DataFrame, processed: DataFrame, now_ms: int,
                           ttl_ms: int) -> DataFrame:
-    """ST4 (batch form): messages not processed ``ttl_ms`` after routing, as of
-    ``now_ms``, become dead letters with reason 'expired'."""
+    """ST4 (batch form): messages not processed within ``ttl_ms`` of routing, as of
+    ``now_ms``, become dead letters with reason 'expired' (as in the stream form)."""
     ts_ms = F.unix_millis(F.col("ts"))
     late = routed.filter(ts_ms < F.lit(now_ms - ttl_ms))
-    exp = late.join(processed.select(*KEY), KEY, "left_anti")
+    # a message processed only after its time was up had expired before
+    in_time = processed.alias("d")
+    exp = late.alias("r").join(in_time, same_key("r", "d") & (
+        F.col("d.processed_ms") <= F.unix_millis(F.col("r.ts")) + F.lit(ttl_ms)), "left_anti")
     return exp.select(
         F.col("target_queue").alias("original_queue"), "benchmark_id", "message_id",
         F.lit("message expired").alias("error"), F.lit("expired").alias("reason"),
         F.timestamp_millis(F.unix_millis(F.col("ts")) + F.lit(ttl_ms)).alias("failed_at"))
 
 
-def depth_events(routed: DataFrame, processed: DataFrame) -> DataFrame:
-    """+1 when routed, -1 when processed: (queue, event time, delta)."""
-    add = routed.select("target_queue", F.col("ts").alias("ets"), F.lit(1).alias("delta"))
-    done = (processed.join(routed.select(*KEY, "target_queue"), KEY)
-            .select("target_queue", F.timestamp_millis("processed_ms").alias("ets"),
-                    F.lit(-1).alias("delta")))
-    return add.unionByName(done)
+def depth_events(routed: DataFrame, processed: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """+1 when routed, -1 when processed or rejected (``rejected``: original_queue,
+    failed_at), which is +1 for the dead letters: (queue, event time, delta)."""
+    ev = routed.select("target_queue", F.col("ts").alias("ets"), F.lit(1).alias("delta"))
+    ev = ev.unionByName(once(processed).select(
+        "target_queue", F.timestamp_millis("processed_ms").alias("ets"), F.lit(-1).alias("delta")))
+    if rejected is not None:
+        r = rejected.select("original_queue", F.col("failed_at").alias("ets"))
+        ev = ev.unionByName(r.select(F.col("original_queue").alias("target_queue"), "ets", F.lit(-1).alias("delta")))
+        ev = ev.unionByName(r.select(F.lit(DEAD_LETTER_QUEUE).alias("target_queue"), "ets", F.lit(1).alias("delta")))
+    return ev
 
 
-def queue_depth_series(routed: DataFrame, processed: DataFrame,
-                       every: str = DEPTH_SAMPLE_EVERY, materialize: bool = True) -> DataFrame:
+def queue_depth_series(routed: DataFrame, processed: DataFrame, every: str = DEPTH_SAMPLE_EVERY,
+                       rejected: DataFrame | None = None) -> DataFrame:
     """ST5 (batch form): depth per queue at the end of every sampling window.
     Deltas are pre-aggregated per (queue, window) with map-side combine; the
     running depth is a distributed ordered scan over the windows of a queue."""
-    ev = depth_events(routed, processed)
+    ev = depth_events(routed, processed, rejected)
     per = (ev.groupBy("target_queue", F.window("ets", every).alias("w"))
            .agg(F.sum("delta").alias("net"))
            .select("target_queue", F.col("w.start").alias("window_start"),
                    F.col("w.end").alias("window_end"), "net"))
-    if materialize:
-        # the nets are small (one row per queue and window) but cost a full pass
-        # over routing and processing; a reliable checkpoint (spark.checkpoint.dir)
-        # computes them once for the scan's planning pass and the scan itself
-        per = per.checkpoint(eager=True)
     return depth_from_nets(per)
 
 
@@ -111,12 +125,22 @@ def depth_from_nets(per: DataFrame) -> DataFrame:
 
 
 def last_depth_samples(series: DataFrame, n: int = DEPTH_SAMPLES_KEPT) -> DataFrame:
-    """The newest ``n`` samples (one row per window, urgent and batch depth
-    side by side; a queue without a change in a window is not sampled there)."""
-    wide = series.groupBy("window_start").agg(
-        F.max(F.when(F.col("target_queue") == URGENT_QUEUE, F.col("depth"))).alias("urgent_depth"),
-        F.max(F.when(F.col("target_queue") == BATCH_QUEUE, F.col("depth"))).alias("batch_depth"))
-    return wide.orderBy(F.col("window_start").desc()).limit(n)
+    """The newest ``n`` samples, one row per window in which any queue changed, with
+    the depth of the urgent, batch and dead-letter queues side by side.  A queue that
+    did not change in a window has the depth of its last change before (0 if none)."""
+    queues = {"urgent_depth": URGENT_QUEUE, "batch_depth": BATCH_QUEUE, "dlq_depth": DEAD_LETTER_QUEUE}
+    wide = series.groupBy("window_start").agg(*[
+        F.max(F.when(F.col("target_queue") == q, F.col("depth"))).alias(c) for c, q in queues.items()])
+    newest = wide.orderBy(F.col("window_start").desc()).limit(n)
+    # what was before the oldest sample: one row per queue
+    first = newest.agg(F.min("window_start").alias("_first"))
+    prior = series.join(F.broadcast(first), F.col("window_start") < F.col("_first")).groupBy().agg(*[
+        F.max_by(F.when(F.col("target_queue") == q, F.col("depth")),
+                 F.when(F.col("target_queue") == q, F.col("window_start"))).alias(f"_{c}") for c, q in queues.items()])
+    w = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # n rows
+    rows = newest.join(F.broadcast(prior), F.lit(True))  # one row of three numbers
+    return rows.select("window_start", *[
+        F.coalesce(F.last(c, True).over(w), F.col(f"_{c}"), F.lit(0)).alias(c) for c in queues])
 
 
 def priority_drain(routed: DataFrame) -> DataFrame:

@@ -80,6 +80,7 @@ def _threshold_lookup(df: DataFrame, x: Column, items: list[tuple[float, int]],
 
     best: dict[float, int] = {}
     for t, pos in items:
+        t = 0.0 if t == 0 else t                           # -0.0 is 0.0
         best[t] = min(pos, best.get(t, pos))
     ts = sorted(t for t in best if not math.isnan(t) and not math.isinf(t))
     suffix = [None] * (len(ts) + 1)
@@ -95,11 +96,16 @@ def _threshold_lookup(df: DataFrame, x: Column, items: list[tuple[float, int]],
     lookup = [suffix[b] for b in range(len(ts) + 1)] + [None]  # last: NaN
     splits = [-math.inf] + ts + [math.inf]
     in_col, out_col = f"_bx_{name}", f"_bk_{name}"
-    df = df.withColumn(in_col, F.when(~F.isnan(x), x))
-    df = Bucketizer(splits=splits, inputCol=in_col, outputCol=out_col,
-                    handleInvalid="keep").transform(df)
+    # nothing exceeds +inf or NaN; -0.0 compares as 0.0
+    df = df.withColumn(in_col, F.when(F.isnan(x) | (x == F.lit(math.inf)), None)
+                       .when(x == 0, F.lit(0.0)).otherwise(x))
+    if ts:
+        df = Bucketizer(splits=splits, inputCol=in_col, outputCol=out_col,
+                        handleInvalid="keep").transform(df)
+    else:
+        df = df.withColumn(out_col, F.when(F.col(in_col).isNotNull(), F.lit(0.0)))
     arr = F.array(*[F.lit(v).cast("int") for v in lookup])
-    pos = F.when(F.col(out_col).isNotNull(),
+    pos = F.when(F.col(in_col).isNotNull() & F.col(out_col).isNotNull(),
                  F.element_at(arr, F.col(out_col).cast("int") + 1))
     return df, pos
 
@@ -171,6 +177,7 @@ def route(df: DataFrame, rules, method: str = "auto") -> DataFrame:
         small = len(rs) <= CHAIN_MAX_RULES and \
             len(_chain_sql(df.schema, list(enumerate(rs)))) <= CHAIN_MAX_SQL
         method = "chain" if small else "decomposed"
+    df = df.drop(_POS)                                     # routing a routed table decides anew
     drop: list[str] = []
     if method == "chain":
         pos = first_match_chain(df, rs)
@@ -245,17 +252,16 @@ def route_json(df: DataFrame, rules, v: str = "v") -> DataFrame:
             cond = "false"
         whens.append(f"WHEN {cond} THEN {i}")
     pos = F.expr(f"CASE {' '.join(whens)} END") if whens else F.lit(None)
-    d = with_decision(d, pos)
+    d = with_decision(d.drop(_POS), pos)
     helper = [c for c in d.columns if c.startswith("_jf")]
     return _decorate(d.drop(*helper), rs)
 
 
 def route_join_form(df: DataFrame, rules, key: str = "id") -> DataFrame:
-    """J1 / W1, relational form: the set of (message, matching rule) pairs,
-    then the lowest position per message.  Each message emits only the
-    positions of the rules it matches (a generator over one array, no nested
-    loop join), and ``min`` per key picks the first match.  A cross-check of
-    the compiled chain; ``route`` is the production path (no shuffle)."""
+    """J1 / W1, relational form: the positions of all rules a message matches as
+    one array, and the lowest of them.  Messages stay rows of their own, also when
+    their ids repeat; nothing is shuffled.  A cross-check of the compiled chain,
+    which stops at the first match; ``route`` is the production path."""
     rs = collect_rules(rules)
     schema = df.schema
     if rs:
@@ -263,26 +269,26 @@ def route_join_form(df: DataFrame, rules, key: str = "id") -> DataFrame:
         matches = F.expr(f"array_compact(array({hits}))")
     else:
         matches = F.array().cast("array<int>")
-    pairs = df.select(key, F.explode_outer(matches).alias("_rpos"))
-    m = pairs.groupBy(key).agg(F.min("_rpos").cast("int").alias(_POS))
+    m = df.select(key, F.array_min(matches).cast("int").alias(_POS))
     return _decorate(m, rs)
 
 
 def explain_route(routed: DataFrame, rules) -> DataFrame:
     """Which rule fired — field, operator, value text and target, joined on
-    the matched rule id (broadcast: the rule table is bounded)."""
+    the matched position, which is unique also where ids or priorities repeat
+    (broadcast: ``collect_rules`` bounds the rule table)."""
     rs = collect_rules(rules)
     spark = routed.sparkSession
     from ..functions.coercion import js_string
     lkp = spark.createDataFrame(
-        [(r.rule_id, r.field, r.operator, js_string(r.value),
+        [(i, r.field, r.operator, js_string(r.value),
           r.value if isinstance(r.value, str) else None,
           r.value if isinstance(r.value, float) else None, r.target, r.category)
-         for r in rs],
-        "matched_rule_id string, rule_field string, rule_operator string, "
+         for i, r in enumerate(rs)],
+        f"{_POS} int, rule_field string, rule_operator string, "
         "rule_value string, rule_value_str string, rule_value_num double, "
         "rule_target string, rule_category string")
-    return routed.join(F.broadcast(lkp), "matched_rule_id", "left")
+    return routed.join(F.broadcast(lkp), _POS, "left")
 
 
 def route_naive(df: DataFrame, naive_id: str | None = None) -> DataFrame:

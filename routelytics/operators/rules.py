@@ -20,8 +20,8 @@ from ..functions.coercion import (js_number, js_string, num_cmp_sql, q_double,
 from ..functions.fields import resolve_field
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
-# The driver holds at most this many rules; a larger table is refused rather
-# than silently truncated.
+# Rules are configuration and compiled on the driver; a table of more than this
+# many is refused, never truncated.  The bound is the ``max_rules`` parameter.
 MAX_RULES = 100_000
 
 
@@ -42,7 +42,7 @@ def _value_of(value_str, value_num):
     return value_str
 
 
-def collect_rules(rules: DataFrame | Iterable) -> list[Rule]:
+def collect_rules(rules: DataFrame | Iterable, max_rules: int = MAX_RULES) -> list[Rule]:
     """Rules sorted by (priority, rule_id) — ties broken by id.
 
     Accepts a rule DataFrame (RULE schema) or tuples (see sources.seed)."""
@@ -53,9 +53,9 @@ def collect_rules(rules: DataFrame | Iterable) -> list[Rule]:
                              opt("value_str", "string").alias("value_str"),
                              opt("value_num", "double").alias("value_num"),
                              "target_queue", "priority", opt("category", "string").alias("category"))
-                .limit(MAX_RULES + 1).collect())
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"rule table has more than {MAX_RULES} rules")
+                .limit(max_rules + 1).collect())
+        if len(rows) > max_rules:
+            raise ValueError(f"rule table has more than {max_rules} rules")
         out = [Rule(r.rule_id or f"r{int(r.priority or 0):04d}-{i}", r.field, r.operator,
                     _value_of(r.value_str, r.value_num), r.target_queue, int(r.priority or 0),
                     r.category) for i, r in enumerate(rows)]
@@ -159,31 +159,64 @@ def validate_rules(rules: DataFrame) -> DataFrame:
 
 
 def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fold a change log (create / update / delete, ordered by ``seq``)
-    into the rule table.  Returns ``(new_rules, unknown_updates)``; an update or
-    delete of an id that exists neither in the table nor in an earlier create is
-    reported, not applied.  Invalid changes (P11) are skipped."""
-    rule_cols = [c for c in rules.columns]
-    base = rules.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"),
-                        *rule_cols)
-    valid = validate_rules(changes).filter(
-        (F.col("op") == "delete") | F.col("error").isNull()).drop("error", "warning")
-    allc = base.unionByName(valid.select("seq", "op", *rule_cols))
-    created = allc.filter(F.col("op") == "create").select("rule_id").distinct()
-    unknown = (allc.filter(F.col("op").isin("update", "delete"))
-               .join(created, "rule_id", "left_anti"))
-    known = allc.join(unknown.select("rule_id").distinct(), "rule_id", "left_anti")
-    w = Window.partitionBy("rule_id").orderBy(F.col("seq").desc())
-    latest = (known.withColumn("_rn", F.row_number().over(w))
-              .filter((F.col("_rn") == 1) & (F.col("op") != "delete"))
-              .select(*rule_cols))
-    return latest, unknown.select("seq", "op", "rule_id")
+    """Fold a change log (create / update / delete, in the order of ``seq``)
+    into the rule table.  Returns ``(new_rules, errors)``; ``errors`` holds every
+    change that was not applied with its reason: the P11 error of a create or update,
+    ``unknown_rule`` for an update or delete of an id that does not exist at that
+    moment (never created, not yet created, or deleted), ``unknown_op``.
+
+    An update keeps the fields it omits (NULL); the two value columns change together.
+    A create of an existing id replaces the rule.  The fold is per rule id and windowed:
+    the existence of a rule before a change follows from the last create or delete, and
+    a field's value from the last change of the same life that sets it.
+    """
+    cols = [c for c in rules.columns if c != "rule_id"]
+    values = [c for c in ("value_str", "value_num") if c in cols]
+    base = rules.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), "rule_id", *cols,
+                        F.lit(None).cast("string").alias("error"))
+    # an update need not name every field; those it names must be usable
+    given = validate_rules(changes.filter("op = 'create'")).drop("warning")
+    partial = changes.filter("op = 'update'").withColumn("error", F.when(F.col("field") == "", "missing_field")
+                                                         .when(F.col("operator") == "", "missing_operator")
+                                                         .when(F.col("target_queue") == "", "missing_target")
+                                                         .when(F.col("priority") == 0, "missing_priority"))
+    other = changes.filter("op IS NULL OR op NOT IN ('create', 'update')").withColumn(
+        "error", F.when(F.coalesce(F.col("op"), F.lit("")) != "delete", "unknown_op"))
+    names = ["seq", "op", "rule_id", *cols, "error"]
+    log = base.select(names)
+    for part in (given, partial, other):
+        log = log.unionByName(part.select(names))
+    sound = log.filter("error IS NULL")
+    w = Window.partitionBy("rule_id").orderBy("seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    border = F.when(F.col("op") != "update", F.col("op"))
+    d = (sound.withColumn("_alive", F.coalesce(F.last(border, True).over(before) == "create", F.lit(False)))
+         .withColumn("_life", F.sum((F.col("op") != "update").cast("int")).over(w)))
+    unknown = d.filter("op <> 'create' AND NOT _alive").select(
+        "seq", "op", "rule_id", F.lit("unknown_rule").alias("error"))
+    known = d.filter("op = 'create' OR _alive")
+    # the state after the last change of each rule: per field the newest value of its last life
+    last = Window.partitionBy("rule_id").orderBy(F.col("seq").desc())
+    life = Window.partitionBy("rule_id", "_life").orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    known = known.withColumn("_set", F.coalesce(*[F.col(c).cast("string") for c in values]).isNotNull()
+                             if values else F.lit(False))
+    state = {c: F.last(F.col(c), True).over(life) for c in cols if c not in values}
+    # both value columns come from the last change that sets either
+    for c in values:
+        state[c] = F.last(F.when(F.col("_set"), F.struct(F.col(c).alias("v"))), True).over(life)["v"]
+    known = known.select("seq", "op", "rule_id", *[v.alias(c) for c, v in state.items()])
+    new = (known.withColumn("_rn", F.row_number().over(last))
+           .filter("_rn = 1 AND op <> 'delete'").select(*rules.columns))
+    errors = log.filter("error IS NOT NULL").select("seq", "op", "rule_id", "error").unionByName(unknown)
+    return new, errors
 
 
 def rules_by_category(rules: DataFrame) -> DataFrame:
-    """Per category total, urgent and batch rule counts, plus a total row
-    (category NULL) from ROLLUP."""
+    """Per category total, urgent and batch rule counts, and a total row from
+    ROLLUP; ``is_total`` tells it from rules without a category."""
     return (rules.rollup("category")
-            .agg(F.count("*").alias("rules"),
+            .agg(F.grouping("category").cast("boolean").alias("is_total"),
+                 F.count("*").alias("rules"),
                  F.count_if(F.col("target_queue") == "urgent").alias("urgent_rules"),
                  F.count_if(F.col("target_queue") == "batch").alias("batch_rules")))

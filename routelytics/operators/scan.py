@@ -3,11 +3,10 @@ order, without putting a whole partition key into one task.
 
 A plain ``Window.partitionBy(queue).orderBy(ts)`` sends every row of a queue
 (or cohort, or the single collector of the batch consumer) to one task.  Here
-the order is cut into blocks at ``blocks - 1`` cut points of the leading order
-column, taken from one ``approx_percentile`` pass (a bounded list of literals on
-the driver).  The block of a row is then a pure function of its key: every
-re-evaluation, retry or recomputation after a lost executor assigns the same
-block, which the two branches below rely on.
+the rows are range-sorted on the whole order, so equal stamps and missing stamps
+are cut by the later order columns, and written once with the number of their
+block to the shared folder: the input is evaluated once, and every retry sees the
+same blocks.
 
 Each (partition key, block) is scanned by a window; the per-block totals (one
 row per key and block) are scanned in a second, tiny window; the offsets are
@@ -16,57 +15,26 @@ joined back (AQE broadcasts them on their measured size).
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLK = _BLK = "_scan_blk"
-
-# rows one window task sorts and scans; blocks = max(shuffle partitions, rows / this)
-ROWS_PER_BLOCK = 2_000_000
-
+from ..session import scratch_path
 
-GRID = 1024          # quantiles taken in the planning pass
-
-
-def plan_blocks(df: DataFrame, col: str, blocks: int | None = None) -> list[float]:
-    """Cut points of ``col`` for ``blocks`` blocks, or, when not given, for
-    enough blocks that none exceeds ROWS_PER_BLOCK rows (never fewer than the
-    shuffle partitions).  One aggregation pass computes the row count and a
-    grid of GRID approximate quantiles; the cut points are every k-th grid
-    point.  A second pass runs only when more than GRID blocks are needed.
-    The list is bounded by the block count and held on the driver as literals."""
-    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = F.col(col).cast("double")
-    grid = max(GRID, blocks or 0)
-    qs = [i / grid for i in range(1, grid)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(x, qs, max(10000, 10 * grid)).alias("q")).collect()[0]
-    n = blocks or max(floor, -(-row["n"] // ROWS_PER_BLOCK))
-    if n <= 1:
-        return []
-    if n > grid:
-        return block_bounds(df, col, n)
-    q = row["q"] or []
-    picks = [q[round(j * grid / n) - 1] for j in range(1, n)]
-    return sorted({v for v in picks if v is not None and not math.isnan(v)})
+BLK = _BLK = "_scan_blk"
 
 
-def assign_blocks(df: DataFrame, col: str, bounds: list[float]) -> DataFrame:
-    """Block number = number of cut points <= value (binary search in the JVM)."""
-    if not bounds:
-        return df.withColumn(_BLK, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-    splits = [-math.inf] + bounds + [math.inf]
-    tmp = "_scan_bx"
-    d = df.withColumn(tmp, F.col(col).cast("double"))
-    d = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BLK, handleInvalid="keep").transform(d)
-    # NULL sorts first (ascending), NaN last
-    blk = F.when(F.col(col).isNull(), F.lit(-1)).otherwise(
-        F.coalesce(F.col(_BLK).cast("int"), F.lit(len(bounds) + 1)))
-    return d.withColumn(_BLK, blk).drop(tmp)
+def ordered_blocks(df: DataFrame, order_by: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """The rows as a table with the number of their block in the order of
+    ``order_by`` (NULL first).  ``blocks`` defaults to the shuffle partitions, so a
+    block is as large as any other shuffle partition of the job."""
+    spark = df.sparkSession
+    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ordered-blocks")
+    out = df.repartitionByRange(n, *order_by).withColumn(BLK, F.spark_partition_id())
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def ordered_scan(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
@@ -77,14 +45,9 @@ def ordered_scan(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[
     ``cum_<c>`` (inclusive running sum), ``cummax_<c>`` (inclusive running max)
     and ``lag_<c>`` (previous row's value) columns.
 
-    ``order_by`` must be a total order (end it with a unique key); its first
-    column must be numeric or a timestamp (it defines the blocks)."""
+    ``order_by`` must be a total order (end it with a unique key)."""
     P, O = list(partition_by), list(order_by)
-    lead = O[0]
-    if dict(df.dtypes)[lead].startswith("timestamp"):
-        df = df.withColumn("_scan_lead", F.unix_micros(F.col(lead)))
-        lead = "_scan_lead"
-    d = assign_blocks(df, lead, plan_blocks(df, lead, blocks))
+    d = ordered_blocks(df, O, blocks)
 
     w = Window.partitionBy(*P, _BLK).orderBy(*O)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -110,9 +73,13 @@ def ordered_scan(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[
     offs += [F.lag(f"_bl_{c}").over(wb).alias(f"_ol_{c}") for c in lags]
     off = tot.select(*P, _BLK, *offs)
 
-    out = loc.join(off, [*P, _BLK], "left")
+    keys = F.col(f"l.{_BLK}") == F.col(f"o.{_BLK}")
+    for c in P:  # a missing key is a key
+        keys = keys & F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}"))
+    out = loc.alias("l").join(off.alias("o"), keys, "left").select(
+        "l.*", *[F.col(f"o.{c}") for c in off.columns if c not in (*P, _BLK)])
     out = out.withColumn(pos_col, F.col("_on") + F.col("_lpos"))
-    drop = [_BLK, "_lpos", "_on"] + (["_scan_lead"] if lead == "_scan_lead" else [])
+    drop = [_BLK, "_lpos", "_on"]
     for c in sums:
         out = out.withColumn(
             f"cum_{c}",

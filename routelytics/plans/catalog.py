@@ -155,6 +155,85 @@ def rule_hits_by_category(spark, sf):
                  F.sum("hits").cast("long").alias("messages")))
 
 
+# ---- rule maintenance over a change log derived from ``events``
+_CHANGE_COLS = "event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'create' WHEN 3 THEN 'delete' ELSE 'update' END AS op, " \
+    "concat('r', lpad(CAST(user_id % 70 + 1 AS VARCHAR(9)), 4, '0')) AS rule_id, " \
+    "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '' WHEN event_id % 2 = 0 THEN 'type' ELSE 'amount' END AS field, " \
+    "CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'equals' ELSE 'lessThan' END AS operator, " \
+    "CASE WHEN event_id % 2 = 0 THEN concat('t', CAST(event_id % 9 AS VARCHAR(9))) END AS value_str, " \
+    "CASE WHEN event_id % 2 = 1 AND event_id % 3 <> 0 THEN CAST(event_id % 100 AS DOUBLE) END AS value_num, " \
+    "CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'urgent' ELSE 'batch' END AS target_queue, " \
+    "CASE WHEN event_id % 19 = 0 THEN NULL ELSE CAST(event_id % 60 AS INT) END AS priority, " \
+    "CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('c', CAST(event_id % 6 AS VARCHAR(9))) END AS category"
+
+# one change at a time, by recursion: the state of a rule after its n-th change
+_FOLD = O.with_(f"rules AS (SELECT * FROM {O.rules_values()})") + f""", chg AS (SELECT {_CHANGE_COLS} FROM events),
+checked AS (
+  SELECT *, CASE WHEN op = 'create' THEN
+      CASE WHEN field IS NULL OR field = '' THEN 'missing_field' WHEN operator IS NULL OR operator = '' THEN 'missing_operator'
+           WHEN value_str IS NULL AND value_num IS NULL THEN 'missing_value' WHEN target_queue IS NULL THEN 'missing_target'
+           WHEN priority IS NULL OR priority = 0 THEN 'missing_priority' END
+    WHEN op = 'update' THEN CASE WHEN field = '' THEN 'missing_field' WHEN priority = 0 THEN 'missing_priority' END END AS error
+  FROM chg),
+sound AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY seq) AS n FROM checked WHERE error IS NULL),
+start AS (
+  SELECT ids.rule_id, CAST(0 AS BIGINT) AS n, r.rule_id IS NOT NULL AS alive, CAST(NULL AS VARCHAR) AS failed, CAST(-1 AS BIGINT) AS seq,
+         CAST(NULL AS VARCHAR) AS op, r.field, r.operator, r.value_str, r.value_num, r.target AS target_queue,
+         CAST(r.priority AS INT) AS priority, r.category
+  FROM (SELECT rule_id FROM rules UNION SELECT rule_id FROM sound) ids LEFT JOIN rules r USING (rule_id)),
+fold AS (
+  SELECT * FROM start
+  UNION ALL
+  SELECT f.rule_id, s.n, CASE s.op WHEN 'create' THEN true WHEN 'delete' THEN false ELSE f.alive END,
+         CASE WHEN s.op <> 'create' AND NOT f.alive THEN 'unknown_rule' END, s.seq, s.op,
+         CASE WHEN s.op = 'update' THEN coalesce(s.field, f.field) ELSE s.field END,
+         CASE WHEN s.op = 'update' THEN coalesce(s.operator, f.operator) ELSE s.operator END,
+         CASE WHEN s.op = 'update' AND s.value_str IS NULL AND s.value_num IS NULL THEN f.value_str ELSE s.value_str END,
+         CASE WHEN s.op = 'update' AND s.value_str IS NULL AND s.value_num IS NULL THEN f.value_num ELSE s.value_num END,
+         CASE WHEN s.op = 'update' THEN coalesce(s.target_queue, f.target_queue) ELSE s.target_queue END,
+         CASE WHEN s.op = 'update' THEN coalesce(s.priority, f.priority) ELSE s.priority END,
+         CASE WHEN s.op = 'update' THEN coalesce(s.category, f.category) ELSE s.category END
+  FROM fold f JOIN sound s ON s.rule_id = f.rule_id AND s.n = f.n + 1),
+final AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY n DESC) = 1)
+"""
+_FOLD = _FOLD.replace("WITH ", "WITH RECURSIVE ", 1)
+_RULE_COLS = "rule_id, field, operator, value_str, value_num, target_queue, priority, category"
+
+
+def _folded(spark, sf):
+    from ..operators.rules import apply_rule_changes
+    from ..sources.messages import read_table
+    from ..sources.seed import seed_rules
+    read_table(spark, sf, "events").createOrReplaceTempView("_rule_change_events")
+    changes = spark.sql(f"SELECT {_CHANGE_COLS} FROM _rule_change_events")
+    return apply_rule_changes(seed_rules(spark).drop("description"), changes)
+
+
+@query("rule_changes", _FOLD + f"SELECT {_RULE_COLS} FROM final WHERE alive")
+def rule_changes(spark, sf):
+    """The rule table after a log of creates, updates and deletes."""
+    return _folded(spark, sf)[0].select(*_RULE_COLS.split(", "))
+
+
+@query("rule_change_errors", _FOLD + """
+SELECT seq, op, rule_id, error FROM checked WHERE error IS NOT NULL
+UNION ALL SELECT seq, op, rule_id, failed AS error FROM fold WHERE failed IS NOT NULL""")
+def rule_change_errors(spark, sf):
+    """Every change that was not applied, with its reason."""
+    return _folded(spark, sf)[1]
+
+
+@query("rules_by_category", _FOLD + """
+SELECT category, grouping(category) = 1 AS is_total, count(*) AS rules,
+       count(*) FILTER (WHERE target_queue = 'urgent') AS urgent_rules,
+       count(*) FILTER (WHERE target_queue = 'batch') AS batch_rules
+FROM final WHERE alive GROUP BY ROLLUP (category)""")
+def rules_by_category_q(spark, sf):
+    """The maintained rules per category, the total told from rules without one."""
+    from ..operators.rules import rules_by_category
+    return rules_by_category(_folded(spark, sf)[0])
+
+
 # ============================================================ history
 _HIST_COLS = ["message_id", "target_queue", "matched_rule", "matched_priority", "latency_ms",
               "ts_ms", "benchmark_id", "is_critical", "message_type", "message_priority",
@@ -210,12 +289,19 @@ def routed_delivery(spark, sf):
 _REC_COLS = "id, type, priority, amount, risk_score, region, currency, user_id, source, benchmark_id, is_critical"
 
 
+def _camel(c: str) -> str:
+    head, *rest = c.split("_")
+    return head + "".join(x.capitalize() for x in rest)
+
+
 @query("kafka_records", O.with_(O.msgs_cte()) + f"""
-SELECT id AS key, to_json(struct_pack({', '.join(f'{c} := {c}' for c in _REC_COLS.split(', '))})) AS value FROM msgs""")
+SELECT id AS key, to_json(struct_pack({', '.join(f'{_camel(c)} := {c}' for c in _REC_COLS.split(', '))},
+  "timestamp" := strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z')) AS value
+FROM msgs""")
 def kafka_records(spark, sf):
-    """K4: key = id, value = JSON text of the message (nulls kept)."""
+    """K4: key = id, value = JSON text of the message (camelCase, nulls kept, ISO stamp)."""
     from ..sinks.tables import to_kafka_records
-    return to_kafka_records(FX.messages(spark, sf).select(*_REC_COLS.split(", ")), key="id")
+    return to_kafka_records(FX.messages(spark, sf).select(*_REC_COLS.split(", "), "ts"), key="id")
 
 
 # raw feed in SQL: to_json of the same columns, every 50th cut in half, every 53rd without id
@@ -766,9 +852,13 @@ def queue_depth_series(spark, sf):
 
 
 @query("last_depth_samples", _DEPTH + """
-SELECT window_start_ms, max(depth) FILTER (WHERE target_queue = 'urgent.queue') AS urgent_depth,
-       max(depth) FILTER (WHERE target_queue = 'batch.queue') AS batch_depth
-FROM series GROUP BY window_start_ms ORDER BY window_start_ms DESC LIMIT 30""")
+SELECT window_start_ms,
+       coalesce(last_value(u IGNORE NULLS) OVER (ORDER BY window_start_ms), 0) AS urgent_depth,
+       coalesce(last_value(b IGNORE NULLS) OVER (ORDER BY window_start_ms), 0) AS batch_depth
+FROM (SELECT window_start_ms, max(depth) FILTER (WHERE target_queue = 'urgent.queue') AS u,
+             max(depth) FILTER (WHERE target_queue = 'batch.queue') AS b
+      FROM series GROUP BY window_start_ms)
+ORDER BY window_start_ms DESC LIMIT 30""")
 def last_depth_samples(spark, sf):
     """The newest 30 depth samples."""
     s = Q.queue_depth_series(FX.history(spark, sf), FX.processed(spark, sf))

@@ -8,8 +8,6 @@ collected.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,8 @@ from ..operators.processing import action_cost, batch_action, urgent_action
 from ..operators.quality import (dead_letters, parse_and_validate, raw_message_feed,
                                  split_valid)
 from ..operators.routing import route, route_naive
-from ..sources.messages import message_view, read_table, spread_scan
+from ..session import scratch_path
+from ..sources.messages import message_view, read_table
 from ..sources.seed import ORDER_RULES, SEED_RULES
 
 NAIVE_ID = "naive-0"
@@ -61,36 +60,15 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw message topic: JSON text derived from ``events`` by Spark and
-    written once per session as a table in the shared checkpoint folder (a
-    topic is stored data; parsing reads a real column, not an inlined
-    ``to_json`` expression)."""
-    path = _feed_path(spark, sf_dir)
-    if not _complete(spark, path):
-        cols = ["id", "type", "priority", "amount", "risk_score", "region", "currency",
-                "user_id", "source", "benchmark_id", "is_critical", "ts_ms"]
-        m = messages(spark, sf_dir).select(*cols, "ts")
-        raw_message_feed(m, json_cols=cols).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _feed_path(spark: SparkSession, sf_dir: str) -> str:
-    import hashlib
-    from ..session import ensure_checkpoint_dir
-    local = "://" not in sf_dir
-    key = os.path.abspath(sf_dir) if local else sf_dir.rstrip("/")
-    tag = hashlib.sha1(key.encode()).hexdigest()[:12]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-feed-{tag}"
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(p))
-    except Exception:  # noqa: BLE001  (no JVM handle): rewrite the table
-        return False
+    """The raw message topic: JSON text derived by Spark from ``events`` as it is now,
+    written as a table of its own for every caller (a topic is stored data; parsing
+    reads a real column, not an inlined ``to_json`` expression)."""
+    cols = ["id", "type", "priority", "amount", "risk_score", "region", "currency",
+            "user_id", "source", "benchmark_id", "is_critical", "ts_ms"]
+    feed = raw_message_feed(messages(spark, sf_dir).select(*cols, "ts"), json_cols=cols)
+    path = scratch_path(spark, "raw-feed")
+    feed.write.parquet(path)
+    return spark.read.schema(feed.schema).parquet(path)
 
 
 def validated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +84,6 @@ def rejected_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spread_scan(read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     return route(o, ORDER_RULES)

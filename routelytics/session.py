@@ -46,9 +46,13 @@ def get_spark(master: str | None = None, app: str = "routelytics",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when unset."""
+    """Return the shared checkpoint folder.  Where the setting is missing, a local
+    session gets a scratch folder; a cluster is refused, since its executors do not
+    share the driver's disk."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="routelytics-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, path)
     try:

@@ -34,19 +34,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores (one small file, one
-    row group) is spread round-robin before CPU-heavy per-row work.  A large
-    scan already has more splits than cores and is left as it is: no shuffle
-    is added at scale."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD API, e.g. a remote session)
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def _pick(pool: list[str], idx: str) -> str:
     arr = ", ".join(q_str(v) for v in pool)
     return f"element_at(array({arr}), CAST(({idx}) + 1 AS INT))"
@@ -92,7 +79,7 @@ def message_columns(events: DataFrame) -> DataFrame:
 
 def message_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The message stream as a batch DataFrame over ``events``."""
-    return message_columns(spread_scan(read_table(spark, sf_dir, "events")))
+    return message_columns(read_table(spark, sf_dir, "events"))
 
 
 def read_messages_json(spark: SparkSession, path: str, schema=MESSAGE) -> DataFrame:
@@ -112,26 +99,51 @@ def stream_path(path: str) -> str:
 
 def read_messages_stream(spark: SparkSession, path: str, schema,
                          fmt: str = "parquet", start: str = "earliest",
-                         max_files_per_trigger: int | None = None) -> DataFrame:
+                         max_files_per_trigger: int | None = None,
+                         since_ms: int | None = None, options: dict | None = None) -> DataFrame:
     """The message topic as a streaming DataFrame.
 
-    A broker source (``format('kafka')`` with ``startingOffsets=start``) plugs in
-    here; the image has no broker package, so files stand in for the topic.
-    ``start='earliest'`` replays every file; ``start='latest'`` subscribes from
-    now: only files written after the stream is defined are read (filter on the
-    file modification time of the source's ``_metadata`` column)."""
-    import time
-    reader = spark.readStream.schema(schema).format(fmt)
+    ``fmt='kafka'``: ``path`` is the topic, ``options`` hold the broker settings
+    (``kafka.bootstrap.servers``, ...), ``start`` becomes ``startingOffsets``, which the
+    checkpoint overrides on a restart; the rows are ``key``, ``value`` (text),
+    ``timestamp``.  The broker package must be on the session's class path.
+
+    Files otherwise: ``start='earliest'`` replays every file; ``start='latest'`` reads
+    files written from ``since_ms`` on.  That instant belongs to the first start: pass
+    the same one (``first_start``) on a restart, else files that came while the query
+    was down would be passed over."""
+    reader = spark.readStream.format(fmt)
+    for k, v in (options or {}).items():
+        reader = reader.option(k, v)
+    if fmt == "kafka":
+        return (reader.option("subscribe", path).option("startingOffsets", start).load()
+                .select(F.col("key").cast("string"), F.col("value").cast("string"), "timestamp"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.load(stream_path(path))
+    df = reader.schema(schema).load(stream_path(path))
     if start == "latest":
-        since_ms = int(time.time() * 1000)
+        import time
+        since_ms = int(time.time() * 1000) if since_ms is None else since_ms
         df = (df.filter(F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(since_ms)))
                 .select(*[f.name for f in schema.fields]))
     return df
 
 
+def first_start(spark: SparkSession, checkpoint: str) -> int:
+    """The instant (epoch ms) of the first start of the query with this checkpoint: kept
+    beside it, written once."""
+    import time
+    path = f"{checkpoint.rstrip('/')}-first-start"
+    try:
+        return spark.read.schema("ms long").parquet(path).first()[0]
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    now = int(time.time() * 1000)
+    spark.createDataFrame([(now,)], "ms long").write.parquet(path)
+    return now
+
+
 def read_queue(routed: DataFrame, queue: str) -> DataFrame:
     """S3: one queue's messages (partition pruning when the routed table is
     partitioned by ``target_queue``)."""

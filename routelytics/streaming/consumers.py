@@ -20,7 +20,7 @@ def process_urgent(routed_stream: DataFrame) -> DataFrame:
     u = routed_stream.filter(F.col("target_queue") == URGENT_QUEUE)
     a = classify_urgent_action(u, "type", "amount", "risk_score")
     return a.select(
-        "benchmark_id", F.col("id").alias("message_id"), "action",
+        "benchmark_id", F.col("id").alias("message_id"), "target_queue", "action",
         F.col("cost_ms").cast("double").alias("processing_time"),
         F.lit(URGENT_CONSUMER).alias("processed_by"), F.lit("processed").alias("status"),
         F.unix_millis(F.current_timestamp()).alias("processed_ms"))
@@ -43,7 +43,8 @@ def live_metrics_stream(history_path: str, history_stream: DataFrame, out_dir: s
     def run(_batch: DataFrame, batch_id: int) -> None:
         spark = _batch.sparkSession
         h = spark.read.parquet(history_path)
-        live_metrics(h).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        # a replayed batch replaces its own row
+        live_metrics(h).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
     return (history_stream.writeStream.foreachBatch(run)
             .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
 

@@ -17,10 +17,10 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import URGENT_QUEUE
+from ..constants import TOPIC
 from ..operators.history import to_history
 from ..operators.quality import dead_letters, parse_and_validate, split_valid
-from ..operators.routing import delivery_priority, route
+from ..operators.routing import delivery_priority, route, route_json
 from ..schemas import MESSAGE
 from ..sinks.tables import append_history, write_dead_letters, write_routed
 
@@ -68,17 +68,16 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
         batch = batch.persist()
         try:
             if raw:
-                v = parse_and_validate(batch)
-                good, bad = split_valid(v)
-                dl = dead_letters(bad, URGENT_QUEUE)
-                write_dead_letters(dl, f"{out_dir}/dead_letters", batch_id)
-                msgs = from_variant(good)
+                good, bad = split_valid(parse_and_validate(batch))
+                # rejected before routing: the letter's origin is the topic, no queue
+                write_dead_letters(dead_letters(bad, TOPIC), f"{out_dir}/dead_letters", batch_id)
+                # rules see the JSON values themselves (null, types, any field), and the
+                # typed columns are taken from the routed message
+                routed = from_variant(route_json(good, rules)).drop("matched_position")
+                routed = prepare(routed) if prepare is not None else routed
             else:
-                msgs = batch
-            if prepare is not None:
-                msgs = prepare(msgs)
-            routed = route(msgs, rules).withColumn(
-                "delivery_priority", delivery_priority(F.col("target_queue")))
+                routed = route(batch if prepare is None else prepare(batch), rules)
+            routed = routed.withColumn("delivery_priority", delivery_priority(F.col("target_queue")))
             routed = routed.persist()
             write_routed(routed, f"{out_dir}/routed", batch_id)
             # latency = queue write done - receipt, as publish - receipt in the
@@ -86,7 +85,9 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
             published_ms = round((time.time() - received) * 1000.0, 3)
             if "latency_ms" not in routed.columns:
                 routed = routed.withColumn("latency_ms", F.lit(published_ms))
-            append_history(to_history(routed), f"{out_dir}/history", batch_id)
+            # history has the routing time, not the message's own stamp
+            at = F.col("received_at") if "received_at" in routed.columns else F.current_timestamp()
+            append_history(to_history(routed.withColumn("routed_at", at)), f"{out_dir}/history", batch_id)
             routed.unpersist()
         finally:
             batch.unpersist()

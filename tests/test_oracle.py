@@ -10,6 +10,7 @@ import pytest
 from conftest import SF001
 
 import __spark_entry__ as E
+from routelytics.plans.catalog import all_oracles
 
 TABLES = ["events", "orders"]
 
@@ -35,7 +36,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     rows, cols = [tuple(r) for r in df.collect()], df.columns

@@ -44,15 +44,39 @@ def test_apply_rule_changes(spark):
         (4, "update", "r0999", "type", "equals", "x", None, "urgent", 5, None, None),
         (5, "create", "r0101", None, "equals", "x", None, "urgent", 5, None, None),   # invalid
     ], RULE_CHANGE)
-    new, unknown = apply_rule_changes(rules, changes)
+    new, errors = apply_rule_changes(rules, changes)
     got = {r.rule_id: r.value_str for r in new.collect()}
     assert got == {"r0001": "breach", "r0003": "chargeback", "r0100": "EU"}
-    assert [r.rule_id for r in unknown.collect()] == ["r0999"]
+    assert {r.seq: r.error for r in errors.collect()} == {4: "unknown_rule", 5: "missing_field"}
+
+
+def test_rule_changes_are_folded_one_after_the_other(spark):
+    rules = seed_rules(spark, SEED_RULES[:2])
+    changes = spark.createDataFrame([
+        (1, "delete", "r0001", None, None, None, None, None, None, None, None),
+        (2, "update", "r0001", "type", "equals", "back", None, "urgent", 1, None, None),     # it is gone
+        (3, "update", "r0200", "type", "equals", "early", None, "urgent", 9, None, None),    # not there yet
+        (4, "create", "r0200", "type", "equals", "x", None, "urgent", 9, "cat", "text"),
+        (5, "update", "r0200", None, None, None, 7.0, None, None, None, None),               # the rest stays
+        (6, "delete", "r0002", None, None, None, None, None, None, None, None),
+        (7, "create", "r0002", "amount", "lessThan", None, 5.0, "batch", 3, None, None),     # a new life
+        (8, "rename", "r0002", None, None, None, None, None, None, None, None),
+        (9, "update", "r0200", None, "", None, None, None, None, None, None),
+    ], RULE_CHANGE)
+    new, errors = apply_rule_changes(rules, changes)
+    got = {r.rule_id: r for r in new.collect()}
+    assert set(got) == {"r0200", "r0002"}
+    r = got["r0200"]
+    assert (r.field, r.operator, r.value_str, r.value_num, r.priority, r.category, r.description) == (
+        "type", "equals", None, 7.0, 9, "cat", "text")
+    assert (got["r0002"].category, got["r0002"].value_num, got["r0002"].value_str) == (None, 5.0, None)
+    assert {r.seq: r.error for r in errors.collect()} == {
+        2: "unknown_rule", 3: "unknown_rule", 8: "unknown_op", 9: "missing_operator"}
 
 
 def test_rules_by_category(spark):
     out = {r.category: (r.rules, r.urgent_rules, r.batch_rules)
-           for r in rules_by_category(seed_rules(spark)).collect()}
+           for r in rules_by_category(seed_rules(spark)).collect() if r.category or r.is_total}
     assert out[None] == (50, 28, 22)
     assert out["fraud"] == (8, 8, 0) and out["payment"] == (10, 5, 5) and out["region"] == (4, 2, 2)
 
@@ -67,7 +91,7 @@ def test_reject_cases(spark):
     out = {r.key: r.reason for r in v.collect()}
     assert out == {"k1": "malformed_json", "k2": "missing_required", "k3": "missing_required",
                    "k4": "processing_error", "k5": None, "k6": "missing_required", "k7": None,
-                   "k9": "processing_error", "k10": "missing_required"}   # k8 blank: skipped
+                   "k9": "missing_required", "k10": "missing_required"}   # k8 blank: skipped
     good, bad = split_valid(v)
     assert good.count() + bad.count() == 9
     env = dead_letters(bad, "urgent.queue").collect()

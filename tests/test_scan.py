@@ -75,13 +75,30 @@ def test_chunks_per_shard(spark):
 
 def test_hot_key_is_spread_over_blocks(spark):
     from pyspark.sql import functions as F
-    from routelytics.operators.scan import BLK, assign_blocks, plan_blocks
+    from routelytics.operators.scan import BLK, ordered_blocks
     rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i, 1) for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, t long, v long")
-    bounds = plan_blocks(df, "t", blocks=12)
-    per = (assign_blocks(df, "t", bounds).filter(F.col("g") == "hot")
-           .groupBy(BLK).count().collect())
+    per = ordered_blocks(df, ["t"], 12).filter(F.col("g") == "hot").groupBy(BLK).count().collect()
     assert len(per) >= 10 and max(r["count"] for r in per) <= 2000 / 6
     out = ordered_scan(df, ["g"], ["t"], sums=["v"], blocks=12).filter(F.col("g") == "hot")
     got = sorted((r.t, r.pos, r.cum_v) for r in out.collect())
     assert [(p, c) for _, p, c in got] == [(i, i) for i in range(1, 2001)]
+
+
+def test_tied_and_missing_stamps_are_spread_over_blocks(spark):
+    from routelytics.operators.scan import BLK, ordered_blocks
+    rows = [(None if i % 20 == 0 else 5 if i % 10 else i, f"k{i:05d}", "a" if i % 2 else None, 1) for i in range(10000)]
+    df = spark.createDataFrame(rows, "t long, id string, g string, v long").repartition(5)
+    per = [r["count"] for r in ordered_blocks(df, ["t", "id"], 8).groupBy(BLK).count().collect()]
+    assert len(per) == 8 and max(per) < 2500
+    out = {r.id: (r.pos, r.cum_v) for r in ordered_scan(df, ["g"], ["t", "id"], sums=["v"], blocks=8).collect()}
+    for g in ("a", None):
+        seq = sorted((r for r in rows if r[2] == g), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        assert [out[r[1]] for r in seq] == [(n, n) for n in range(1, len(seq) + 1)]
+
+
+def test_more_blocks_than_any_planning_grid(spark):
+    rows = [(i, f"k{i:05d}", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "t long, id string, v long")
+    out = sorted((r.t, r.cum_v) for r in ordered_scan(df, [], ["t", "id"], sums=["v"], blocks=1500).collect())
+    assert out == [(i, i + 1) for i in range(300)]

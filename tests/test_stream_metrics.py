@@ -15,8 +15,7 @@ from routelytics.streaming.consumers import depth_deltas_stream, live_metrics_st
 
 def test_depth_stream_matches_batch_on_closed_windows(spark):
     h = FX.history(spark, SF001).select("benchmark_id", "message_id", "target_queue", "ts")
-    p = FX.processed(spark, SF001).join(h.select("benchmark_id", "message_id", "target_queue"),
-                                        ["benchmark_id", "message_id"])
+    p = FX.processed(spark, SF001)
     hdir, pdir = scratch_path(spark, "t-dep-h"), scratch_path(spark, "t-dep-p")
     h.write.parquet(hdir)
     p.select("benchmark_id", "message_id", "target_queue", "processed_ms").write.parquet(pdir)

@@ -102,6 +102,26 @@ def test_latest_start_skips_existing_messages(spark):
     assert [r.id for r in spark.read.parquet(out).collect()] == ["new"]
 
 
+def test_restart_of_a_latest_stream_reads_what_came_while_it_was_down(spark):
+    from routelytics.sources.messages import first_start
+    src, out, ck = (scratch_path(spark, f"t-down-{k}") for k in ("src", "out", "ck"))
+    schema = spark.createDataFrame([], "id string").schema
+
+    def write(x):
+        spark.createDataFrame([(x,)], "id string").coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        s = read_messages_stream(spark, src, schema, start="latest", since_ms=first_start(spark, ck))
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
+            .trigger(availableNow=True).start().awaitTermination()
+    first_start(spark, ck)
+    write("while up")
+    run()
+    write("while down")
+    run()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["while down", "while up"]
+
+
 def test_console_sink_runs(spark):
     from routelytics.streaming.router import console_sink
     src = scratch_path(spark, "t-console")
