@@ -1,10 +1,9 @@
 """Report and endpoint metrics over the routing history.
 
-Every metric is one declarative aggregation: partial aggregates per task, one
-small final merge, only the result rows reach the driver.  Exact percentiles use
-``percentile_disc`` (nearest rank, ``sorted[ceil(p*n)-1]``); its buffer holds one
-counter per distinct value, and latencies / waits are whole milliseconds, so the
-buffer is bounded by the millisecond range, not by the row count.
+Every metric is a declarative aggregation: partial aggregates per task, one small
+final merge, only the result rows reach the driver.  Exact percentiles (nearest rank)
+are found over a value histogram by distributed running counts, so no buffer grows
+with the number of distinct values.
 """
 
 from __future__ import annotations
@@ -19,38 +18,46 @@ from .history import clean_latency, recent_history
 from .scan import ordered_scan
 
 
-LAT_OK_SQL = "latency_ms IS NOT NULL AND NOT isnan(latency_ms) AND latency_ms >= 0"
-
-
-def pct_disc(col: str, p: float) -> Column:
-    """Nearest-rank percentile (A3)."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)")
-
-
 def exact_percentiles(df: DataFrame, col: str, ps=(0.95, 0.99), by=()) -> DataFrame:
-    """Nearest-rank percentiles (``sorted[ceil(p*n)-1]``) with no buffer that
+    """Nearest-rank percentiles (``sorted[ceil(p*n)-1]``, A3) with no buffer that
     grows with the number of distinct values: a value histogram (partial
     aggregation), a distributed running count over the values of each group
     (``ordered_scan``), then per group the first value whose running count
-    reaches the rank.  Use it where values are not whole milliseconds;
-    ``percentile_disc`` is the faster choice for bounded domains."""
+    reaches the rank.  A group without values has no row."""
     G = list(by) or ["_g"]
     v = F.col(col).cast("double")
     clean = df.filter(v.isNotNull() & ~F.isnan(v))
     if not by:
         clean = clean.withColumn("_g", F.lit(0))
     hist = clean.groupBy(*G, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cum = ordered_scan(hist, G, ["_v"], sums=["_c"], pos_col="_p")
-    # one row per group: AQE broadcasts it on its measured size
-    tot = hist.groupBy(*G).agg(F.sum("_c").alias("_n"))
+    cum = ordered_scan(hist, G, ["_v", *G], sums=["_c"], pos_col="_p")
+    tot = cum.groupBy(*G).agg(F.max("cum__c").alias("_n"))   # one row per group
     aggs = []
     for p in ps:
         rank = F.greatest(F.lit(1.0), F.ceil(F.lit(float(p)) * F.col("_n")))
-        aggs.append(F.min(F.when(F.col("cum__c") >= rank, F.col("_v"))).alias(f"p{int(round(p * 100))}_ms"))
-    out = cum.join(tot, G).groupBy(*G).agg(*aggs)
+        aggs.append(F.min(F.when(F.col("cum__c") >= rank, F.col("_v"))).alias(_pct_name(p)))
+    out = _join_null_safe(cum, tot, G, "inner").groupBy(*G).agg(*aggs)
     return out if by else out.drop("_g")
 
 
+def _pct_name(p: float) -> str:
+    return f"p{int(round(p * 100))}_ms"
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, by, how: str = "left") -> DataFrame:
+    """Join of aggregates on group keys, where a missing key is a key."""
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.alias("l").join(right.alias("r"), cond, how).select(
+        "l.*", *[F.col(f"r.{c}") for c in right.columns if c not in by])
+
+
+def _with_percentiles(agg: DataFrame, rows: DataFrame, col: str, ps, by=()) -> DataFrame:
+    """The aggregate's rows (one per group) with the percentiles of ``rows``."""
+    return _join_null_safe(agg, exact_percentiles(rows, col, ps, by), by)
+
+
 def _lat_ok(col: str = "latency_ms") -> Column:
     c = F.col(col).cast("double")
     return c.isNotNull() & ~F.isnan(c) & (c >= 0)
@@ -68,21 +75,19 @@ def _pct(num: Column, den: Column) -> Column:
 def latency_summary(h: DataFrame) -> DataFrame:
     """A1: avg, min, max, p95, p99 over clean latencies."""
     c = clean_latency(h)
-    return c.agg(F.count(F.lit(1)).alias("n"),
-                 F.avg("latency_ms").alias("avg_ms"),
-                 F.min("latency_ms").alias("min_ms"),
-                 F.max("latency_ms").alias("max_ms"),
-                 pct_disc("latency_ms", 0.95).alias("p95_ms"),
-                 pct_disc("latency_ms", 0.99).alias("p99_ms"))
+    a = c.agg(F.count(F.lit(1)).alias("n"),
+              F.avg("latency_ms").alias("avg_ms"),
+              F.min("latency_ms").alias("min_ms"),
+              F.max("latency_ms").alias("max_ms"))
+    return _with_percentiles(a, c, "latency_ms", (0.95, 0.99))
 
 
 def latency_by_queue(h: DataFrame) -> DataFrame:
     """A2: per queue count, avg (0 if none), p95, p99; both queues always present."""
     c = clean_latency(h)
     agg = c.groupBy("target_queue").agg(F.count(F.lit(1)).alias("n"),
-                                        F.avg("latency_ms").alias("avg_ms"),
-                                        pct_disc("latency_ms", 0.95).alias("p95_ms"),
-                                        pct_disc("latency_ms", 0.99).alias("p99_ms"))
+                                        F.avg("latency_ms").alias("avg_ms"))
+    agg = _with_percentiles(agg, c, "latency_ms", (0.95, 0.99), ["target_queue"])
     queues = h.sparkSession.createDataFrame([(URGENT_QUEUE,), (BATCH_QUEUE,)], "target_queue string")
     # both queues always reported; the per-queue aggregate is joined without a
     # hint (its size is one row per distinct queue value; AQE picks the plan)
@@ -95,9 +100,7 @@ def latency_by_queue(h: DataFrame) -> DataFrame:
 
 def latency_percentiles(h: DataFrame, ps=(0.55, 0.95, 0.99), by="benchmark_id") -> DataFrame:
     """A3: nearest-rank percentiles per group."""
-    c = clean_latency(h)
-    return c.groupBy(by).agg(
-        *[pct_disc("latency_ms", p).alias(f"p{int(round(p * 100))}_ms") for p in ps])
+    return exact_percentiles(clean_latency(h), "latency_ms", ps, [by])
 
 
 def latency_targets(h: DataFrame) -> DataFrame:
@@ -173,11 +176,11 @@ def _wait_ms(h: DataFrame) -> DataFrame:
 
 def queue_wait(h: DataFrame) -> DataFrame:
     """Processed time - routing time per queue: n, avg, min, max, p95."""
-    return (_wait_ms(h).filter(F.col("target_queue").isin(URGENT_QUEUE, BATCH_QUEUE))
-            .groupBy("target_queue")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("wait_ms").alias("avg_ms"),
-                 F.min("wait_ms").alias("min_ms"), F.max("wait_ms").alias("max_ms"),
-                 pct_disc("wait_ms", 0.95).alias("p95_ms")))
+    w = _wait_ms(h).filter(F.col("target_queue").isin(URGENT_QUEUE, BATCH_QUEUE))
+    a = w.groupBy("target_queue").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("wait_ms").alias("avg_ms"),
+        F.min("wait_ms").alias("min_ms"), F.max("wait_ms").alias("max_ms"))
+    return _with_percentiles(a, w, "wait_ms", (0.95,), ["target_queue"])
 
 
 def priority_effectiveness(h: DataFrame) -> DataFrame:
@@ -219,10 +222,6 @@ def _summary_aggs() -> list[Column]:
         F.avg(lat).alias("avg_all"),
         F.avg(F.when(u, lat)).alias("avg_urgent"),
         F.avg(F.when(b, lat)).alias("avg_batch"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) FILTER "
-               f"(WHERE target_queue = '{URGENT_QUEUE}' AND {LAT_OK_SQL})").alias("p95_urgent"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) FILTER "
-               f"(WHERE target_queue = '{BATCH_QUEUE}' AND {LAT_OK_SQL})").alias("p95_batch"),
         F.count(ms).alias("_nts"), F.min(ms).alias("_t0"), F.max(ms).alias("_t1"),
         F.count_if(crit).alias("_crit"),
         F.count_if(crit & u).alias("_crit_ok"),
@@ -233,7 +232,10 @@ def _summary_aggs() -> list[Column]:
 
 def benchmark_summary(h: DataFrame, rules_evaluated: int) -> DataFrame:
     """The summary table as (metric, value) rows from one aggregation."""
-    a = h.agg(*_summary_aggs())
+    p = exact_percentiles(clean_latency(h), "latency_ms", (0.95,), ["target_queue"])
+    p = p.agg(F.max(F.when(F.col("target_queue") == URGENT_QUEUE, F.col("p95_ms"))).alias("p95_urgent"),
+              F.max(F.when(F.col("target_queue") == BATCH_QUEUE, F.col("p95_ms"))).alias("p95_batch"))
+    a = _join_null_safe(h.agg(*_summary_aggs()), p, [])   # one row and one row
     dur = F.when(F.col("_nts") > 1, (F.col("_t1") - F.col("_t0")) / F.lit(1000.0)).otherwise(F.lit(1.0))
     acc = F.when(F.col("_crit") > 0, _pct(F.col("_crit_ok"), F.col("_crit"))).otherwise(F.lit(0.0))
     wide = a.select(
@@ -262,8 +264,6 @@ def _cohort_aggs() -> list[Column]:
     ms = F.unix_millis(F.col("ts"))
     return [F.count(F.lit(1)).alias("n"), F.avg(lat).alias("avg_ms"),
             F.avg(F.when(u, lat)).alias("urgent_avg_ms"),
-            F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE {LAT_OK_SQL})").alias("p95_ms"),
-            F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE {LAT_OK_SQL})").alias("p99_ms"),
             F.count(ms).alias("_nts"), F.min(ms).alias("_t0"), F.max(ms).alias("_t1"),
             F.count_if(crit).alias("_crit"), F.count_if(crit & u).alias("_crit_ok")]
 
@@ -271,8 +271,9 @@ def _cohort_aggs() -> list[Column]:
 def compare_cohorts(h: DataFrame, smart_id: str, naive_id: str) -> DataFrame:
     """A13 + A14 + J5: both cohorts from ONE grouped aggregation (the filter on
     the two ids is pushed to the scan), folded to one row — no cross join."""
-    per = (h.filter(F.col("benchmark_id").isin(smart_id, naive_id))
-           .groupBy("benchmark_id").agg(*_cohort_aggs()))
+    both = h.filter(F.col("benchmark_id").isin(smart_id, naive_id))
+    per = _with_percentiles(both.groupBy("benchmark_id").agg(*_cohort_aggs()), clean_latency(both),
+                            "latency_ms", (0.95, 0.99), ["benchmark_id"])
     dur = F.when(F.col("_nts") > 1, (F.col("_t1") - F.col("_t0")) / F.lit(1000.0)).otherwise(F.lit(1.0))
     per = per.select("benchmark_id", "n", "avg_ms", "urgent_avg_ms", "p95_ms", "p99_ms",
                      F.try_divide(F.col("n").cast("double"), dur).alias("thr"),
@@ -365,8 +366,8 @@ def publish_latency_summary(h: DataFrame) -> DataFrame:
     """Naive run's printout: avg, p95, floor(n / duration), accuracy 0."""
     ms = F.unix_millis(F.col("ts"))
     a = h.agg(F.count(F.lit(1)).alias("n"), F.avg(_lat()).alias("avg_ms"),
-              F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE {LAT_OK_SQL})").alias("p95_ms"),
               F.min(ms).alias("_t0"), F.max(ms).alias("_t1"))
+    a = _with_percentiles(a, clean_latency(h), "latency_ms", (0.95,))
     dur = (F.col("_t1") - F.col("_t0")) / F.lit(1000.0)
     return a.select("n", "avg_ms", "p95_ms",
                     F.floor(F.try_divide(F.col("n").cast("double"), dur)).cast("double").alias("throughput"),
