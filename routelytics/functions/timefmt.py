@@ -1,4 +1,4 @@
-"""Time helpers: epoch milliseconds, ISO-8601 text, parsing with NULL on error."""
+"""Time helpers: ISO-8601 text, parsing with NULL on error."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
-def epoch_ms(ts: Column) -> Column:
-    """``new Date(x).getTime()`` for a TIMESTAMP column (truncates to ms)."""
-    return F.unix_millis(ts)
-
-
 def iso_ms(ts: Column) -> Column:
     """``toISOString()``: UTC, whatever the session's time zone."""
     return F.date_format(F.timestamp_add("MILLISECOND", F.unix_millis(ts), F.lit("1970-01-01").cast("timestamp_ntz")), ISO_MS)
@@ -22,7 +17,3 @@ def parse_ts(text: Column) -> Column:
     """Parse ISO text; invalid -> NULL."""
     return F.coalesce(F.try_to_timestamp(text),
                       F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")))
-
-
-def ms_to_ts(ms: Column) -> Column:
-    return F.timestamp_millis(ms)

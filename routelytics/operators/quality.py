@@ -1,6 +1,5 @@
 """Raw message text in, parsed / rejected out: parsing (P1), validation (P10),
-dead-letter envelopes (K2), rejects by reason (A21), the log preview (P16) and
-the raw-text test feed derived from the message view.
+dead-letter envelopes (K2), rejects by reason (A21) and the log preview (P16).
 
 Parsing uses ``try_parse_json`` (VARIANT; NULL on malformed text) so bad
 records never fail a task; nothing is dropped — every input row ends up either
@@ -14,40 +13,12 @@ from pyspark.sql import functions as F
 
 
 
-def raw_message_feed(msgs: DataFrame, malformed_every: int = 50,
-                     no_id_every: int = 53, json_cols=None) -> DataFrame:
-    """Raw JSON text of every message (``key`` = id, ``value`` = JSON); every
-    ``malformed_every``-th row is cut in half (malformed) and every
-    ``no_id_every``-th row is written without its id."""
-    n = F.regexp_extract(F.col("id"), r"(\d+)$", 1).cast("long")
-    opts = {"ignoreNullFields": "false"}          # JSON.stringify keeps nulls
-    cols = list(json_cols or msgs.columns)
-    full = F.to_json(F.struct(*[F.col(c) for c in cols]), opts)
-    no_id = F.to_json(F.struct(*[F.col(c) for c in cols if c != "id"]), opts)
-    text = (F.when(n % malformed_every == 0, F.substring(full, 1, F.floor(F.length(full) / 2).cast("int")))
-            .when(n % no_id_every == 0, no_id)
-            .otherwise(full))
-    return msgs.select(F.col("id").alias("key"), text.alias("value"),
-                       F.col("benchmark_id"), F.col("ts"))
-
-
-def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Blank values are skipped; ``v`` is the parsed VARIANT (NULL when the
-    text is not JSON)."""
-    return (raw.filter(F.col(value).isNotNull() & (F.col(value) != ""))
-               .withColumn("v", F.try_parse_json(F.col(value))))
-
-
 def parse_and_validate(raw: DataFrame, value: str = "value") -> DataFrame:
     """P1 + P10 in one pass: skip blank values, parse once, add ``v`` and
     ``reason``."""
     return validate_messages(raw.filter(F.col(value).isNotNull() & (F.col(value) != "")), value)
 
 
-def _vget(v: Column, path: str, t: str = "string") -> Column:
-    return F.try_variant_get(v, path, t)
-
-
 def scalar_falsy(x: Column) -> Column:
     """JS falsiness of one extracted JSON value (a small VARIANT): missing,
     null, '', false, 0 (any numeric type)."""

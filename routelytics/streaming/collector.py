@@ -31,14 +31,16 @@ from ..constants import BATCH_SIZE, BATCH_TIMEOUT_MS
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: What the collector keeps of a message and hands on: its key and its type.
+CARRIED = ["benchmark_id", "message_id", "message_type"]
 OUTPUT = StructType([
     StructField("shard", StringType()),
     StructField("batch_no", LongType()),
-    StructField("message_id", StringType()),
+    *[StructField(c, StringType()) for c in CARRIED],
     StructField("position", IntegerType()),
     StructField("flushed_by", StringType()),
 ])
-_PENDING = StructType([StructField("message_id", StringType()), StructField("ts_ms", LongType())])
+_PENDING = StructType([StructField(c, StringType()) for c in CARRIED])
 _COUNTER = StructType([StructField("n", LongType())])
 
 
@@ -63,7 +65,7 @@ class BatchCollector(StatefulProcessor):
     def _flush(self, shard: str, items: list, how: str) -> pd.DataFrame:
         no = self._next_batch_no()
         return pd.DataFrame({"shard": [shard] * len(items), "batch_no": [no] * len(items),
-                             "message_id": [m for m, _ in items],
+                             **{c: [x[i] for x in items] for i, c in enumerate(CARRIED)},
                              "position": list(range(1, len(items) + 1)),
                              "flushed_by": [how] * len(items)})
 
@@ -74,21 +76,21 @@ class BatchCollector(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         shard = key[0]
-        items = list(self.pending.get()) if self.pending.exists() else []
-        items = [(m, t) for m, t in items]
-        arrivals = pd.concat(list(rows), ignore_index=True).sort_values(
-            ["ts_ms", "message_id"], na_position="last")
-        out = []
-        for m, t in zip(arrivals["message_id"], arrivals["ts_ms"]):
-            if m is None or (isinstance(m, float) and pd.isna(m)):   # stop marker
-                if items:
-                    out.append(self._flush(shard, items, "stop"))
+        items = [tuple(x) for x in self.pending.get()] if self.pending.exists() else []
+        for chunk in rows:                       # as they arrive; never the whole micro-batch at once
+            out = []
+            for row in chunk[CARRIED].astype(object).where(chunk[CARRIED].notna(), None).itertuples(index=False):
+                if row.message_id is None:                               # stop marker
+                    if items:
+                        out.append(self._flush(shard, items, "stop"))
+                        items = []
+                    continue
+                items.append(tuple(row))
+                if len(items) >= self.size:
+                    out.append(self._flush(shard, items, "size"))
                     items = []
-                continue
-            items.append((m, int(t)))
-            if len(items) >= self.size:
-                out.append(self._flush(shard, items, "size"))
-                items = []
+            if out:
+                yield pd.concat(out, ignore_index=True)
         self.pending.clear()
         if items:
             self.pending.put(items)
@@ -96,12 +98,10 @@ class BatchCollector(StatefulProcessor):
         else:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
-        if out:
-            yield pd.concat(out, ignore_index=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.pending.exists():
-            items = [(m, t) for m, t in self.pending.get()]
+            items = [tuple(x) for x in self.pending.get()]
             self.pending.clear()
             if items:
                 yield self._flush(key[0], items, "timeout")
@@ -119,22 +119,24 @@ def stop_markers(spark, shards: int):
 
 def collect_batches(stream: DataFrame, shard: str | None = None, size: int = BATCH_SIZE,
                     timeout_ms: int = BATCH_TIMEOUT_MS, shards: int | None = None) -> DataFrame:
-    """Apply the collector to a stream of (message_id, ts_ms).  ``shard`` names
-    the collector key column; without it messages are spread over ``shards``
-    collectors by a hash of the id (``shards=1`` is one collector)."""
+    """Apply the collector to a stream of messages (message_id; benchmark_id and
+    message_type where it has them).  ``shard`` names the collector key column; without
+    it ``shards`` must be given: messages are spread over that many collectors by a hash
+    of the id (1 is the source system's single collector).  The number is part of the
+    query's state, so it is no session setting."""
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     if shard is None:
-        n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if "shard" in stream.columns:       # stop markers carry their collector
-            stream = stream.withColumn("_shard", F.coalesce(
-                F.col("shard"), (F.abs(F.xxhash64("message_id")) % n).cast("string")))
-        else:
-            stream = stream.withColumn("_shard", (F.abs(F.xxhash64("message_id")) % n).cast("string"))
+        if not shards:
+            raise ValueError("name a shard column or the number of collectors")
+        own = (F.abs(F.xxhash64("message_id")) % shards).cast("string")
+        # stop markers carry their collector
+        stream = stream.withColumn("_shard", F.coalesce(F.col("shard"), own) if "shard" in stream.columns else own)
         shard = "_shard"
-    keyed = stream.select(F.col(shard).cast("string").alias("shard"), "message_id",
-                          F.col("ts_ms").cast("long").alias("ts_ms"))
+    have = set(stream.columns)
+    keyed = stream.select(F.col(shard).cast("string").alias("shard"), *[
+        (F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in CARRIED])
     return keyed.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=BatchCollector(size, timeout_ms), outputStructType=OUTPUT,
         outputMode="Append", timeMode="ProcessingTime")

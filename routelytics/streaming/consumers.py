@@ -7,12 +7,16 @@ row can never be lost to a race with the history insert (G10).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import URGENT_CONSUMER, URGENT_QUEUE
+from ..constants import BATCH_ACTION_COST_MS, BATCH_CONSUMER, BATCH_QUEUE, URGENT_CONSUMER, URGENT_QUEUE
 from ..operators.metrics import live_metrics
-from ..operators.processing import classify_urgent_action
+from ..operators.processing import action_cost, batch_action, classify_urgent_action
+from ..operators.quality import dead_letters, parse_and_validate, split_valid
+from ..sinks.tables import append_history, write_dead_letters
+from .collector import collect_batches
+from .router import from_variant
 
 
 def process_urgent(routed_stream: DataFrame) -> DataFrame:
@@ -36,6 +40,66 @@ def start_urgent_consumer(routed_stream: DataFrame, out_dir: str, checkpoint: st
     return w.start()
 
 
+def start_urgent_consumer_raw(queue_stream: DataFrame, out_dir: str, checkpoint: str,
+                              available_now: bool = False):
+    """ST3 on message text (``value``): every message is parsed and validated first;
+    broken ones go to ``dead_letters`` with their reason, the others to ``processed``.
+    Both belong to the micro-batch, whose replay replaces them."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            good, bad = split_valid(parse_and_validate(batch))
+            write_dead_letters(dead_letters(bad, URGENT_QUEUE), f"{out_dir}/dead_letters", batch_id)
+            done = process_urgent(from_variant(good).withColumn("target_queue", F.lit(URGENT_QUEUE)))
+            append_history(done, f"{out_dir}/processed", batch_id)
+        finally:
+            batch.unpersist()
+    w = queue_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
+def process_batches(collected: DataFrame, failed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """ST2/ST7: flushed batches (the collector's output) -> (processed rows, rejected
+    rows).  A batch is grouped by type; its handling time is the sum over its types, and
+    every message of it gets that time.  If ``failed`` holds for any message, the whole
+    batch is rejected."""
+    key = ["shard", "batch_no"]
+    cost = action_cost(batch_action(F.col("message_type")), BATCH_ACTION_COST_MS)
+    per = (collected.withColumn("_f", F.lit(False) if failed is None else F.coalesce(failed.cast("boolean"), F.lit(False)))
+           .groupBy(*key, "message_type").agg(F.max(cost).alias("_cost"), F.bool_or("_f").alias("_f"))
+           .groupBy(*key).agg(F.sum("_cost").alias("_cost"), F.bool_or("_f").alias("_f")))
+    rows = collected.join(per, key)              # a batch has at most ``size`` messages
+    done = rows.filter(~F.col("_f")).select(
+        "benchmark_id", "message_id", F.lit(BATCH_QUEUE).alias("target_queue"),
+        batch_action(F.col("message_type")).alias("action"), F.col("_cost").cast("double").alias("processing_time"),
+        F.lit(BATCH_CONSUMER).alias("processed_by"), F.lit("processed").alias("status"),
+        F.unix_millis(F.current_timestamp()).alias("processed_ms"), *key, "position", "flushed_by")
+    bad = rows.filter("_f").select(
+        F.lit(BATCH_QUEUE).alias("original_queue"), "benchmark_id", "message_id",
+        F.lit("batch processing failed").alias("error"), F.lit("processing_error").alias("reason"),
+        F.current_timestamp().alias("failed_at"), *key)
+    return done, bad
+
+
+def start_batch_consumer(queue_stream: DataFrame, out_dir: str, checkpoint: str, shards: int,
+                         failed: Column | None = None, every: str = "1 second", **collector):
+    """The batch consumer: collect (ST2), label and mark (``processed``), reject failed
+    batches whole (``dead_letters``).  A batch is flushed within one micro-batch, so both
+    outputs are written per micro-batch and replaced when it is replayed."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            done, bad = process_batches(batch, failed)
+            append_history(done, f"{out_dir}/processed", batch_id)
+            write_dead_letters(bad, f"{out_dir}/dead_letters", batch_id)
+        finally:
+            batch.unpersist()
+    return (collect_batches(queue_stream, shards=shards, **collector).writeStream.foreachBatch(run)
+            .outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
+
+
 def live_metrics_stream(history_path: str, history_stream: DataFrame, out_dir: str,
                         checkpoint: str, every: str = "2 seconds"):
     """ST6: every trigger, recompute the endpoint metrics over the history table

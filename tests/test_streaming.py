@@ -132,3 +132,16 @@ def test_console_sink_runs(spark):
     progress = q.lastProgress
     q.stop()
     assert progress is not None and progress["numInputRows"] == 1
+
+
+def test_urgent_consumer_sends_five_broken_messages_to_dead_letters(spark):
+    from routelytics.streaming.consumers import start_urgent_consumer_raw
+    src, out = scratch_path(spark, "t-urgent-src"), scratch_path(spark, "t-urgent-out")
+    texts = ['{"id":"a","type":"fraud","benchmarkId":"b1"}', "{ broken", "not json at all", '{"type":"fraud"}',
+             '{"id":"x"}', '{"id":"","type":"fraud"}', '{"id":"c","type":"payment","amount":5}']
+    spark.createDataFrame([(t,) for t in texts], "value string").write.parquet(src)
+    start_urgent_consumer_raw(spark.readStream.schema("value string").parquet(src), out, f"{out}/_ck",
+                              available_now=True).awaitTermination()
+    assert sorted(r.message_id for r in spark.read.parquet(f"{out}/processed").collect()) == ["a", "c"]
+    letters = [r.reason for r in spark.read.parquet(f"{out}/dead_letters").collect()]
+    assert sorted(letters) == ["malformed_json"] * 2 + ["missing_required"] * 3
