@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
+from .quality_mil import _stretches
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers (about 150 bytes each), and bytes of text handled at a time.
@@ -45,7 +47,6 @@ class WordIds:
         self.mark = mark[0] if len(mark) == 1 else None
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-        self.tail = re.compile(rb"(.*[A-Za-z0-9])([!-/:-@\[-`{-~]+)", re.S)
 
     def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of words that hold no separator and no special token: many at a time."""
@@ -64,39 +65,66 @@ class WordIds:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put all of ``words`` in ``known``.  The tokenizer lower-cases and splits letters
+    def learn(self, words: list[bytes]) -> None:
+        """Put all of ``words`` in ``known``.  The tokenizer lower-cases and parts letters
         and digits from punctuation, so a word is looked up as lower-case core and tail."""
+        known, text = self.known, b" ".join(words)
+        if self.mark is None or any(s in text for s in (SEPARATOR, *self.special)):
+            odd = {w for w in words if self.mark is None or any(s in w for s in (SEPARATOR, *self.special))}
+            known.update((w, self._alone(w)) for w in odd)
+            words = [w for w in words if w not in odd]
+            text = b" ".join(words)
+        cores, tails = [], []
+        for low in text.lower().split():  # bytes: ASCII letters only
+            core = low.rstrip(PUNCTUATION)
+            if not core[-1:].isalnum():  # not surely a letter or a digit before the tail
+                core = low
+            cores.append(core)
+            tails.append(low[len(core):])
+        known[b""] = b""
+        need, whole = {*cores, *tails}.difference(known), []
+        model = self.tokenizer.model.tokenize
+        for w in need:
+            if w.isalpha():  # ASCII letters: one unit for the tokenizer, and as its model wants it
+                known[w] = array("I", [t.id for t in model(w.decode())]).tobytes()
+            else:
+                whole.append(w)
+        known.update(self._encode(whole))
+        known.update((w, known[c] + known[t]) for w, c, t in zip(words, cores, tails))
+
+    def _ids(self, words: list[bytes]) -> bytes:
         known = self.known
-        parts, need = {}, set()
-        for w in words:
-            if self.mark is None or SEPARATOR in w or any(s in w for s in self.special):
-                known[w] = self._alone(w)
-                continue
-            low = w.lower()  # bytes: ASCII letters only
-            m = self.tail.fullmatch(low)
-            parts[w] = m.groups() if m else (low,)
-            need.update(x for x in parts[w] if x not in known)
-        known.update(self._encode(list(need)))
-        for w, p in parts.items():
-            known[w] = b"".join(map(known.__getitem__, p))
-
-    def __call__(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        ids = list(map(known.get, words))
+        if None in ids:
+            self.learn(list({w for w, i in zip(words, ids) if i is None}))
+            ids = list(map(known.get, words))
+        return b"".join(ids)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of some texts as little-endian unsigned 32-bit numbers."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        split = [t.split() if len(t) <= SEGMENT else [] for t in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self.learn(list(new))
+        return [self._long(t) if len(t) > SEGMENT else b"".join(map(self.known.__getitem__, ws))
+                for t, ws in zip(texts, split)]
+
+    def _long(self, text: bytes) -> bytes:
         out, at = [], 0
         while at < len(text):
             cut = WHITE.search(text, at + SEGMENT)
             end = cut.start() if cut else len(text)
-            words = text[at:end].split()
+            if len(self.known) > 2 * CACHE_WORDS:
+                self.known.clear()
+            out.append(self._ids(text[at:end].split()))
             at = end
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words).difference(self.known))
-                out.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(out)
 
 
+#: ASCII punctuation but for the separator.
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != SEPARATOR[0])
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -131,25 +159,19 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         gc.disable()  # millions of short-lived byte strings and no cycles
         encode = _worker_ids(model.value)
         for b in batches:
-            texts = b.column("text").cast(pa.large_binary())
             at, piece, start, length, crc, kept = [], [], [], [], [], []
-            seen = set().union(*(t.as_py().split() for t in texts if t.is_valid and len(t.as_py()) <= SEGMENT))
-            if len(encode.known) > CACHE_WORDS:
-                encode.known.clear()
-            encode.learn(seen.difference(encode.known))
-            for i, t in enumerate(texts):
-                ids = encode(t.as_py() or b"") + end
-                if len(encode.known) > 2 * CACHE_WORDS:
-                    encode.known.clear()
-                for k, a in enumerate(range(0, len(ids), size)):
-                    x = ids[a:a + size]
-                    at.append(i)
-                    piece.append(k)
-                    start.append(a // 4)
-                    length.append(len(x) // 4)
-                    crc.append(zlib.crc32(x))
-                    if keep_ids:
-                        kept.append(x)
+            for first, texts in _stretches(b.column("text")):
+                for i, ids in enumerate(encode(texts), first):
+                    ids += end
+                    for k, a in enumerate(range(0, len(ids), size)):
+                        x = ids[a:a + size]
+                        at.append(i)
+                        piece.append(k)
+                        start.append(a // 4)
+                        length.append(len(x) // 4)
+                        crc.append(zlib.crc32(x))
+                        if keep_ids:
+                            kept.append(x)
             cols = [b.column("id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()),
                     *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             names = [id_col, "piece", "start", "length", "ids_crc32"]
