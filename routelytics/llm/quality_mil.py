@@ -69,12 +69,16 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     passage = base[doc] + in_doc // PASSAGE
     total = int(count.sum())
     owner = np.repeat(np.arange(n), count)
-    # characters: those from a passage's first word to the next one's
+    # characters: those from a passage's first word to the end of its last
     head = np.concatenate(([True], passage[1:] != passage[:-1]))
     span = np.zeros(len(data), np.int64)
     span[first[head]] = np.diff(np.concatenate(([0], passage[head])))
     byte_passage = np.cumsum(span)
-    chars = np.bincount(byte_passage * 12 + cls, minlength=total * 12).reshape(total, 12).astype(np.float64)
+    begin, stop = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    begin[passage[head]], stop[passage] = first[head], last  # a passage's last word is the last written
+    place = np.arange(len(data))
+    own = (place >= begin[byte_passage]) & (place < stop[byte_passage])
+    chars = np.bincount((byte_passage * 12 + cls)[own], minlength=total * 12).reshape(total, 12).astype(np.float64)
     words = np.bincount(passage, minlength=total).astype(np.float64)
     some = np.maximum(words, 1)
     size = (last - first).astype(np.float64)
