@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (BATCH_QUEUE, DEAD_LETTER_QUEUE, DEPTH_SAMPLE_EVERY, DEPTH_SAMPLES_KEPT,
-                         URGENT_QUEUE)
+                         TOPIC, URGENT_QUEUE)
 from .history import same_key
 from .routing import delivery_priority
 from .scan import ordered_scan
@@ -91,15 +91,32 @@ def expire_to_dead_letter(routed: DataFrame, processed: DataFrame, now_ms: int,
 
 def depth_events(routed: DataFrame, processed: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """+1 when routed, -1 when processed or rejected (``rejected``: original_queue,
-    failed_at), which is +1 for the dead letters: (queue, event time, delta)."""
+    failed_at and, if known, the key), which is +1 for the dead letters: (queue, event
+    time, delta).  A rejected message leaves the queue it was routed to, at its first
+    letter, and not once more when it is also in the processed log."""
     ev = routed.select("target_queue", F.col("ts").alias("ets"), F.lit(1).alias("delta"))
-    ev = ev.unionByName(once(processed).select(
-        "target_queue", F.timestamp_millis("processed_ms").alias("ets"), F.lit(-1).alias("delta")))
     if rejected is not None:
-        r = rejected.select("original_queue", F.col("failed_at").alias("ets"))
-        ev = ev.unionByName(r.select(F.col("original_queue").alias("target_queue"), "ets", F.lit(-1).alias("delta")))
-        ev = ev.unionByName(r.select(F.lit(DEAD_LETTER_QUEUE).alias("target_queue"), "ets", F.lit(1).alias("delta")))
-    return ev
+        unkeyed = rejected
+        if set(KEY) <= set(rejected.columns):
+            unkeyed = rejected.filter("message_id IS NULL")
+            first = rejected.filter("message_id IS NOT NULL").groupBy(*KEY).agg(F.min("failed_at").alias("ets"))
+            processed = _without(processed, first)
+            ev = ev.unionByName(routed.alias("r").join(first.alias("d"), same_key("r", "d"))
+                                .select("r.target_queue", "d.ets", F.lit(-1).alias("delta")))
+        ev = ev.unionByName(reject_deltas(unkeyed).filter(F.col("delta") < 0))
+        ev = ev.unionByName(reject_deltas(rejected).filter(F.col("delta") > 0))
+    return ev.unionByName(once(processed).select(
+        "target_queue", F.timestamp_millis("processed_ms").alias("ets"), F.lit(-1).alias("delta")))
+
+
+def reject_deltas(rejected: DataFrame) -> DataFrame:
+    """-1 for the queue a letter names (none if it was rejected before routing) and +1
+    for the dead letters."""
+    r = rejected.select(F.col("original_queue").alias("_from"), F.col("failed_at").alias("ets"))
+    both = F.array(F.struct(F.col("_from").alias("target_queue"), F.lit(-1).alias("delta")),
+                   F.struct(F.lit(DEAD_LETTER_QUEUE).alias("target_queue"), F.lit(1).alias("delta")))
+    return r.select("ets", F.inline(both)).select("target_queue", "ets", "delta").filter(
+        F.col("target_queue") != TOPIC)
 
 
 def queue_depth_series(routed: DataFrame, processed: DataFrame, every: str = DEPTH_SAMPLE_EVERY,

@@ -843,10 +843,15 @@ series AS (SELECT target_queue, window_start_ms, net,
 """
 
 
+def _depth_series(spark, sf) -> DataFrame:
+    return Q.queue_depth_series(FX.history(spark, sf), FX.processed(spark, sf),
+                                rejected=FX.rejected_letters(spark, sf))
+
+
 @query("queue_depth_series", _DEPTH + "SELECT * FROM series")
 def queue_depth_series(spark, sf):
-    """ST5 (batch form): depth per queue at the end of every 2 s window."""
-    s = Q.queue_depth_series(FX.history(spark, sf), FX.processed(spark, sf))
+    """ST5 (batch form): depth per queue, dead letters too, at the end of every 2 s window."""
+    s = _depth_series(spark, sf)
     return s.select("target_queue", F.unix_millis("window_start").alias("window_start_ms"),
                     F.col("net").cast("long").alias("net"), F.col("depth").cast("long").alias("depth"))
 
@@ -861,11 +866,11 @@ FROM (SELECT window_start_ms, max(depth) FILTER (WHERE target_queue = 'urgent.qu
 ORDER BY window_start_ms DESC LIMIT 30""")
 def last_depth_samples(spark, sf):
     """The newest 30 depth samples."""
-    s = Q.queue_depth_series(FX.history(spark, sf), FX.processed(spark, sf))
-    return Q.last_depth_samples(s).select(
+    return Q.last_depth_samples(_depth_series(spark, sf)).select(
         F.unix_millis("window_start").alias("window_start_ms"),
         F.col("urgent_depth").cast("long").alias("urgent_depth"),
-        F.col("batch_depth").cast("long").alias("batch_depth"))
+        F.col("batch_depth").cast("long").alias("batch_depth"),
+        F.col("dlq_depth").cast("long").alias("dlq_depth"))
 
 
 @query("priority_drain", O.base() + """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import BATCH_ACTION_COST_MS, BATCH_CONSUMER, BATCH_QUEUE, URGENT_CONSUMER, URGENT_QUEUE
 from ..operators.metrics import live_metrics
 from ..operators.processing import action_cost, batch_action, classify_urgent_action
+from ..operators.queues import reject_deltas
 from ..operators.quality import dead_letters, parse_and_validate, split_valid
 from ..sinks.tables import append_history, write_dead_letters
 from .collector import collect_batches
@@ -114,17 +115,23 @@ def live_metrics_stream(history_path: str, history_stream: DataFrame, out_dir: s
 
 
 def depth_deltas_stream(routed_stream: DataFrame, processed_stream: DataFrame,
-                        every: str = "2 seconds", delay: str = "1 minute") -> DataFrame:
+                        every: str = "2 seconds", delay: str = "1 minute",
+                        rejected_stream: DataFrame | None = None) -> DataFrame:
     """ST5 (stream form): net change of each queue per sampling window: +1 per
     routed message at its routing time, -1 per processed message at its
-    processing time.  A windowed aggregate with a watermark (bounded state,
+    processing time and -1 per dead letter in its original queue, +1 in the dead
+    letters, at its failing time.  A consumer writes a message to its processed log or
+    its dead letters, so none counts down twice.  A windowed aggregate with a watermark (bounded state,
     each closed window emitted once in append mode); the running depth is the
     ordered scan of these nets (``queues.depth_from_nets``)."""
     add = routed_stream.select("target_queue", F.col("ts").cast("timestamp").alias("ets"),
                                F.lit(1).alias("delta"))
     done = processed_stream.select("target_queue", F.timestamp_millis("processed_ms").alias("ets"),
                                    F.lit(-1).alias("delta"))
-    return (add.unionByName(done).withWatermark("ets", delay)
+    changes = add.unionByName(done)
+    if rejected_stream is not None:
+        changes = changes.unionByName(reject_deltas(rejected_stream))
+    return (changes.withWatermark("ets", delay)
             .groupBy("target_queue", F.window("ets", every).alias("w"))
             .agg(F.sum("delta").alias("net"))
             .select("target_queue", F.col("w.start").alias("window_start"),
