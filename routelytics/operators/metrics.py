@@ -355,7 +355,7 @@ def send_progress(h: DataFrame, every: int = 1000) -> DataFrame:
     s = ordered_scan(d, ["benchmark_id"], ["ts_ms", "message_id"], pos_col="sent")
     firsts = d.groupBy("benchmark_id").agg(F.min("ts_ms").alias("_t0"),
                                            F.count(F.lit(1)).alias("_total"))
-    s = s.join(firsts, "benchmark_id")  # one row per cohort
+    s = _join_null_safe(s, firsts, ["benchmark_id"], "inner")  # one row per cohort
     s = s.filter((F.col("sent") % every == 0) | (F.col("sent") == F.col("_total")))
     elapsed = (F.col("ts_ms") - F.col("_t0")) / F.lit(1000.0)
     return s.select("benchmark_id", "sent", elapsed.alias("elapsed_s"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from routelytics.operators import queues as Q
 from routelytics.operators.history import mark_processed, mark_processed_many
+from routelytics.operators.metrics import send_progress
 from routelytics.operators.routing import explain_route, route, route_join_form
 from routelytics.session import scratch_path
 
@@ -64,6 +65,13 @@ def test_depth_samples_carry_forward_and_count_rejects(spark):
     assert [(r.urgent_depth, r.batch_depth, r.dlq_depth) for r in got][-1] == (0, 1, 1)
 
 
+def test_progress_of_a_missing_cohort(spark):
+    h = spark.createDataFrame([(b, f"m{i}", 1000 * i) for b in (None, "b") for i in range(5)],
+                              "benchmark_id string, message_id string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    got = sorted(((r.benchmark_id or "", r.sent, r.elapsed_s, r.rate) for r in send_progress(h, 2).collect()))
+    assert got == [(b, n, n - 1.0, rate) for b in ("", "b") for n, rate in ((2, 2.0), (4, 1.0), (5, 1.0))]
+
+
 RULES = [[("x", "lessThan", 10.0, "urgent"), ("x", "lessThan", math.inf, "batch")], [("x", "lessThan", math.inf, "urgent")],
          [("x", "greaterThan", -math.inf, "urgent"), ("x", "greaterThan", 0.0, "batch")],
          [("x", "lessThan", 0.0, "urgent"), ("x", "lessThan", -math.inf, "urgent"), ("x", "greaterThan", -0.0, "urgent")],
