@@ -26,6 +26,8 @@ BITS, ORDERS = 16, (2, 3, 4, 5)
 #: The fit may use this many rows per language and in all, and this many stretches of a row.
 PER_LANGUAGE, MAX_ROWS, STRETCHES = 250, 5000, 24
 SHORTEST, LONGEST, CHAIN = 6, 24, 48
+#: Chains of a fit: as many as hold all words of the stretches, but (of enough stretches) no fewer than this.
+LEAST_CHAINS = 4000
 CHUNK = 128
 
 
@@ -154,10 +156,11 @@ class Crf:
     def fit(self, stretches: list[tuple[int, list[bytes]]], steps: int = 25, rate: float = 0.15, decay: float = 1e-4,
             seed: int = 11, lexicon_size: int = 300):
         """Fit on (language number, words): conditional likelihood of chains of ``CHAIN``
-        words joined from stretches, by Adam."""
+        words joined from stretches, by Adam.  As many words are drawn as the stretches
+        hold; few stretches are drawn several times (``LEAST_CHAINS``)."""
         r, m = np.random.default_rng(seed), len(self.languages)
         by = [[w for l, w in stretches if l == j] for j in range(m)]
-        total = min(4000, len(stretches))
+        total = max(min(LEAST_CHAINS, len(stretches)), -(-sum(len(w) for _, w in stretches) // CHAIN))
         words, labels = [], []
         for _ in range(total):  # a chain: stretches of languages drawn evenly, so switches occur
             ws, ls = [], []
@@ -181,9 +184,10 @@ class Crf:
         length = np.diff(np.concatenate((first, [len(feats)])))
         member = np.repeat(np.arange(len(vocab)), length)
         lists = np.array([self.lexicon.get(w, -1) for w in vocab])
-        onehot = np.eye(m)[y]
         start = np.arange(len(y)) % CHAIN == 0
         stay = ~start
+        seen = np.zeros((m, m))
+        np.add.at(seen, (y[:-1][stay[1:]], y[1:][stay[1:]]), 1)
         p = {"W": self.W.astype(float), "lex": self.lex.astype(float), "bias": self.bias, "trans": self.trans}
         moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
         for t in range(1, steps + 1):
@@ -191,14 +195,17 @@ class Crf:
             score[lists >= 0] += p["lex"][lists[lists >= 0]]
             score[~letter] = 0
             self.trans = p["trans"]
-            post, pairs = self._marginals(score[code].reshape(-1, CHAIN, m))
-            diff = (post.reshape(-1, m) - onehot) * letter[code][:, None]
-            per_word = np.stack([np.bincount(code, diff[:, j], len(vocab)) for j in range(m)], 1)
-            seen = np.zeros((m, m))
-            np.add.at(seen, (y[:-1][stay[1:]], y[1:][stay[1:]]), 1)
+            per_word, bias, pairs = np.zeros((len(vocab), m)), np.zeros(m), np.zeros((m, m))
+            for i in range(0, len(y), LEAST_CHAINS * CHAIN):  # some chains at a time, which bounds the memory
+                c = code[i:i + LEAST_CHAINS * CHAIN]
+                post, p2 = self._marginals(score[c].reshape(-1, CHAIN, m))
+                diff = (post.reshape(-1, m) - np.eye(m)[y[i:i + len(c)]]) * letter[c][:, None]
+                per_word += np.stack([np.bincount(c, diff[:, j], len(vocab)) for j in range(m)], 1)
+                bias += diff.sum(0)
+                pairs += p2
             grad = {"W": np.stack([np.bincount(feats, per_word[member, j], 1 << BITS) for j in range(m)], 1),
                     "lex": np.stack([np.bincount(lists[lists >= 0], per_word[lists >= 0, j], m) for j in range(m)], 1),
-                    "bias": diff.sum(0), "trans": pairs - seen}
+                    "bias": bias, "trans": pairs - seen}
             for k, g in grad.items():
                 g = g / total + decay * p[k]
                 a, b = moment[k]

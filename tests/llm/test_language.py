@@ -64,3 +64,14 @@ def test_edges(spark):
     assert {r["lang_pred"] for r in one.collect()} == {"xx", "und"}
     none = LI.identify(edge(spark).withColumn("lang", LI.F.lit(None).cast("string")))
     assert {(r["lang_pred"], r["score"]) for r in none.collect()} == {("und", 0.0)}
+
+
+def test_all_sampled_words_count_in_the_fit(monkeypatch):
+    chains, marginals = [], LI.Crf._marginals
+    monkeypatch.setattr(LI.Crf, "_marginals", lambda self, s: chains.append(len(s)) or marginals(self, s))
+    few = [(i % 2, [b"ab" if i % 2 else b"cd"] * 24) for i in range(1000)]
+    LI.Crf(["a", "b"]).fit(few, steps=1)
+    assert sum(chains) == 1000
+    chains.clear()
+    LI.Crf(["a", "b"]).fit(few * 20, steps=1)      # 480,000 words
+    assert sum(chains) == 10_000 and max(chains) <= 4000
