@@ -11,13 +11,14 @@ import math
 from dataclasses import dataclass
 from typing import Any, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import OPERATORS
 from ..functions.coercion import (js_number, js_string, num_cmp_sql, q_double,
                                   q_ident, q_str, to_js_string_sql, to_number_sql)
 from ..functions.fields import resolve_field
+from .scan import last_before
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 # Rules are configuration and compiled on the driver; a table of more than this
@@ -166,12 +167,15 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     moment (never created, not yet created, or deleted), ``unknown_op``.
 
     An update keeps the fields it omits (NULL); the two value columns change together.
-    A create of an existing id replaces the rule.  The fold is per rule id and windowed:
-    the existence of a rule before a change follows from the last create or delete, and
-    a field's value from the last change of the same life that sets it.
+    A create of an existing id replaces the rule.  No task sees all changes of a rule:
+    see ``changed_rules`` and ``refused_changes``, which give one of the two each.
     """
+    return changed_rules(rules, changes), refused_changes(rules, changes)
+
+
+def _change_log(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rules as creates before all changes, and the changes with their own error."""
     cols = [c for c in rules.columns if c != "rule_id"]
-    values = [c for c in ("value_str", "value_num") if c in cols]
     base = rules.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), "rule_id", *cols,
                         F.lit(None).cast("string").alias("error"))
     # an update need not name every field; those it names must be usable
@@ -186,30 +190,37 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     log = base.select(names)
     for part in (given, partial, other):
         log = log.unionByName(part.select(names))
-    sound = log.filter("error IS NULL")
-    w = Window.partitionBy("rule_id").orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return log
+
+
+def changed_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rule table after the changes, by partial aggregates: a rule exists if its last
+    create or delete is a create, and a field has its newest value if that was set since."""
+    cols = [c for c in rules.columns if c != "rule_id"]
+    values = [c for c in ("value_str", "value_num") if c in cols]
+    at = F.struct("seq")  # a missing seq is before all others
+
+    def newest(what, when):
+        return F.max_by(F.struct(at.alias("at"), what.alias("v")), F.when(when, at))
+    # both value columns come from the last change that sets either
+    both = F.coalesce(*[F.col(c).cast("string") for c in values]).isNotNull() if values else F.lit(False)
+    last = (_change_log(rules, changes).filter("error IS NULL").groupBy("rule_id")
+            .agg(newest(F.col("op"), F.col("op") != "update").alias("_border"),
+                 *[newest(F.col(c), both if c in values else F.col(c).isNotNull()).alias(c) for c in cols]))
+    return last.filter("_border.v = 'create'").select(*[
+        c if c == "rule_id" else F.when(F.col(f"{c}.at") >= F.col("_border.at"), F.col(f"{c}.v")).alias(c)
+        for c in rules.columns])
+
+
+def refused_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every change that was not applied: seq, op, rule_id, error.  Whether a rule exists
+    before a change follows from the last create or delete, found by blocks of the log."""
+    log = _change_log(rules, changes).select("seq", "op", "rule_id", "error")
     border = F.when(F.col("op") != "update", F.col("op"))
-    d = (sound.withColumn("_alive", F.coalesce(F.last(border, True).over(before) == "create", F.lit(False)))
-         .withColumn("_life", F.sum((F.col("op") != "update").cast("int")).over(w)))
-    unknown = d.filter("op <> 'create' AND NOT _alive").select(
+    d = last_before(log.filter("error IS NULL").withColumn("_border", border), ["rule_id"], ["seq"], "_border", "_was")
+    unknown = d.filter("op <> 'create' AND coalesce(_was <> 'create', true)").select(
         "seq", "op", "rule_id", F.lit("unknown_rule").alias("error"))
-    known = d.filter("op = 'create' OR _alive")
-    # the state after the last change of each rule: per field the newest value of its last life
-    last = Window.partitionBy("rule_id").orderBy(F.col("seq").desc())
-    life = Window.partitionBy("rule_id", "_life").orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    known = known.withColumn("_set", F.coalesce(*[F.col(c).cast("string") for c in values]).isNotNull()
-                             if values else F.lit(False))
-    state = {c: F.last(F.col(c), True).over(life) for c in cols if c not in values}
-    # both value columns come from the last change that sets either
-    for c in values:
-        state[c] = F.last(F.when(F.col("_set"), F.struct(F.col(c).alias("v"))), True).over(life)["v"]
-    known = known.select("seq", "op", "rule_id", *[v.alias(c) for c, v in state.items()])
-    new = (known.withColumn("_rn", F.row_number().over(last))
-           .filter("_rn = 1 AND op <> 'delete'").select(*rules.columns))
-    errors = log.filter("error IS NOT NULL").select("seq", "op", "rule_id", "error").unionByName(unknown)
-    return new, errors
+    return log.filter("error IS NOT NULL").unionByName(unknown)
 
 
 def rules_by_category(rules: DataFrame) -> DataFrame:

@@ -95,3 +95,21 @@ def ordered_scan(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[
                          .otherwise(F.col(f"_ll_{c}")))
         drop += [f"_ll_{c}", f"_ol_{c}"]
     return out.drop(*drop)
+
+
+def last_before(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], col: str,
+                out: str, blocks: int | None = None) -> DataFrame:
+    """Add ``out``: the last value of ``col`` that is not NULL in the rows before, within
+    ``partition_by`` in the order of ``order_by`` (NULL first)."""
+    P, O = list(partition_by), list(order_by)
+    d = ordered_blocks(df, [*P, *O], blocks)
+    prev = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    loc = d.withColumn("_in", F.last(col, True).over(prev(Window.partitionBy(*P, _BLK).orderBy(*O))))
+    # one row per key and block
+    end = d.groupBy(*P, _BLK).agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.struct(*O))).alias("_end"))
+    end = end.select(*P, _BLK, F.last("_end", True).over(prev(Window.partitionBy(*P).orderBy(_BLK))).alias("_carry"))
+    keys = F.col(f"l.{_BLK}") == F.col(f"o.{_BLK}")
+    for c in P:  # a missing key is a key
+        keys = keys & F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return loc.alias("l").join(end.alias("o"), keys, "left").select(
+        *[F.col(f"l.{c}") for c in df.columns], F.coalesce("l._in", "o._carry").alias(out))

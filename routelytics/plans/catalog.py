@@ -200,19 +200,19 @@ _FOLD = _FOLD.replace("WITH ", "WITH RECURSIVE ", 1)
 _RULE_COLS = "rule_id, field, operator, value_str, value_num, target_queue, priority, category"
 
 
-def _folded(spark, sf):
-    from ..operators.rules import apply_rule_changes
+def _folded(spark, sf, form):
     from ..sources.messages import read_table
     from ..sources.seed import seed_rules
     read_table(spark, sf, "events").createOrReplaceTempView("_rule_change_events")
     changes = spark.sql(f"SELECT {_CHANGE_COLS} FROM _rule_change_events")
-    return apply_rule_changes(seed_rules(spark).drop("description"), changes)
+    return form(seed_rules(spark).drop("description"), changes)
 
 
 @query("rule_changes", _FOLD + f"SELECT {_RULE_COLS} FROM final WHERE alive")
 def rule_changes(spark, sf):
     """The rule table after a log of creates, updates and deletes."""
-    return _folded(spark, sf)[0].select(*_RULE_COLS.split(", "))
+    from ..operators.rules import changed_rules
+    return _folded(spark, sf, changed_rules).select(*_RULE_COLS.split(", "))
 
 
 @query("rule_change_errors", _FOLD + """
@@ -220,7 +220,8 @@ SELECT seq, op, rule_id, error FROM checked WHERE error IS NOT NULL
 UNION ALL SELECT seq, op, rule_id, failed AS error FROM fold WHERE failed IS NOT NULL""")
 def rule_change_errors(spark, sf):
     """Every change that was not applied, with its reason."""
-    return _folded(spark, sf)[1]
+    from ..operators.rules import refused_changes
+    return _folded(spark, sf, refused_changes)
 
 
 @query("rules_by_category", _FOLD + """
@@ -230,8 +231,8 @@ SELECT category, grouping(category) = 1 AS is_total, count(*) AS rules,
 FROM final WHERE alive GROUP BY ROLLUP (category)""")
 def rules_by_category_q(spark, sf):
     """The maintained rules per category, the total told from rules without one."""
-    from ..operators.rules import rules_by_category
-    return rules_by_category(_folded(spark, sf)[0])
+    from ..operators.rules import changed_rules, rules_by_category
+    return rules_by_category(_folded(spark, sf, changed_rules))
 
 
 # ============================================================ history
