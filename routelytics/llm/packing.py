@@ -108,8 +108,9 @@ class WordIds:
         new = set().union(*split).difference(self.known)
         if new:
             self.learn(list(new))
-        return [self._long(t) if len(t) > SEGMENT else b"".join(map(self.known.__getitem__, ws))
-                for t, ws in zip(texts, split)]
+        # all short texts first: a long one may empty ``known``
+        short = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        return [self._long(t) if len(t) > SEGMENT else ids for t, ids in zip(texts, short)]
 
     def _long(self, text: bytes) -> bytes:
         out, at = [], 0

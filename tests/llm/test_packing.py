@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -126,3 +127,12 @@ def test_empty_table_and_clashing_columns(spark):
     assert PK.pack(empty(spark)).collect() == []
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert rows(PK.pack(clashing(spark)), *cols) == rows(PK.pack(edge(spark)), *cols)
+
+
+def test_a_long_text_that_empties_the_cache_leaves_its_neighbours(monkeypatch):
+    monkeypatch.setattr(PK, "CACHE_WORDS", 40)
+    monkeypatch.setattr(PK, "SEGMENT", 300)
+    encode = PK.WordIds(Path(PK.default_tokenizer()).read_text())
+    texts = [b"before it", b" ".join(b"junk%dx" % i for i in range(400)), b"short words after it"]
+    want = [encode.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
