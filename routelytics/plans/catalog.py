@@ -831,11 +831,22 @@ def expired_messages(spark, sf):
                     F.unix_millis("failed_at").alias("failed_ms"))
 
 
-_DEPTH = O.base(O.processed_cte()) + """, ev AS (
+# a rejected message leaves the queue it was routed to when it is rejected, and stands in
+# the dead letters from then on; its row in the processed log does not count
+_DEPTH = _FEED_ALL + """, gone AS (
+  SELECT key AS message_id, benchmark_id, epoch_us(ts) // 1000 AS ms FROM checked WHERE reason IS NOT NULL),
+left_queue AS (
+  SELECT benchmark_id, message_id, min(ms) AS ms FROM gone GROUP BY 1, 2),
+ev AS (
   SELECT target_queue, ts_ms AS ems, 1 AS delta FROM hist
   UNION ALL
-  SELECT h.target_queue, p.processed_ms AS ems, -1 AS delta
-  FROM processed p JOIN hist h USING (benchmark_id, message_id)),
+  SELECT h.target_queue, p.processed_ms, -1
+  FROM processed p JOIN hist h USING (benchmark_id, message_id)
+  WHERE NOT EXISTS (SELECT 1 FROM left_queue g WHERE g.message_id = p.message_id AND g.benchmark_id = p.benchmark_id)
+  UNION ALL
+  SELECT h.target_queue, g.ms, -1 FROM left_queue g JOIN hist h USING (benchmark_id, message_id)
+  UNION ALL
+  SELECT 'dead.letter.queue', ms, 1 FROM gone),
 per AS (SELECT target_queue, (ems // 2000) * 2000 AS window_start_ms, CAST(sum(delta) AS BIGINT) AS net
         FROM ev GROUP BY 1, 2),
 series AS (SELECT target_queue, window_start_ms, net,
@@ -860,9 +871,11 @@ def queue_depth_series(spark, sf):
 @query("last_depth_samples", _DEPTH + """
 SELECT window_start_ms,
        coalesce(last_value(u IGNORE NULLS) OVER (ORDER BY window_start_ms), 0) AS urgent_depth,
-       coalesce(last_value(b IGNORE NULLS) OVER (ORDER BY window_start_ms), 0) AS batch_depth
+       coalesce(last_value(b IGNORE NULLS) OVER (ORDER BY window_start_ms), 0) AS batch_depth,
+       coalesce(last_value(d IGNORE NULLS) OVER (ORDER BY window_start_ms), 0) AS dlq_depth
 FROM (SELECT window_start_ms, max(depth) FILTER (WHERE target_queue = 'urgent.queue') AS u,
-             max(depth) FILTER (WHERE target_queue = 'batch.queue') AS b
+             max(depth) FILTER (WHERE target_queue = 'batch.queue') AS b,
+             max(depth) FILTER (WHERE target_queue = 'dead.letter.queue') AS d
       FROM series GROUP BY window_start_ms)
 ORDER BY window_start_ms DESC LIMIT 30""")
 def last_depth_samples(spark, sf):
