@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with their DuckDB SQL where SQL can
+"""The registered queries of the operators, with their DuckDB SQL where SQL can
 state them.  Each applies its operator to its whole table."""
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from . import pii as PI
 from . import quality_mil as QM
 from . import secrets as SE
 from . import simhash as SH
+from . import token_counts as TC
 from . import warc as WA
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +178,9 @@ def op10_warc(spark, sf):
     out, index = WA.write_archives(_read(spark, sf, "pages"))
     return WA.read_archives(index, out).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark, sf):
+    """Tokens of all whole documents, huge ones in overlapping chunks."""
+    return TC.count_tokens(_read(spark, sf, "documents"))
