@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as ED
 from . import langid_crf as LI
+from . import lexical_search as LS
 from . import line_rules as LR
 from . import mixing as MX
 from . import packing as PK
 from . import pii as PI
+from . import prefix_trie as PT
 from . import quality_mil as QM
 from . import secrets as SE
 from . import simhash as SH
@@ -184,3 +186,60 @@ def op10_warc(spark, sf):
 def op12_token_counts(spark, sf):
     """Tokens of all whole documents, huge ones in overlapping chunks."""
     return TC.count_tokens(_read(spark, sf, "documents"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+q AS (SELECT item_id, t, count(*)::BIGINT AS times FROM i GROUP BY ALL),
+v AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM d GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM v GROUP BY doc_id),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM len),
+w AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM v, c WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // total AS m FROM len, c),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN v USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
+def op13_lexical_search(spark, sf):
+    """The ten best of all documents for every benchmark item, by dual trees."""
+    return LS.search(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
+@query("op11_prefix_trie", r"""
+WITH o AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list(t ORDER BY pos) AS ts,
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
+           (a, b) -> list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             (r, z) -> xor(r >> 1, 3988292384::BIGINT * (r & 1))))) % 6 AS h
+  FROM o GROUP BY c),
+re AS (
+  SELECT a.c, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts
+  FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+path AS (SELECT c, len(ts) AS n, d, ts[1:d] AS k, coalesce(length(ts[d].text), 0) AS cp FROM re, unnest(range(0, len(ts) + 1)) u(d)),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(cp) AS cp, max(n) = d AS leaf,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+         FROM path GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+sub AS (
+  SELECT a.k, a.d, sum(b.leaf::INT) AS n_leaves, sum((b.n_convs - 1) * b.cp) AS saved_tokens
+  FROM path a JOIN node b ON b.conv_id = a.c AND b.d >= a.d GROUP BY a.k, a.d)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM node n JOIN sub s ON s.k = n.k AND s.d = n.d LEFT JOIN kids ON kids.k = n.k
+LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]""")
+def op11_prefix_trie(spark, sf):
+    """The prefix trie of all rebuilt conversations."""
+    return PT.prefix_trie(_read(spark, sf, "conversations"))
