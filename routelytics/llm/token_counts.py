@@ -55,12 +55,25 @@ def splittable(tokenizer_json: str) -> int:
     return max([4, *(len(a["content"]) + 1 for a in added)]) if known else 0
 
 
+#: Characters that Python's and the tokenizer's character classes surely take alike: ASCII
+#: without the separators 1C to 1F, and Latin letters.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
+PLAIN = re.compile(f"[\\x00-\\x1b\\x20-\\x7f{LETTERS}]*")
+#: The byte-level pre-tokenizer's pattern (fixed) over those characters.
+UNITS = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones
+    for themselves, the others in turn from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Counter:
     """Token counts of texts as one tokenizer file gives them, without added tokens."""
 
-    #: A space before a visible character begins a unit, whatever stands before it.
-    AT = staticmethod(re.compile(r" (?=\S)").split)
-
     def __init__(self, path_or_json: str, kind: str):
         if kind == "model":
             import sentencepiece
@@ -70,31 +83,86 @@ class Counter:
         self.pieces, self.tokenizer, self.margin = None, Tokenizer.from_str(path_or_json), splittable(path_or_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, int] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
+        # a space before a visible character begins a unit, whatever stands before it (but
+        # white space before a special string is a unit of its own)
+        no = "".join(f"(?!{re.escape(x)})" for x in self.special)
+        self.at = re.compile(rf" (?=\S){no}").split
+        self.known: dict[str, int] = {}   # by unit, without its space
+        self.parts: dict[str, int] = {}   # by what the pre-tokenizer makes of a unit
 
     def _whole(self, texts: list[str]) -> list[int]:
         if self.pieces is not None:
             return [len(x) for x in self.pieces.encode(texts, num_threads=1)] if texts else []
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, units: list[str]) -> None:
+        """Put the units in ``known``: plain ones by way of their parts and the
+        tokenizer's model, the others through the whole tokenizer."""
+        known, parts, whole, model = self.known, self.parts, [], self.tokenizer.model.tokenize
+        for u in units:
+            if not PLAIN.fullmatch(u) or any(x in u for x in self.special):
+                whole.append(u)
+                continue
+            n = 0
+            for x in UNITS.findall(" " + u):
+                k = parts.get(x)
+                if k is None:
+                    k = parts[x] = len(model(x.encode().decode("latin-1").translate(self.letters)))
+                n += k
+            known[u] = n
+        for i in range(0, len(whole), 4096):
+            some = whole[i:i + 4096]
+            known.update(zip(some, self._whole([" " + u for u in some])))
+
+    def _split(self, texts: list[str]) -> tuple[list[int], list[list[str]]]:
+        """Tokens before each text's first unit, and its units, which are then known."""
+        if len(self.known) + len(self.parts) > CACHE_UNITS:
+            self.known.clear()
+            self.parts.clear()
+        split = [self.at(t) for t in texts]
+        first = self._whole([p[0] for p in split])
+        units = [p[1:] for p in split]
+        self._learn(list(set().union(*units).difference(self.known)))
+        return first, units
+
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text.  Units that begin with a space are encoded once a worker."""
+        """Tokens of each text."""
         if not self.margin:
             return self._whole(texts)
         known = self.known
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        parts = [self.AT(t) for t in texts]
-        first = self._whole([p[0] for p in parts])
-        new = list(set().union(*(p[1:] for p in parts)).difference(known))
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            known.update(zip(some, self._whole([" " + u for u in some])))
-        return [n + sum(map(known.__getitem__, p[1:])) for n, p in zip(first, parts)]
-
-    def edges(self, body: str, overlap: int, start: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
-        """Tokens of a chunk, and (character of the document, tokens of the chunk before
-        it) for the unit boundaries in its first and its last ``overlap`` characters."""
+        return [n + sum(map(known.__getitem__, u)) for n, u in zip(*self._split(texts))]
+
+    def edges(self, chunks: list[str], overlap: int, starts: list[int]) -> list[tuple[int, list, list]]:
+        """Of each chunk, its tokens, and (character of the document, tokens of the chunk
+        before it) for the boundaries of units in its first and last ``overlap`` characters."""
+        out = []
+        for body, start, before, units in zip(chunks, starts, *self._split(chunks)):
+            counts = list(map(self.known.__getitem__, units))
+            total, last = before + sum(counts), len(body) - self.margin
+            at, n = len(body) - sum(map(len, units)) - len(units), before
+            head, tail = [(start, 0)], []
+            for u, k in zip(units, counts):
+                if at > overlap:
+                    break
+                head.append((start + at, n))
+                at, n = at + 1 + len(u), n + k
+            at, n = len(body), total
+            for u, k in zip(reversed(units), reversed(counts)):
+                at, n = at - 1 - len(u), n - k
+                if at < len(body) - overlap:
+                    break
+                if at <= last:
+                    tail.append((start + at, n))
+            if not tail or len(head) < 2:  # no such unit in the overlap: all boundaries there are
+                out.append(self._fine(body, overlap, start))
+            else:
+                out.append((total, head, tail))
+        return out
+
+    def _fine(self, body: str, overlap: int, start: int) -> tuple[int, list, list]:
+        """``edges`` of one chunk by the tokenizer's own offsets and unit numbers."""
         e = self.tokenizer.encode(body, add_special_tokens=False)
         words, offsets, n = e.word_ids, e.offsets, len(e.ids)
         last = len(body) - self.margin
@@ -220,7 +288,9 @@ def _seams(chunks: DataFrame, model, overlap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _worker(model.value, "json")
         for b in batches:
-            got = [c.edges(x, overlap, a) for x, a in zip(b.column("_body").to_pylist(), b.column("_start").to_pylist())]
+            bodies, starts = b.column("_body").to_pylist(), b.column("_start").to_pylist()
+            some = max(1, STRETCH // max(1, max(map(len, bodies), default=1)))
+            got = [x for i in range(0, len(bodies), some) for x in c.edges(bodies[i:i + some], overlap, starts[i:i + some])]
             edge = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
             names = ["id", "n_bytes", "_doc", "_k", "_last"]
             yield pa.RecordBatch.from_arrays(

@@ -9,7 +9,7 @@ from conftest import SF001
 from routelytics.llm import token_counts as TC
 
 FRAGMENTS = ["the", " the", "  ", " ", "\n", "\t", "'", "'s", "'ll", "'l", "l", "é", "漢字", "\U0001f600", "1", "23", ".", "!!", "<|endoftext|>",
-             "<|endo", "ftext|>", " ", "　", "\x1c", "\x85", "straße", " a", "\r\n", "x" * 40, " " * 30, "-" * 25, "é", "\x00"]
+             "<|endo", "ftext|>", " ", "　", "\x1c", "\x85", "straße", " a", "\r\n", "x" * 40, " " * 30, "-" * 25, "é", "\x00", "   <|endoftext|>", "  <|endoftext", "\n \n <|endoftext|>"]
 
 
 def _library():
@@ -29,6 +29,14 @@ def test_units_equal_the_library():
     assert c.count(texts) == [want(t) for t in texts]
 
 
+def test_edges_of_a_chunk_are_the_librarys():
+    c = TC.Counter(open(TC.default_tokenizer()).read(), "json")
+    for t in _texts(400, 200, 3):
+        n, head, tail = c.edges([t], 40, [1000])[0]
+        m, fine_head, fine_tail = c._fine(t, 40, 1000)
+        assert n == m and set(tail) <= set(fine_tail) and set(head) <= {(1000, 0), *fine_head}
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 16), (128, 20)])
 def test_chunks_equal_the_library(spark, chunk, overlap):
     want, texts = _library(), _texts(300, 120, 2)  # runs of 40 are longer than the overlap: some widen
