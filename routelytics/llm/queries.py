@@ -221,9 +221,9 @@ WITH o AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 own AS (
   SELECT c, list(t ORDER BY pos) AS ts,
-         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-           (a, b) -> list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-             (r, z) -> xor(r >> 1, 3988292384::BIGINT * (r & 1))))) % 6 AS h
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1))))) % 6 AS h
   FROM o GROUP BY c),
 re AS (
   SELECT a.c, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts
