@@ -13,6 +13,7 @@ left; once all pieces left fit several times into a gap, it offers several slots
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -27,90 +28,112 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, byte_letters, partitions
 from .quality_mil import _stretches
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers (about 150 bytes each), and bytes of text handled at a time.
 CACHE_WORDS, SEGMENT = 600_000, 1 << 20
-SEPARATOR = b"~"
+
+
+#: Lower-case Latin letters: one code point each in every normal form.
+LOW = re.compile("[a-z\u00df-\u00f6\u00f8-\u0101\u0103-\u012f\u0131-\u024f]+")
+
+
+def word_wise(tokenizer_json: str) -> bool:
+    """Whether the file describes a tokenizer that is known to handle words one by one, as
+    ``WordIds`` does: composed, lower-cased text, white space dropped, letters, single
+    digits and other characters parted, byte-level BPE within each part."""
+    t = json.loads(tokenizer_json)
+    norm, pre, model = t.get("normalizer") or {}, t.get("pre_tokenizer") or {}, t.get("model") or {}
+    steps = [n.get("type") for n in norm.get("normalizers", [])]
+    cuts = pre.get("pretokenizers", [])
+    plain = all(not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) and not re.search(r"\s", a["content"])
+                for a in t.get("added_tokens") or [])
+    return (plain and t.get("post_processor") is None and steps == ["NFC", "Replace", "Lowercase"]
+            and norm["normalizers"][1].get("pattern") == {"Regex": "\\s+"} and norm["normalizers"][1].get("content") == " "
+            and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": PARTS} and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed"
+            and not cuts[1].get("add_prefix_space", True) and not cuts[1].get("use_regex", True)
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix"))
+
+
+#: The pattern of parts that ``WordIds`` relies on (fixed).
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class WholeIds:
+    """Token ids of texts by any tokenizer: whole texts."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
+
+class _Known(dict):
+    """Ids by word; what is missing is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
 
 
 class WordIds:
-    """Token ids of texts by way of their words: the tokenizer never looks across white
-    space, so a word's ids do not depend on its neighbours and are worth remembering."""
+    """Token ids of texts by way of their words: a ``word_wise`` tokenizer never looks across
+    white space, so a word's ids do not depend on its neighbours and are worth remembering."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        mark = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of words that hold no separator and no special token: many at a time."""
-        for i in range(0, len(words), 4096):
-            some = words[i:i + 4096]
-            groups = [some[j:j + 256] for j in range(0, len(some), 256)]
-            texts = [(b" " + SEPARATOR + b" ").join(g).decode("utf-8", "replace") for g in groups]
-            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                cuts, buf, a = np.flatnonzero(ids == self.mark).tolist(), ids.tobytes(), 0
-                for w, c in zip(g, [*cuts, len(ids)]):
-                    yield w, buf[4 * a:4 * c]
-                    a = c + 1
+        self.known = _Known(self._encode)
 
     def _alone(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Put all of ``words`` in ``known``.  The tokenizer lower-cases and parts letters
-        and digits from punctuation, so a word is looked up as lower-case core and tail."""
-        known, text = self.known, b" ".join(words)
-        if self.mark is None or any(s in text for s in (SEPARATOR, *self.special)):
-            odd = {w for w in words if self.mark is None or any(s in w for s in (SEPARATOR, *self.special))}
-            known.update((w, self._alone(w)) for w in odd)
-            words = [w for w in words if w not in odd]
-            text = b" ".join(words)
-        cores, tails = [], []
-        for low in text.lower().split():  # bytes: ASCII letters only
+    def _letters(self, part: str) -> bytes:
+        """Ids of lower-case letters, one part for the tokenizer, by its model alone."""
+        return array("I", [t.id for t in self.model(part)]).tobytes()
+
+    def _encode(self, word: bytes) -> bytes:
+        """Ids of one word.  The tokenizer lower-cases, and parts letters and digits from
+        punctuation, so letters before a tail of punctuation stand for themselves."""
+        if any(s in word for s in self.special):
+            return self._alone(word)
+        if word.isascii():
+            low = word.lower()
             core = low.rstrip(PUNCTUATION)
-            if not core[-1:].isalnum():  # not surely a letter or a digit before the tail
-                core = low
-            cores.append(core)
-            tails.append(low[len(core):])
-        known[b""] = b""
-        need, whole = {*cores, *tails}.difference(known), []
-        model = self.tokenizer.model.tokenize
-        for w in need:
-            if w.isalpha():  # ASCII letters: one unit for the tokenizer, and as its model wants it
-                known[w] = array("I", [t.id for t in model(w.decode())]).tobytes()
-            else:
-                whole.append(w)
-        known.update(self._encode(whole))
-        known.update((w, known[c] + known[t]) for w, c, t in zip(words, cores, tails))
-
-    def _ids(self, words: list[bytes]) -> bytes:
-        known = self.known
-        ids = list(map(known.get, words))
-        if None in ids:
-            self.learn(list({w for w, i in zip(words, ids) if i is None}))
-            ids = list(map(known.get, words))
-        return b"".join(ids)
+            if core == word:
+                return self._letters(word.decode()) if word.isalpha() else self._alone(word)
+            if core[-1:].isalnum():
+                return self.known[core] + (self.known[low[len(core):]] if core != low else b"")
+            return self._alone(word)
+        low = word.decode("utf-8", "replace").lower()
+        core = low.rstrip(PUNCTUATION.decode())
+        if not LOW.fullmatch(core):
+            return self._alone(word)
+        ids = self._letters(core.encode().decode("latin-1").translate(self.letters))
+        return ids + self.known[low[len(core):].encode()] if core != low else ids
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of some texts as little-endian unsigned 32-bit numbers."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        split = [t.split() if len(t) <= SEGMENT else [] for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(list(new))
-        # all short texts first: a long one may empty ``known``
-        short = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        return [self._long(t) if len(t) > SEGMENT else ids for t, ids in zip(texts, short)]
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.split())) if len(t) <= SEGMENT else self._long(t) for t in texts]
 
     def _long(self, text: bytes) -> bytes:
         out, at = [], 0
@@ -119,22 +142,22 @@ class WordIds:
             end = cut.start() if cut else len(text)
             if len(self.known) > 2 * CACHE_WORDS:
                 self.known.clear()
-            out.append(self._ids(text[at:end].split()))
+            out.append(b"".join(map(self.known.__getitem__, text[at:end].split())))
             at = end
         return b"".join(out)
 
 
-#: ASCII punctuation but for the separator.
-PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != SEPARATOR[0])
+#: ASCII punctuation.
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _worker_ids(tokenizer_json: str) -> WordIds:
+def _worker_ids(tokenizer_json: str) -> WordIds | WholeIds:
     """The process's own instance: workers serve many tasks."""
     store = sys.modules["tokenizers"].__dict__.setdefault("_word_ids", {})
     key = hash(tokenizer_json)
     if key not in store:
-        store[key] = WordIds(tokenizer_json)
+        store[key] = (WordIds if word_wise(tokenizer_json) else WholeIds)(tokenizer_json)
     return store[key]
 
 
@@ -332,7 +355,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
          id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Pack all rows of ``docs`` (``id_col``, text) into sequences of at most ``capacity``
     tokens; one row per piece: ``id_col``, piece, start, length, ids_crc32,
-    [ids,] sequence_id, offset.
+    [ids,] sequence_id, offset.  ``tokenizer_path``: a file of the tokenizers library; one
+    that handles words one by one (``word_wise``, as the default does) is run word by
+    word, any other on whole texts.
 
     Only documents longer than a sequence are cut, into pieces of ``capacity`` and a
     rest.  Null and empty texts are the end id alone.  Null and repeated ids and repeated

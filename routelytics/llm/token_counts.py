@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, byte_letters, partitions
 
 #: Characters of a chunk and of the overlap of two, at first; bytes encoded at a time.
 CHUNK, OVERLAP, STRETCH = 16_384, 256, 1 << 20
@@ -63,14 +63,6 @@ PLAIN = re.compile(f"[\\x00-\\x1b\\x20-\\x7f{LETTERS}]*")
 UNITS = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable ones
-    for themselves, the others in turn from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Counter:
     """Token counts of texts as one tokenizer file gives them, without added tokens."""
 
@@ -84,7 +76,7 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         # a space before a visible character begins a unit, whatever stands before it (but
         # white space before a special string is a unit of its own)
         no = "".join(f"(?!{re.escape(x)})" for x in self.special)

@@ -42,7 +42,7 @@ def test_odd_words_tokenise_as_in_their_text():
     from pathlib import Path
     ids = PK.WordIds(Path(PK.default_tokenizer()).read_text())
     texts = ["a~b ~ ~~ x~", "<|endoftext|> a<|startoftext|>b", "don't we're 'tis it's, they'll!", "“quoted…” naïvé ﬁ ı İ ſ K",
-             "a b c\x85d", "ẹ́ ́x 1٣4½", "Hello,world!! (foo).bar ab12cd 3.14%", "\x1c\x1f a\x00b"]
+             "a b c\x85d", "ẹ́ ́x 1٣4½", "Hello,world!! (foo).bar ab12cd 3.14%", "\x1c\x1f a\x00b", "CAFÉ café, É. é.. dogs' x's ß'll \x00. a\x00. ªº µ× ÷ ǅ ŉ ſ. İ. ~a~ _b_"]
     for t in texts:
         want = np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         assert ids([t.encode()])[0] == want, t
@@ -136,3 +136,30 @@ def test_a_long_text_that_empties_the_cache_leaves_its_neighbours(monkeypatch):
     texts = [b"before it", b" ".join(b"junk%dx" % i for i in range(400)), b"short words after it"]
     want = [encode.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+
+
+def test_random_words_tokenise_as_in_their_text():
+    import random
+    r, ids = random.Random(6), PK.WordIds(Path(PK.default_tokenizer()).read_text())
+    some = ["a", "B", "é", "É", "'s", "'", "'LL", ".", "~", "<|endoftext|>", "1", "ß", "İ", "Σ", "\u0301", "\x00", "_", " ", "\u00a0", "漢", "ŋ", "²"]
+    for _ in range(6000):
+        t = "".join(r.choice(some) for _ in range(r.randint(0, 12)))
+        assert ids([t.encode()])[0] == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
+def test_other_tokenizers_take_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    words = {w: i for i, w in enumerate(["<unk>", "The", "the", "dog", "Dog", "dog,"])}
+    own = Tokenizer(models.WordLevel(words, "<unk>"))  # case matters, white space alone parts
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    own.save(str(tmp_path / "own.json"))
+    import public_tokenizers as P
+    texts = ["The dog, the Dog", "the the  dog", "", None, "DOG"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in (str(tmp_path / "own.json"), P.path("byte_bpe_50k.json")):
+        assert not PK.word_wise(Path(path).read_text())
+        t = Tokenizer.from_file(path)
+        want = [np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for x in texts]
+        got = PK.pieces(docs, path, keep_ids=True).orderBy("doc_id").collect()
+        assert [bytes(r["ids"]) for r in got] == want
+    assert PK.word_wise(Path(PK.default_tokenizer()).read_text())
