@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
@@ -159,7 +159,7 @@ def _writer(out: str, frame_bytes: int, bundle_bytes: int, level: int):
 def write_archives(pages: DataFrame, out: str | None = None, min_bytes: int = 1000,
                    frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 28,
                    level: int = 3) -> tuple[str, DataFrame]:
-    """Write one record per row of ``pages`` (page_id, url, html); (folder, index).
+    """Write one record per row of ``pages`` (page_id long, url, html); (folder, index).
 
     The payload is the html in UTF-8, null is empty.  Of pages with equal payloads of
     at least ``min_bytes`` the one with the largest page_id is a response and the
@@ -211,36 +211,52 @@ def _parsed(rows: list[tuple]) -> pa.RecordBatch:
         [c for c, _ in cols])
 
 
-def read_archives(index: DataFrame, out: str) -> DataFrame:
+#: Compressed bytes that one reading task is given.
+READ_BYTES = 8 << 20
+
+
+def read_archives(index: DataFrame, out: str, read_bytes: int = READ_BYTES) -> DataFrame:
     """Every record of the bundles that ``index`` names, read back frame by frame from
-    the bundles' own seek tables (the index only lists the files)."""
+    the bundles' own seek tables (the index only lists the files, and the bytes of their
+    frames, from which follows the number of tasks).  Each task has a range of frames and
+    opens a bundle once."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
         fs, folder = pafs.FileSystem.from_uri(out)
-        unzip = zstandard.ZstdDecompressor()
+        unzip, name, f, table = zstandard.ZstdDecompressor(), None, None, []
         for b in batches:
-            for name, frame in zip(b.column("bundle").to_pylist(), b.column("frame").to_pylist()):
-                with fs.open_input_file(f"{folder}/{name}") as f:
-                    at, size, plain = _entry(f, frame)
-                    f.seek(at)
-                    data = unzip.decompress(f.read(size), max_output_size=plain)
+            for bundle, frame in zip(b.column("bundle").to_pylist(), b.column("frame").to_pylist()):
+                if bundle != name:
+                    if f is not None:
+                        f.close()
+                    name, f = bundle, fs.open_input_file(f"{folder}/{bundle}")
+                    table = _entries(f)
+                at, size, plain = table[frame]
+                f.seek(at)
+                data = unzip.decompress(f.read(size), max_output_size=plain)
                 rows, here = [], 0
                 while here < len(data):
                     head, block, here = parse_record(data, here)
                     rows.append(_row(head, block))
                 if rows:
                     yield _parsed(rows)
-    frames = index.select("bundle", "frame").distinct()
-    return frames.mapInArrow(read, PARSED)
-
-
-def _entry(f, frame: int) -> tuple[int, int, int]:
-    """The seek table's entry of one frame, from an open bundle."""
+        if f is not None:
+            f.close()
+    spark = index.sparkSession
+    frames = index.groupBy("bundle", "frame").agg(F.max("frame_size").alias("size"))
+    n, size = frames.agg(F.count(F.lit(1)), F.sum("size")).first()
+    tasks = max(1, -(-(size or 0) // read_bytes), min(n, partitions(spark)))
+    return (frames.select("bundle", "frame").repartitionByRange(tasks, "bundle", "frame")
+            .sortWithinPartitions("bundle", "frame").mapInArrow(read, PARSED))
+
+
+def _entries(f) -> list[tuple[int, int, int]]:
+    """The seek table of an open bundle."""
     size = f.size()
     f.seek(size - 9)
     n = struct.unpack("<IBI", f.read(9))[0]
     f.seek(size - 9 - 8 * n)
-    return read_seek_table(f.read(8 * n + 9))[frame]
+    return read_seek_table(f.read(8 * n + 9))
 
 
 def fetch_records(wanted: DataFrame, out: str) -> DataFrame:
@@ -253,7 +269,7 @@ def fetch_records(wanted: DataFrame, out: str) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 with fs.open_input_file(f"{folder}/{r['bundle']}") as f:
-                    at, size, plain = _entry(f, r["frame"])
+                    at, size, plain = _entries(f)[r["frame"]]
                     f.seek(at)
                     data = unzip.decompress(f.read(size), max_output_size=plain)
                 record = data[r["offset"]:r["offset"] + r["length"]]

@@ -28,7 +28,7 @@ COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_
 
 
 def test_round_trip(spark, tmp_path):
-    df = spark.createDataFrame(PAGES, SCHEMA).repartition(3).withColumn("extra", WA.F.lit(1)).withColumn("_digest", WA.F.lit("x"))
+    df = spark.createDataFrame(PAGES, SCHEMA).repartition(3).withColumn("extra", WA.F.lit(1)).select("*", *[WA.F.lit("x").alias(c) for c in ("_digest", "_keep", "_twin", "refers_to")])
     out, index = WA.write_archives(df, out=f"file://{tmp_path}/w", frame_bytes=4000, bundle_bytes=9000)
     assert rows(WA.read_archives(index, out), *COLUMNS) == _want(PAGES)
     # the bundles are plain Zstandard, their records stand where the index says
@@ -71,3 +71,14 @@ def test_whole_table_and_empty_table(spark):
     assert rows(WA.read_archives(index, out), *COLUMNS) == _want([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
     out, index = WA.write_archives(spark.createDataFrame([], SCHEMA))
     assert WA.read_archives(index, out).collect() == []
+
+
+def test_reading_is_spread(spark, tmp_path):
+    df = spark.range(0, 3000, 1, 1).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(sha2(cast(id AS string), 256), 40) AS html")
+    out, index = WA.write_archives(df, out=f"file://{tmp_path}/w", frame_bytes=20_000, bundle_bytes=100_000)
+    got = WA.read_archives(index, out, read_bytes=20_000)
+    held = got.groupBy(WA.F.spark_partition_id()).count().collect()
+    size = sum(r.frame_size for r in index.select("bundle", "frame", "frame_size").distinct().collect())
+    assert len(held) >= 0.7 * size / 20_000 > 10 and max(r["count"] for r in held) < 600
+    assert sum(r["count"] for r in held) == 3000
+    assert len(WA.read_archives(index, out).groupBy(WA.F.spark_partition_id()).count().collect()) == 4  # the session's partitions
