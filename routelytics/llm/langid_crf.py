@@ -12,6 +12,7 @@ stretches of documents of different languages, which shows the chain what a swit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .quality_mil import _stretches, held_out
 
 UNKNOWN = "und"
@@ -241,16 +243,43 @@ def _lettered(word: bytes) -> bool:
     return word.isalpha() or any(c.isalpha() for c in word.decode("utf-8", "replace"))
 
 
+def choose_rows(docs: DataFrame, per_language: int, label_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, _r): of each language the ``per_language`` ids with the smallest
+    hashes among the labelled rows that are not held out, and their rank.
+
+    From the rows a language has follows a bound on the hash that about one and a half
+    times as many pass as are wanted, so ranking meets that many rows, however many rows
+    and tasks there are.  Where too few pass (ids that repeat a lot), the bound is raised
+    eightfold until enough do or all pass."""
+    s = Scratch(docs.sparkSession, "language-rows")
+    rows = docs.select("doc_id", F.col(label_col).alias("lang")).filter(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
+    rows = rows.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit("lang")))
+    share = per_language + 8 * math.ceil(math.sqrt(per_language))
+    span = F.least(F.lit(1.0), F.lit(float(share)) / F.col("n"))
+    open_ = s.table(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("span", span), "counts")
+    found = None
+    while found is None or not open_.isEmpty():
+        # the hash as a share of its range; a whole range takes every row
+        below = (F.col("_h") / F.lit(float(1 << 63)) + 1) / 2
+        some = rows.join(open_, "lang").filter((below <= F.col("span")) | (F.col("span") >= 1)).select("doc_id", "lang", "_h").distinct()
+        some = s.table(some, "some")
+        enough = some.groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
+        state = open_.join(enough, "lang", "left").withColumn("ok", (F.col("span") >= 1) | (F.coalesce("got", F.lit(0)) >= per_language))
+        state = s.table(state, "state")
+        done = some.join(state.filter("ok").select("lang"), "lang").select("doc_id", "lang", "_h")
+        found = done if found is None else found.unionByName(done)
+        open_ = state.filter("NOT ok").select("lang", "n", F.least(F.lit(1.0), F.col("span") * 8).alias("span"))
+    rank = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    return found.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= per_language).drop("_h")
+
+
 def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS,
                  label_col: str = "lang") -> Crf:
     """Fit on rows with a label that are not held out: of each language the first
     ``per_language`` by hash of the id, at most ``max_rows`` in all.  A row gives up to
     ``STRETCHES`` stretches of words, spread over its whole text."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit("lang")), "doc_id")
-    chosen = (docs.select("doc_id", F.col(label_col).alias("lang"))
-              .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-              .withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= per_language)
-              .orderBy("_r", "lang").limit(max_rows).select("doc_id", "lang").distinct())
+    chosen = choose_rows(docs, per_language, label_col).orderBy("_r", "lang").limit(max_rows).select("doc_id", "lang")
     # the broadcast side has at most ``max_rows`` rows
     sample = docs.select("doc_id", "text", F.col(label_col).alias("lang")).join(
         F.broadcast(chosen), ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id", "text")).limit(max_rows)

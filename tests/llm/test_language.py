@@ -75,3 +75,22 @@ def test_all_sampled_words_count_in_the_fit(monkeypatch):
     chains.clear()
     LI.Crf(["a", "b"]).fit(few * 20, steps=1)      # 480,000 words
     assert sum(chains) == 10_000 and max(chains) <= 4000
+
+
+def test_rows_are_chosen_by_hash_whatever_the_tasks(spark):
+    from pyspark.sql import functions as F
+    from routelytics.llm.langid_crf import choose_rows, held_out
+    # 500 tasks; one id that a third of the rows repeat; a language with few ids, repeated
+    ids = spark.range(0, 30_000, 1, 500).select(
+        F.when(F.col("id") % 3 == 0, 12).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 1000 == 7, "rare").when(F.col("id") % 7 == 0, None).otherwise("en").alias("lang"))
+    few = spark.range(0, 6000, 1, 20).select((F.when(F.col("id") < 5900, 40_000).otherwise(F.col("id") + 40_000)).alias("doc_id"), F.lit("few").alias("lang"))
+    docs = ids.unionByName(few).withColumn("_h", F.lit("clash"))
+    got = {}
+    for r in choose_rows(docs, 20).collect():
+        got.setdefault(r.lang, []).append((r._r, r.doc_id))
+    rows_ = docs.filter("lang IS NOT NULL").filter(~held_out(F.col("doc_id"), 5, 0)).select(
+        "lang", "doc_id", F.xxhash64("doc_id", F.lit("lang")).alias("h")).distinct().collect()
+    for lang in ("en", "rare", "few"):
+        want = [i for _, i in sorted((r.h, r.doc_id) for r in rows_ if r.lang == lang)[:20]]
+        assert [i for _, i in sorted(got[lang])] == want
