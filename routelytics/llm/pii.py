@@ -21,10 +21,11 @@ from .common import Scratch, let
 #: Candidate patterns, the base kinds first (their order is the order of kinds).  The
 #: quantifiers are possessive where the next character cannot be part of the repeat, which
 #: changes no match and keeps long runs off the matcher's stack; an e-mail starts where a
-#: run of its characters starts or at the previous match's end, as a leftmost search would find.
+#: run of its characters starts or at the previous match's end, an address where a run of
+#: digits starts, as a leftmost search would find.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "email_text": r"[A-Za-z0-9_+-]{2,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{2,64}+\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z]{2,10}+",
@@ -44,6 +45,8 @@ CONTEXT = {"email": "mail|contact|write|address", "email_text": "mail|contact|wr
            "phone": "call|phone|tel|fax|mobile|contact", "phone_local": "call|phone|tel|fax|mobile|contact",
            "national_id": "ssn|social|security|id|insurance", "iban": "iban|account|bank|konto|compte"}
 AGAINST = r"version|isbn|page|figure|section|order|build|\bv\.?\s?$"
+#: Parts of a text that are gone through at a time.
+BLOCK = 512
 LABELERS = ["format", "check", "gazetteer", "context", "border"]
 MARK, END = "\x01", "\x02"
 
@@ -65,14 +68,23 @@ def candidates(text: Column) -> Column:
                             F.when(at > 0, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
         kinds = "array<struct<k:int,start:bigint,end:bigint,match:string,before:string,after:string>>"
+        def block(acc: Column, some: Column) -> Column:
+            """The spans of a block of parts, as one array more: growing one array by every
+            span would copy it as often."""
+            none = F.struct(acc["pos"].alias("pos"), acc["tail"].alias("tail"), F.array().cast(kinds).alias("found"))
+            return let(F.aggregate(some, none, add), lambda a: F.struct(
+                a["pos"].alias("pos"), a["tail"].alias("tail"), F.concat(acc["found"], F.array(a["found"])).alias("found")))
+
         start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("tail"),
-                         F.array().cast(kinds).alias("found"))
+                         F.array().cast(f"array<{kinds}>").alias("found"))
         parts = F.split(F.regexp_replace(clean, PATTERNS[kind], f"{MARK}$0{END}"), MARK)
         need = clean.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
         if kind not in ("email", "email_text"):
             need = need & clean.rlike("[0-9]")
         # a digit run of a card candidate that is too short to be one is no candidate
-        found = F.aggregate(parts, start, add, lambda a: a["found"])
+        blocks = let(parts, lambda p: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, BLOCK)))
+        found = F.flatten(F.aggregate(blocks, start, block, lambda a: a["found"]))
         if kind == "card":
             found = F.filter(found, lambda x: F.length(_digits(x["match"])).between(14, 19))
         return F.when(need, found).otherwise(F.array().cast(kinds))

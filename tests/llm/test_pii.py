@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from helpers import EDGE_ROWS, clashing, edge, empty, rows
 
@@ -81,3 +82,13 @@ def test_edges(spark):
 def test_plan_has_no_python(spark):
     plan = PI.find_pii(edge(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_runs_of_digits(spark):
+    data = [(1, "7" * 1_000_000), (2, "3." + "7" * 1_000_000), (3, "1." * 200_000), (4, "7" * 500_000 + ".1.2.3 10.1.2.3")]
+    t0 = time.time()
+    got = {r.doc_id: [(x["kind"], x["start"], x["end"]) for x in r.pii if x["base"]] for r in PI.find_pii(
+        spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    assert got[1] == got[2] == [] and got[4] == [("ip", 500_007, 500_015)]
+    assert got[3] == base_spans(data[2][1])
+    assert time.time() - t0 < 120
