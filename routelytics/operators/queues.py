@@ -9,7 +9,7 @@ by key (anti joins, shuffled on the key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (BATCH_QUEUE, DEAD_LETTER_QUEUE, DEPTH_SAMPLE_EVERY, DEPTH_SAMPLES_KEPT,
@@ -73,20 +73,34 @@ def processed_counters(processed: DataFrame, dead_letters: DataFrame) -> DataFra
                      F.coalesce("rejected", F.lit(0)).alias("rejected")))
 
 
+def own_message(ts) -> Column:
+    """What tells routed rows without a message id apart (NULL for the others)."""
+    return F.when(F.col("message_id").isNull(), F.concat_ws("|", F.coalesce("target_queue", F.lit("")), F.unix_millis(ts)))
+
+
 def expire_to_dead_letter(routed: DataFrame, processed: DataFrame, now_ms: int,
-                          ttl_ms: int) -> DataFrame:
-    """ST4 (batch form): messages not processed within ``ttl_ms`` of routing, as of
-    ``now_ms``, become dead letters with reason 'expired' (as in the stream form)."""
-    ts_ms = F.unix_millis(F.col("ts"))
-    late = routed.filter(ts_ms < F.lit(now_ms - ttl_ms))
-    # a message processed only after its time was up had expired before
-    in_time = processed.alias("d")
-    exp = late.alias("r").join(in_time, same_key("r", "d") & (
-        F.col("d.processed_ms") <= F.unix_millis(F.col("r.ts")) + F.lit(ttl_ms)), "left_anti")
+                          ttl_ms: int, rejected: DataFrame | None = None) -> DataFrame:
+    """ST4 (batch form): messages neither processed nor rejected within ``ttl_ms`` of
+    routing, as of ``now_ms``, become dead letters with reason 'expired' (as in the stream
+    form): one letter a message, for its first routing.  Rows without their stamp are left
+    out; a routed row without a message id is settled by nothing."""
+    ts_ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    first = (routed.filter(F.col("ts").isNotNull())
+             .groupBy(*KEY, own_message(F.col("ts").cast("timestamp")).alias("_own"))
+             .agg(F.min(F.struct(ts_ms.alias("ms"), "target_queue")).alias("_r"))
+             .select(*KEY, F.col("_r.ms").alias("routed_ms"), F.col("_r.target_queue").alias("target_queue")))
+    late = first.filter(F.col("routed_ms") < F.lit(now_ms - ttl_ms))
+    settled = processed.select(*KEY, F.col("processed_ms").alias("settled_ms"))
+    if rejected is not None:
+        settled = settled.unionByName(rejected.select(*KEY, F.unix_millis(F.col("failed_at").cast("timestamp")).alias("settled_ms")))
+    settled = settled.filter(F.col("message_id").isNotNull())
+    # a message settled only after its time was up had expired before
+    exp = late.alias("r").join(settled.alias("d"), same_key("r", "d") & (
+        F.col("d.settled_ms") <= F.col("r.routed_ms") + F.lit(ttl_ms)), "left_anti")
     return exp.select(
         F.col("target_queue").alias("original_queue"), "benchmark_id", "message_id",
         F.lit("message expired").alias("error"), F.lit("expired").alias("reason"),
-        F.timestamp_millis(F.unix_millis(F.col("ts")) + F.lit(ttl_ms)).alias("failed_at"))
+        F.timestamp_millis(F.col("routed_ms") + F.lit(ttl_ms)).alias("failed_at"))
 
 
 def depth_events(routed: DataFrame, processed: DataFrame, rejected: DataFrame | None = None) -> DataFrame:

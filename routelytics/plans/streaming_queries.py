@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sinks.commits import read_committed
 from ..sources.messages import message_columns, stream_path, table_path
 from ..sources.seed import SEED_RULES
 from ..streaming.consumers import start_urgent_consumer
@@ -32,7 +33,7 @@ def _run_router(spark: SparkSession, sf: str) -> str:
 def stream_route_counts(spark, sf) -> DataFrame:
     """ST1 / S1 / S2 / K1 / K3: the streaming router's queue table, per queue."""
     out = _run_router(spark, sf)
-    return (spark.read.parquet(f"{out}/routed").groupBy("target_queue")
+    return (read_committed(spark, out, "routed").groupBy("target_queue")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -46,7 +47,7 @@ def stream_raw_route_counts(spark, sf) -> DataFrame:
     feed.repartition(3, "key").write.parquet(src)
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(src)
     route_stream(stream, lambda: SEED_RULES, out, f"{out}/_checkpoint", raw=True, available_now=True).awaitTermination()
-    return (spark.read.parquet(f"{out}/routed").groupBy("target_queue", "matched_priority")
+    return (read_committed(spark, out, "routed").groupBy("target_queue", "matched_priority")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -56,7 +57,7 @@ def stream_history_rows(spark, sf) -> DataFrame:
     out = _run_router(spark, sf)
     from .catalog import _HIST_COLS
     # the stream's own columns are the routing time and latency; ts_ms is the message's stamp
-    return spark.read.parquet(f"{out}/history").select(*_HIST_COLS)
+    return read_committed(spark, out, "history").select(*_HIST_COLS)
 
 
 @query("stream_urgent_actions", ORACLE["urgent_actions"])

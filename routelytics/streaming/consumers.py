@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BATCH_ACTION_COST_MS, BATCH_CONSUMER, BATCH_QUEUE, URGENT_CONSUMER, URGENT_QUEUE
+from ..constants import (BATCH_ACTION_COST_MS, BATCH_CONSUMER, BATCH_QUEUE, METRICS_WINDOW_ROWS,
+                         URGENT_CONSUMER, URGENT_QUEUE)
+from ..operators.history import recent_history
 from ..operators.metrics import live_metrics
 from ..operators.processing import action_cost, batch_action, classify_urgent_action
-from ..operators.queues import reject_deltas
+from ..operators.queues import depth_from_nets, reject_deltas
 from ..operators.quality import dead_letters, parse_and_validate, split_valid
-from ..sinks.tables import append_history, write_dead_letters
+from ..sinks.commits import CommitLog
 from .collector import collect_batches
 from .router import from_variant
 
@@ -44,17 +46,17 @@ def start_urgent_consumer(routed_stream: DataFrame, out_dir: str, checkpoint: st
 def start_urgent_consumer_raw(queue_stream: DataFrame, out_dir: str, checkpoint: str,
                               available_now: bool = False):
     """ST3 on message text (``value``): every message is parsed and validated first;
-    broken ones go to ``dead_letters`` with their reason, the others to ``processed``.
-    Both belong to the micro-batch, whose replay replaces them."""
+    broken ones go to ``dead_letters`` with their reason, the others to ``processed``;
+    one commit per micro-batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        checked = parse_and_validate(batch).persist()   # one parse per message
         try:
-            good, bad = split_valid(parse_and_validate(batch))
-            write_dead_letters(dead_letters(bad, URGENT_QUEUE), f"{out_dir}/dead_letters", batch_id)
+            good, bad = split_valid(checked)
             done = process_urgent(from_variant(good).withColumn("target_queue", F.lit(URGENT_QUEUE)))
-            append_history(done, f"{out_dir}/processed", batch_id)
+            CommitLog(batch.sparkSession, out_dir).commit(
+                batch_id, {"dead_letters": dead_letters(bad, URGENT_QUEUE), "processed": done})
         finally:
-            batch.unpersist()
+            checked.unpersist()
     w = queue_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
@@ -87,31 +89,67 @@ def process_batches(collected: DataFrame, failed: Column | None = None) -> tuple
 def start_batch_consumer(queue_stream: DataFrame, out_dir: str, checkpoint: str, shards: int,
                          failed: Column | None = None, every: str = "1 second", **collector):
     """The batch consumer: collect (ST2), label and mark (``processed``), reject failed
-    batches whole (``dead_letters``).  A batch is flushed within one micro-batch, so both
-    outputs are written per micro-batch and replaced when it is replayed."""
+    batches whole (``dead_letters``).  A batch is flushed within one micro-batch, whose
+    outputs are published by one commit."""
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             done, bad = process_batches(batch, failed)
-            append_history(done, f"{out_dir}/processed", batch_id)
-            write_dead_letters(bad, f"{out_dir}/dead_letters", batch_id)
+            CommitLog(batch.sparkSession, out_dir).commit(batch_id, {"processed": done, "dead_letters": bad})
         finally:
             batch.unpersist()
     return (collect_batches(queue_stream, shards=shards, **collector).writeStream.foreachBatch(run)
             .outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
 
 
-def live_metrics_stream(history_path: str, history_stream: DataFrame, out_dir: str,
-                        checkpoint: str, every: str = "2 seconds"):
-    """ST6: every trigger, recompute the endpoint metrics over the history table
-    (top-1000 is not a streaming aggregate, so it runs inside foreachBatch)."""
-    def run(_batch: DataFrame, batch_id: int) -> None:
-        spark = _batch.sparkSession
-        h = spark.read.parquet(history_path)
-        # a replayed batch replaces its own row
-        live_metrics(h).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
-    return (history_stream.writeStream.foreachBatch(run)
-            .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
+def live_metrics_stream(history_stream: DataFrame, out_dir: str, checkpoint: str, every: str = "2 seconds",
+                        rows: int = METRICS_WINDOW_ROWS, available_now: bool = False):
+    """ST6: every trigger, the endpoint metrics (A15) over the newest ``rows`` history rows.
+
+    The newest rows are a state that every micro-batch replaces: the state before and the
+    batch's own rows (each task gives its newest) are all that a trigger reads, whatever
+    the history's length.  Metrics (table ``metrics``) and state (``newest``) are published
+    by one commit, so a replayed batch starts from the state it started from before."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        log = CommitLog(batch.sparkSession, out_dir)
+        if log.committed(batch_id):
+            return
+        state = log.last("newest", before=batch_id)
+        newest = recent_history(batch if state is None else state.unionByName(batch), rows)
+        entries = log.write(batch_id, {"newest": newest})
+        now = log.frame(entries["newest"])          # computed once
+        log.publish(batch_id, entries | log.write(batch_id, {"metrics": live_metrics(now, rows)}))
+    w = history_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)).start()
+
+
+def running_depth_stream(nets: DataFrame, out_dir: str, checkpoint: str, available_now: bool = False):
+    """ST5 (stream form): the depth of every queue at the end of every closed sampling
+    window, from the nets of ``depth_deltas_stream``.
+
+    In append mode a window's net comes once, when the watermark has passed the window, so
+    the windows of a micro-batch are all later than those before.  Each queue's depth is a
+    state that every micro-batch replaces (one row a queue); a batch's own windows are
+    summed in event-time order on top of it.  The depths (table ``depth``) and the state
+    (``last``) are published by one commit."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        log = CommitLog(batch.sparkSession, out_dir)
+        if log.committed(batch_id):
+            return
+        state = log.last("last", before=batch_id)
+        own = depth_from_nets(batch)
+        if state is not None:
+            own = own.alias("o").join(state.alias("s"), F.col("o.target_queue").eqNullSafe(F.col("s.target_queue")), "left").select(
+                "o.target_queue", "o.window_start", "o.window_end", "o.net",
+                (F.col("o.depth") + F.coalesce("s.depth", F.lit(0))).alias("depth"))
+        entries = log.write(batch_id, {"depth": own})
+        ends = log.frame(entries["depth"]).select("target_queue", "window_start", "depth")
+        if state is not None:
+            ends = ends.unionByName(state)
+        ends = ends.groupBy("target_queue").agg(F.max(F.struct("window_start", "depth")).alias("z")).select("target_queue", "z.*")
+        log.publish(batch_id, entries | log.write(batch_id, {"last": ends}))
+    w = nets.writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def depth_deltas_stream(routed_stream: DataFrame, processed_stream: DataFrame,
@@ -123,7 +161,7 @@ def depth_deltas_stream(routed_stream: DataFrame, processed_stream: DataFrame,
     letters, at its failing time.  A consumer writes a message to its processed log or
     its dead letters, so none counts down twice.  A windowed aggregate with a watermark (bounded state,
     each closed window emitted once in append mode); the running depth is the
-    ordered scan of these nets (``queues.depth_from_nets``)."""
+    ordered scan of these nets (``queues.depth_from_nets``), or ``running_depth_stream``."""
     add = routed_stream.select("target_queue", F.col("ts").cast("timestamp").alias("ets"),
                                F.lit(1).alias("delta"))
     done = processed_stream.select("target_queue", F.timestamp_millis("processed_ms").alias("ets"),

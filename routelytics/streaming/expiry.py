@@ -1,34 +1,86 @@
-"""ST4 (stream form): routed messages that are not processed within ``ttl``
-become dead letters with reason 'expired'.
+"""ST4 (stream form): routed messages that are neither processed nor rejected within
+``ttl`` of routing become dead letters with reason 'expired'.
 
-A stream-stream left outer join of routed and processed rows on the message
-key with a time bound (processed within ``ttl`` of routing).  Watermarks on
-both sides bound the join state; a routed row with no partner is emitted once
-the watermark passes its deadline, exactly once.
+One stateful operator per message (``transformWithState``): its state is when and where
+the message was routed first and when it was settled first, and an event-time timer fires
+when the watermark passes the deadline.  A missing cohort is a cohort: grouping takes
+null as a key.  Rows may come in any order within the watermark's delay; a replayed row
+finds its state, or comes after the watermark and is dropped with all late rows.  State
+goes when its timer has fired.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.queues import KEY, own_message
+
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Expiry(StatefulProcessor):
+    """One message: its first routing, its first settling, one timer."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
-KEY = ["benchmark_id", "message_id"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.message = handle.getValueState("message", "routed_ms long, queue string, settled_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        routed, queue, settled = before = self.message.get() or (None, None, None)
+        for r in rows:
+            if not r.is_routed:
+                settled = r.at_ms if settled is None else min(settled, r.at_ms)
+            elif routed is None or (r.at_ms, r.target_queue or "") < (routed, queue or ""):
+                routed, queue = r.at_ms, r.target_queue
+        if (routed, queue, settled) != tuple(before):
+            self.message.update((routed, queue, settled))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            # a message settled before its routing is seen is kept until that would be late
+            self.handle.registerTimer(settled + 1 if routed is None else routed + self.ttl_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        routed, queue, settled = self.message.get() or (None, None, None)
+        self.message.clear()
+        if routed is not None and (settled is None or settled > routed + self.ttl_ms):
+            yield Row(original_queue=queue, benchmark_id=key[0], message_id=key[1], failed_ms=routed + self.ttl_ms)
+
+    def close(self) -> None:
+        pass
 
 
 def expire_stream(routed: DataFrame, processed: DataFrame, ttl: str = "10 seconds",
-                  delay: str = "1 minute") -> DataFrame:
-    """``routed``: (benchmark_id, message_id, target_queue, ts TIMESTAMP);
-    ``processed``: (benchmark_id, message_id, processed_ms)."""
-    r = (routed.select(*KEY, "target_queue", F.col("ts").cast("timestamp").alias("r_ts"))
-         .withWatermark("r_ts", delay).alias("r"))
-    p = (processed.select(F.col("benchmark_id").alias("p_bid"), F.col("message_id").alias("p_mid"),
-                          F.timestamp_millis("processed_ms").alias("p_ts"))
-         .withWatermark("p_ts", delay).alias("p"))
-    cond = ((F.col("benchmark_id") == F.col("p_bid")) & (F.col("message_id") == F.col("p_mid"))
-            & (F.col("p_ts") >= F.col("r_ts"))
-            & (F.col("p_ts") <= F.col("r_ts") + F.expr(f"INTERVAL {ttl}")))
-    j = r.join(p, cond, "leftOuter")
-    return (j.filter(F.col("p_mid").isNull())
-             .select(F.col("target_queue").alias("original_queue"), *KEY,
-                     F.lit("message expired").alias("error"), F.lit("expired").alias("reason"),
-                     (F.col("r_ts") + F.expr(f"INTERVAL {ttl}")).alias("failed_at")))
+                  delay: str = "1 minute", rejected: DataFrame | None = None) -> DataFrame:
+    """``routed``: (benchmark_id, message_id, target_queue, ts TIMESTAMP); ``processed``:
+    (benchmark_id, message_id, processed_ms); ``rejected``: (benchmark_id, message_id,
+    failed_at).  Each stream has the watermark ``delay``; the slowest one counts.  Rows
+    without their stamp are left out, and so are settled rows without a message id; routed
+    rows without one are told apart by queue and stamp."""
+    spark = routed.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    ttl_ms = int(spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP'1970-01-01 00:00:00Z' + INTERVAL {ttl}) AS LONG)").first()[0])
+    key = [F.col(k).cast("string").alias(k) for k in KEY]
+
+    def tagged(df: DataFrame, at, is_routed: bool, queue, own) -> DataFrame:
+        rows = df.select(*key, own.alias("own"), queue.alias("target_queue"), F.lit(is_routed).alias("is_routed"), at.alias("at"))
+        return rows.filter(F.col("at").isNotNull()).withWatermark("at", delay)
+
+    none = F.lit(None).cast("string")
+    rows = tagged(routed, F.col("ts").cast("timestamp"), True, F.col("target_queue"), own_message(F.col("ts").cast("timestamp")))
+    for df, at in ((processed, F.timestamp_millis("processed_ms")), (rejected, F.col("failed_at"))):
+        if df is not None:
+            at = at if df is processed else at.cast("timestamp")
+            rows = rows.unionByName(tagged(df.filter("message_id IS NOT NULL"), at, False, none, none))
+    out = rows.withColumn("at_ms", F.unix_millis("at")).groupBy(*KEY, "own").transformWithState(
+        statefulProcessor=Expiry(ttl_ms), outputStructType="original_queue string, benchmark_id string, message_id string, failed_ms long",
+        outputMode="Append", timeMode="EventTime")
+    return out.select("original_queue", *KEY, F.lit("message expired").alias("error"), F.lit("expired").alias("reason"),
+                      F.timestamp_millis("failed_ms").alias("failed_at"))

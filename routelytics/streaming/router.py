@@ -2,10 +2,10 @@
 
 ``readStream`` -> stamp receipt -> (parse / validate when the input is raw
 text) -> route -> ``foreachBatch``: the routed queues, the dead letters and the
-history are written in the same micro-batch.  Each micro-batch writes into its
-own ``batch_id=<n>`` folder with overwrite, so a batch replayed after a failure
-replaces its own output instead of duplicating it (exactly-once with the
-checkpoint).  Rules are re-read at the start of every micro-batch, so rule
+history are written in the same micro-batch, each into its own ``batch_id=<n>``
+folder, and published by one commit, so readers (``sinks.commits.read_committed``)
+see all three or none, and a replayed batch replaces what a failed attempt left or,
+after its commit, changes nothing.  Rules are re-read at the start of every micro-batch, so rule
 changes reach the router (the intended behaviour of the cache invalidation).
 """
 
@@ -22,7 +22,7 @@ from ..operators.history import to_history
 from ..operators.quality import dead_letters, parse_and_validate, split_valid
 from ..operators.routing import delivery_priority, route, route_json
 from ..schemas import MESSAGE
-from ..sinks.tables import append_history, write_dead_letters, write_routed
+from ..sinks.commits import CommitLog
 
 
 def rules_from_table(spark, path: str) -> Callable[[], object]:
@@ -59,27 +59,35 @@ def from_variant(df: DataFrame, v: str = "v", schema=MESSAGE) -> DataFrame:
 
 def routing_batch(rules_loader: Callable[[], object], out_dir: str,
                   prepare: Callable[[DataFrame], DataFrame] | None = None,
-                  raw: bool = False) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` body: route one micro-batch and write queues, dead
-    letters and history for it (K1, K2, K3)."""
+                  raw: bool = False, step: Callable[[str], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` body: route one micro-batch and write queues, dead letters and
+    history for it (K1, K2, K3), published by one commit (``sinks.commits``).  ``step``:
+    called after every write (tests inject failures there)."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        log = CommitLog(batch.sparkSession, out_dir, step)
+        if log.committed(batch_id):                 # a replay after the commit
+            return
         received = time.time()                      # receipt of this micro-batch
         rules = rules_loader()                      # R13: fresh rules per batch
-        batch = batch.persist()
+        kept, entries = [], {}
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return kept[-1]
         try:
             if raw:
-                good, bad = split_valid(parse_and_validate(batch))
+                checked = keep(parse_and_validate(batch))   # one parse per message
+                good, bad = split_valid(checked)
                 # rejected before routing: the letter's origin is the topic, no queue
-                write_dead_letters(dead_letters(bad, TOPIC), f"{out_dir}/dead_letters", batch_id)
+                entries |= log.write(batch_id, {"dead_letters": dead_letters(bad, TOPIC)})
                 # rules see the JSON values themselves (null, types, any field), and the
                 # typed columns are taken from the routed message
                 routed = from_variant(route_json(good, rules)).drop("matched_position")
                 routed = prepare(routed) if prepare is not None else routed
             else:
-                routed = route(batch if prepare is None else prepare(batch), rules)
-            routed = routed.withColumn("delivery_priority", delivery_priority(F.col("target_queue")))
-            routed = routed.persist()
-            write_routed(routed, f"{out_dir}/routed", batch_id)
+                routed = route(keep(batch) if prepare is None else prepare(keep(batch)), rules)
+            routed = keep(routed.drop("matched_position").withColumn("delivery_priority", delivery_priority(F.col("target_queue"))))
+            entries |= log.write(batch_id, {"routed": (routed, ["target_queue"])})
             # latency = queue write done - receipt, as publish - receipt in the
             # source; every message of a micro-batch shares its batch's value
             published_ms = round((time.time() - received) * 1000.0, 3)
@@ -87,10 +95,11 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
                 routed = routed.withColumn("latency_ms", F.lit(published_ms))
             # history has the routing time, not the message's own stamp
             at = F.col("received_at") if "received_at" in routed.columns else F.current_timestamp()
-            append_history(to_history(routed.withColumn("routed_at", at)), f"{out_dir}/history", batch_id)
-            routed.unpersist()
+            entries |= log.write(batch_id, {"history": to_history(routed.withColumn("routed_at", at))})
+            log.publish(batch_id, entries)
         finally:
-            batch.unpersist()
+            for df in reversed(kept):
+                df.unpersist()
     return run
 
 

@@ -42,3 +42,37 @@ def test_expiry_stream(spark):
         [p for p in proc1 if p[2] - ms(t0) <= 10_000 + int(p[1][1:]) * 1000], P),
         now_ms=ms(t0) + 3_600_000, ttl_ms=10_000)
     assert sorted(r.message_id for r in batch.collect()) == got
+
+
+def test_expiry_with_missing_cohorts_rejects_replays_and_late_rows(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    ms = lambda s: int((at(s) - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    B = "benchmark_id string, message_id string, failed_at timestamp"
+    steps = [  # routed, processed, rejected of each micro-batch
+        ([(None, "done", "urgent.queue", at(0)), (None, "open", "urgent.queue", at(0)), ("b", "open", "batch.queue", at(1)),
+          ("b", "bad", "urgent.queue", at(1)), ("b", "late-bad", "urgent.queue", at(1)), ("b", "twice", "urgent.queue", at(5)),
+          ("b", "nostamp", "urgent.queue", None), ("b", None, "urgent.queue", at(2)), (None, "replayed", "urgent.queue", at(3))],
+         [(None, "done", ms(1)), ("b", "early", ms(2)), (None, None, ms(3))], [("b", "bad", at(4)), ("b", "late-bad", at(40))]),
+        ([("b", "twice", "batch.queue", at(2)), ("b", "early", "batch.queue", at(1)), (None, "replayed", "urgent.queue", at(3)),
+          ("t", "tick", "batch.queue", at(7200))], [(None, "replayed", ms(4)), ("t", "tick", ms(7200))], [("t", "tick", at(7200))]),
+        # after the letters: replays and rows that come too late change nothing
+        ([(None, "open", "urgent.queue", at(0)), ("b", "twice", "urgent.queue", at(5)), ("t", "tock", "batch.queue", at(14_400))],
+         [("b", "open", ms(2)), ("t", "tock", ms(14_400))], [("b", "twice", at(3)), ("t", "tock", at(14_400))])]
+    kinds = {"r": R, "p": P, "x": B}
+    where = {k: scratch_path(spark, f"t-exq-{k}") for k in kinds}
+    sink, ck = scratch_path(spark, "t-exq-out"), scratch_path(spark, "t-exq-ck")
+    all_ = {k: [] for k in kinds}
+    for i, step in enumerate(steps):
+        for k, data in zip(kinds, step):
+            spark.createDataFrame(data, kinds[k]).coalesce(1).write.parquet(f"{where[k]}/{i}")
+            all_[k] += data if i < 2 else []
+        streams = {k: spark.readStream.schema(s).option("recursiveFileLookup", "true").parquet(where[k]) for k, s in kinds.items()}
+        expire_stream(streams["r"], streams["p"], rejected=streams["x"]).writeStream.format("parquet").option("path", sink) \
+            .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted(((r.benchmark_id, r.message_id, r.original_queue, r.failed_at) for r in df.collect()), key=repr)
+    got = key(spark.read.parquet(sink))
+    assert got == sorted([(None, "open", "urgent.queue", at(10)), ("b", "open", "batch.queue", at(11)), ("b", "late-bad", "urgent.queue", at(11)),
+                          ("b", "twice", "batch.queue", at(12)), ("b", None, "urgent.queue", at(12))], key=repr)
+    r, p, x = (spark.createDataFrame(all_[k], s) for k, s in kinds.items())
+    assert key(expire_to_dead_letter(r, p, ms(7000), 10_000, rejected=x)) == got
