@@ -180,3 +180,10 @@ def priority_drain(routed: DataFrame) -> DataFrame:
     partitioned), no single-task window."""
     return (routed.withColumn("delivery_priority", delivery_priority(F.col("target_queue")))
             .orderBy(F.col("delivery_priority").desc(), F.col("ts"), F.col("message_id")))
+
+
+def drain_positions(routed: DataFrame) -> DataFrame:
+    """T7 with ``position``: each message's place (from 1) in the order of
+    ``priority_drain``, by a distributed ordered scan (ties by cohort, missing ones first)."""
+    rows = routed.withColumn("_rank", -delivery_priority(F.col("target_queue"))).withColumn("_all", F.lit(0))
+    return ordered_scan(rows, ["_all"], ["_rank", "ts", "message_id", "benchmark_id"], pos_col="position").drop("_rank", "_all")

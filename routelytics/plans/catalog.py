@@ -8,6 +8,7 @@ where the limit is the feature (newest-N history, newest depth samples).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -549,10 +550,10 @@ FROM marked""")
 def valid_history_counts(spark, sf):
     """Rows kept by the latency, time-stamp and processed filters."""
     m = H.mark_processed_many(FX.history(spark, sf), FX.processed(spark, sf))
-    ok_lat = M._lat_ok()
-    return m.agg(F.count_if(ok_lat).alias("clean_latency"),
-                 F.count_if(F.col("ts").isNotNull()).alias("valid_ts"),
-                 F.count_if(F.col("processed_ms").isNotNull() & F.col("ts").isNotNull()).alias("processed_rows"))
+    kept = [f(m).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k)) for k, f in (
+        ("clean_latency", H.clean_latency), ("valid_ts", H.valid_timestamps), ("processed_rows", H.processed_only))]
+    return reduce(DataFrame.unionByName, kept).agg(*[
+        F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ("clean_latency", "valid_ts", "processed_rows")])
 
 
 # ============================================================ metrics
@@ -897,12 +898,12 @@ def priority_drain(spark, sf):
 
 
 def all_queries() -> dict:
-    from . import streaming_queries  # noqa: F401  (registers the streaming ones)
+    from . import dirty, streaming_queries  # noqa: F401  (register theirs)
     return dict(QUERIES)
 
 
 def all_oracles() -> dict:
-    from . import streaming_queries  # noqa: F401
+    from . import dirty, streaming_queries  # noqa: F401
     return dict(ORACLE)
 
 

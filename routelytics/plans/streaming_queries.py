@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sinks.commits import read_committed
+from ..sinks.commits import CommitLog, read_committed
 from ..sources.messages import message_columns, stream_path, table_path
 from ..sources.seed import SEED_RULES
-from ..streaming.consumers import start_urgent_consumer
+from ..streaming.consumers import depth_deltas_stream, live_metrics_stream, running_depth_stream, start_urgent_consumer
+from ..streaming.expiry import expire_stream
 from ..streaming.router import route_stream
-from .catalog import ORACLE, query
+from . import dirty
+from . import fixture as FX
+from .catalog import EXPIRY_NOW_MS, EXPIRY_TTL_MS, ORACLE, query
 
 
 def _run_router(spark: SparkSession, sf: str) -> str:
@@ -41,7 +44,6 @@ def stream_route_counts(spark, sf) -> DataFrame:
 def stream_raw_route_counts(spark, sf) -> DataFrame:
     """ST1 on raw text, over several micro-batches: rules see the JSON values, as in the
     batch form."""
-    from . import fixture as FX
     src, out = scratch_path(spark, "raw-topic"), scratch_path(spark, "stream-raw")
     feed = FX.raw_feed(spark, sf).select("key", "value")
     feed.repartition(3, "key").write.parquet(src)
@@ -73,3 +75,69 @@ def stream_urgent_actions(spark, sf) -> DataFrame:
     p = spark.read.parquet(f"{proc}/processed")
     return p.groupBy("action").agg(F.count(F.lit(1)).alias("n"),
                                    F.sum("processing_time").cast("long").alias("cost_ms"))
+
+
+#: A watermark delay longer than the log, so that its files may come in any order, and the
+#: stamp of the rows that end each stream: the watermark then stands at the report's "now".
+DELAY_MS = 40 * 86_400_000
+
+
+def _ended(spark: SparkSession, df: DataFrame, name: str, end: dict) -> DataFrame:
+    """A stream of ``df`` in three files and one last file with a row that ends it."""
+    path = scratch_path(spark, name)
+    df.repartition(3).write.parquet(f"{path}/rows")
+    last = spark.range(1).select(*[F.lit(end.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    last.write.parquet(f"{path}/zz-end")
+    return (spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(path))
+
+
+def _end_rows() -> dict:
+    from datetime import datetime, timezone
+    at = EXPIRY_NOW_MS + DELAY_MS
+    stamp = datetime.fromtimestamp(at / 1000, timezone.utc)
+    return {"benchmark_id": "end", "message_id": "end", "target_queue": "end", "original_queue": "end",
+            "ts": stamp, "failed_at": stamp, "processed_ms": at}
+
+
+@query("stream_expired", ORACLE["expired_messages_dirty"])
+def stream_expired(spark, sf) -> DataFrame:
+    """ST4: expiry by event-time timers over the dirty log's three streams, as of the
+    report's "now": equals the batch form."""
+    end, key = _end_rows(), ["benchmark_id", "message_id"]
+    routed = _ended(spark, dirty.history(spark, sf).select(*key, "target_queue", "ts"), "exp-routed", end)
+    done = _ended(spark, dirty.processed(spark, sf).select(*key, "processed_ms"), "exp-processed", end)
+    bad = _ended(spark, dirty.rejected(spark, sf).select(*key, "failed_at"), "exp-rejected", end)
+    out = scratch_path(spark, "stream-expired")
+    letters = expire_stream(routed, done, f"{EXPIRY_TTL_MS // 1000} seconds", f"{DELAY_MS // 1000} seconds", rejected=bad)
+    (letters.writeStream.format("parquet").option("path", f"{out}/letters").option("checkpointLocation", f"{out}/_checkpoint")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(letters.schema).parquet(f"{out}/letters").filter(F.col("message_id") != "end").select(
+        "original_queue", "benchmark_id", "message_id", "reason", F.unix_millis("failed_at").alias("failed_ms"))
+
+
+@query("stream_live_metrics", ORACLE["live_metrics"])
+def stream_live_metrics(spark, sf) -> DataFrame:
+    """ST6: the metrics after the last micro-batch equal the endpoint's over the whole history."""
+    path, out = scratch_path(spark, "live-history"), scratch_path(spark, "stream-live")
+    h = FX.history(spark, sf)
+    h.repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    live_metrics_stream(stream, out, f"{out}/_checkpoint", available_now=True).awaitTermination()
+    return CommitLog(spark, out).last("metrics")
+
+
+@query("stream_queue_depth", ORACLE["queue_depth_series"])
+def stream_queue_depth(spark, sf) -> DataFrame:
+    """ST5: the running depth that the stream emits, rejects included, equals the batch series."""
+    end, key = _end_rows(), ["benchmark_id", "message_id"]
+    h, bad = FX.history(spark, sf), FX.rejected_letters(spark, sf).select(*key, "failed_at")
+    # the consumers' logs: a message is processed or rejected, by the consumer of its queue
+    done = FX.processed(spark, sf).join(bad.select(*key), key, "left_anti").select(*key, "target_queue", "processed_ms")
+    bad = bad.join(h.select(*key, F.col("target_queue").alias("original_queue")), key)
+    streams = [_ended(spark, df, f"depth-{i}", end) for i, df in enumerate((h.select(*key, "target_queue", "ts"), done, bad))]
+    out = scratch_path(spark, "stream-depth")
+    nets = depth_deltas_stream(*streams[:2], delay=f"{DELAY_MS // 1000} seconds", rejected_stream=streams[2])
+    running_depth_stream(nets, out, f"{out}/_checkpoint", available_now=True).awaitTermination()
+    return read_committed(spark, out, "depth").filter(F.col("target_queue") != "end").select(
+        "target_queue", F.unix_millis("window_start").alias("window_start_ms"),
+        F.col("net").cast("long").alias("net"), F.col("depth").cast("long").alias("depth"))
