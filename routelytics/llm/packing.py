@@ -33,7 +33,7 @@ from .quality_mil import _stretches
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers (about 150 bytes each), and bytes of text handled at a time.
-CACHE_WORDS, SEGMENT = 600_000, 1 << 20
+CACHE_WORDS, SEGMENT = 400_000, 1 << 20
 
 
 #: Lower-case Latin letters: one code point each in every normal form.
