@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import (BATCH_CONSUMER, HISTORY_DEFAULT_LIMIT,
                          RISK_FLAG_THRESHOLD, URGENT_CONSUMER, URGENT_QUEUE)
 from ..functions.coercion import falsy_to_null
-from ..functions.display import clock_time
+from ..functions.display import clock_time, money, to_fixed
 from ..functions.timefmt import parse_ts
 from pyspark.sql.types import DoubleType, StringType
 
@@ -155,7 +155,8 @@ def processed_only(history: DataFrame) -> DataFrame:
 
 def present_history(history: DataFrame) -> DataFrame:
     """The view's derived columns: status (default 'routed'), queue short
-    name (everything not urgent shows 'batch'), amount/risk shown or '—',
+    name (everything not urgent shows 'batch'), amount as grouped text in dollars and
+    risk with two digits, or '—',
     risk flag above 0.8, critical 'YES' / '—'."""
     dash = F.lit("—")
     amount_ok = F.col("amount").isNotNull() & (F.col("amount") != 0)
@@ -165,9 +166,8 @@ def present_history(history: DataFrame) -> DataFrame:
         F.coalesce(F.col("status"), F.lit("routed")).alias("status_label"),
         F.when(F.col("target_queue") == URGENT_QUEUE, F.lit("urgent"))
          .otherwise(F.lit("batch")).alias("queue_label"),
-        F.when(amount_ok, F.col("amount")).alias("amount_shown"),
-        F.when(risk_ok, F.format_string("%.2f", F.col("risk_score")))
-         .otherwise(dash).alias("risk_text"),
+        F.when(amount_ok, money(F.col("amount"))).otherwise(dash).alias("amount_shown"),
+        F.when(risk_ok, to_fixed(F.col("risk_score"), 2)).otherwise(dash).alias("risk_text"),
         F.coalesce(F.col("risk_score") > RISK_FLAG_THRESHOLD, F.lit(False)).alias("risk_flag"),
         F.when(F.col("is_critical"), F.lit("YES")).otherwise(dash).alias("critical_label"),
         clock_time(F.col("ts")).alias("time_label"),

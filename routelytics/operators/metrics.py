@@ -2,13 +2,13 @@
 
 Every metric is a declarative aggregation: partial aggregates per task, one small
 final merge, only the result rows reach the driver.  Exact percentiles (nearest rank)
-are found over a value histogram by distributed running counts, so no buffer grows
-with the number of distinct values.
+are found by distributed selection, so no buffer grows with the number of distinct
+values and nothing is sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (ACCURACY_VIEW_THRESHOLD, BATCH_P95_TARGET_MS, BATCH_QUEUE,
@@ -18,25 +18,41 @@ from .history import clean_latency, recent_history
 from .scan import ordered_scan
 
 
+#: Buckets per unit of the logarithm of 1 + value: a bucket is about 0.006 % of its values wide.
+BUCKETS = 16_384
+
+
 def exact_percentiles(df: DataFrame, col: str, ps=(0.95, 0.99), by=()) -> DataFrame:
-    """Nearest-rank percentiles (``sorted[ceil(p*n)-1]``, A3) with no buffer that
-    grows with the number of distinct values: a value histogram (partial
-    aggregation), a distributed running count over the values of each group
-    (``ordered_scan``), then per group the first value whose running count
-    reaches the rank.  A group without values has no row."""
+    """Nearest-rank percentiles (``sorted[ceil(p*n)-1]``, A3) by distributed selection: no
+    sort of the values and no buffer that grows with them.
+
+    The values are counted by group and value (partial aggregation; one exchange that both
+    steps below reuse) and these counts by bucket.  A running count over a group's buckets
+    (some 100,000 at most for values up to a thousand, whatever the number of rows) finds
+    the bucket that holds each rank; only its values are then ranked.  A bucket's number
+    never falls as values rise, so the result is exact for any values.  A group without
+    values has no row."""
     G = list(by) or ["_g"]
     v = F.col(col).cast("double")
     clean = df.filter(v.isNotNull() & ~F.isnan(v))
     if not by:
         clean = clean.withColumn("_g", F.lit(0))
     hist = clean.groupBy(*G, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cum = ordered_scan(hist, G, ["_v", *G], sums=["_c"], pos_col="_p")
-    tot = cum.groupBy(*G).agg(F.max("cum__c").alias("_n"))   # one row per group
-    aggs = []
-    for p in ps:
-        rank = F.greatest(F.lit(1.0), F.ceil(F.lit(float(p)) * F.col("_n")))
-        aggs.append(F.min(F.when(F.col("cum__c") >= rank, F.col("_v"))).alias(_pct_name(p)))
-    out = _join_null_safe(cum, tot, G, "inner").groupBy(*G).agg(*aggs)
+    # infinities are values; they lie beyond all others' buckets
+    scaled = F.floor(F.signum("_v") * F.least(F.log1p(F.abs("_v")), F.lit(800.0)) * BUCKETS)
+    hist = hist.withColumn("_b", scaled)
+    upto = Window.partitionBy(*G).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_n"))).cast("long")
+    wanted = (hist.groupBy(*G, "_b").agg(F.sum("_c").alias("_c"))
+              .withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*G)))
+              .select(*G, "_b", "_c", "_upto", F.posexplode(F.array(*[rank(p) for p in ps])).alias("_p", "_rank"))
+              .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank")))
+              .select(*G, "_b", "_p", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank")))
+    w = Window.partitionBy(*G, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (_join_null_safe(hist, wanted, [*G, "_b"], "inner").withColumn("_upto", F.sum("_c").over(w))
+             .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank"))))
+    out = found.groupBy(*G).agg(*[
+        F.max(F.when(F.col("_p") == i, F.col("_v"))).alias(_pct_name(p)) for i, p in enumerate(ps)])
     return out if by else out.drop("_g")
 
 

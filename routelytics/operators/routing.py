@@ -33,7 +33,7 @@ from ..constants import (BATCH_QUEUE, DEFAULT_LABEL, NAIVE_QUEUE,
                          URGENT_DELIVERY_PRIORITY, URGENT_QUEUE)
 from ..functions.coercion import js_number, q_ident, q_str, to_number_sql
 from ..functions.fields import resolve_field
-from .rules import Rule, collect_rules, predicate_sql
+from .rules import Rule, RuleVersions, collect_rules, predicate_sql
 
 CHAIN_MAX_RULES = 500
 CHAIN_MAX_SQL = 25_000
@@ -191,6 +191,23 @@ def route(df: DataFrame, rules, method: str = "auto") -> DataFrame:
     return _decorate(df, rs)
 
 
+def route_as_of(df: DataFrame, versions: RuleVersions, at: str | Column = "ts") -> DataFrame:
+    """R13 as of a time: every row is routed by the rules that were valid at its stamp
+    ``at`` (a row without one by the first version).  One pass: the as-of join of rows to
+    versions is a choice between one compiled chain per version, and a rule's position
+    counts through all versions."""
+    stamp = F.unix_millis((F.col(at) if isinstance(at, str) else at).cast("timestamp"))
+    df = df.drop(_POS).withColumn("_at_ms", stamp)
+    rules, whens = [], []
+    for i, (_, rs) in enumerate(versions):
+        chain = _chain_sql(df.schema, list(enumerate(rs, len(rules)))) if rs else "CAST(NULL AS INT)"
+        rules += rs
+        until = versions[i + 1][0] if i + 1 < len(versions) else None
+        whens.append(f"WHEN coalesce(_at_ms < {until}L, true) THEN {chain}" if until is not None else f"ELSE {chain}")
+    pos = F.expr(f"CASE {' '.join(whens)} END") if len(versions) > 1 else first_match_chain(df, rules)
+    return _decorate(with_decision(df, pos).drop("_at_ms"), rules)
+
+
 def with_decision(df: DataFrame, pos: Column) -> DataFrame:
     """Attach the first-match position through a one-row generator.  A filter
     on the decision (one queue, one rule) then stays above the rule chain

@@ -231,3 +231,24 @@ def rules_by_category(rules: DataFrame) -> DataFrame:
                  F.count("*").alias("rules"),
                  F.count_if(F.col("target_queue") == "urgent").alias("urgent_rules"),
                  F.count_if(F.col("target_queue") == "batch").alias("batch_rules")))
+
+
+class RuleVersions(list):
+    """R13 as of a time: ``(valid from, rules)`` in time order, milliseconds; the first is
+    valid from ever.  A version is valid until the next one."""
+
+
+def rule_versions(rules: DataFrame, changes: DataFrame, at: str = "at_ms", max_versions: int = 200) -> RuleVersions:
+    """The versions of a rule table under a change log whose rows carry their time ``at``
+    (the changes of one time make one version, in the order of ``seq``).  Changes that are
+    refused change nothing.  The log may be long; more than ``max_versions`` times are
+    refused, since every version becomes a compiled chain."""
+    times = [r[0] for r in changes.filter(F.col(at).isNotNull()).select(at).distinct().orderBy(at).limit(max_versions + 1).collect()]
+    if len(times) > max_versions:
+        raise ValueError(f"the change log has more than {max_versions} times")
+    out = RuleVersions([(None, collect_rules(rules))])
+    for t in times:
+        now = collect_rules(changed_rules(rules, changes.filter(F.col(at) <= F.lit(t)).drop(at)))
+        if now != out[-1][1]:
+            out.append((int(t), now))
+    return out

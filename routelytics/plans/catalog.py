@@ -513,7 +513,8 @@ def status_count(spark, sf):
 SELECT message_id, benchmark_id, message_type, latency_ms,
        COALESCE(status, 'routed') AS status_label,
        CASE WHEN target_queue = 'urgent.queue' THEN 'urgent' ELSE 'batch' END AS queue_label,
-       CASE WHEN amount IS NOT NULL AND amount <> 0 THEN amount END AS amount_shown,
+       CASE WHEN amount IS NOT NULL AND amount <> 0
+            THEN '$' || regexp_replace(format('{:,.3f}', amount), '[.]?0*$', '') ELSE '—' END AS amount_shown,
        CASE WHEN risk_score IS NOT NULL AND risk_score <> 0 THEN printf('%.2f', risk_score) ELSE '—' END AS risk_text,
        COALESCE(risk_score > 0.8, false) AS risk_flag,
        CASE WHEN is_critical THEN 'YES' ELSE '—' END AS critical_label,
@@ -556,6 +557,53 @@ def valid_history_counts(spark, sf):
         F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ("clean_latency", "valid_ts", "processed_rows")])
 
 
+#: A log of rule changes with their times: (seq, op, rule_id, field, operator, value_str,
+#: value_num, target_queue, priority, category, at_ms).
+RULE_LOG = [
+    (1, "delete", "r0009", None, None, None, None, None, None, None, 1_704_672_000_000),
+    (2, "update", "r0013", None, None, None, 2000.0, None, None, None, 1_704_672_000_000),
+    (3, "create", "r0051", "type", "equals", "unknown", None, "urgent", 51, "eventType", 1_705_363_200_000),
+    (4, "update", "r0049", None, None, None, None, "urgent", None, None, 1_705_363_200_000),
+    (5, "update", "r9999", None, None, None, None, "urgent", None, None, 1_705_500_000_000),  # refused: no such rule
+    (6, "delete", "r0001", None, None, None, None, None, None, None, 1_706_054_400_000)]
+_LOG_SCHEMA = ("seq long, op string, rule_id string, field string, operator string, value_str string, value_num double, "
+               "target_queue string, priority int, category string, at_ms long")
+
+
+def _as_of_sql() -> str:
+    v1 = [(p, f, o, 2000 if p == 13 else v, t, c) for p, f, o, v, t, c in SEED_RULES if p != 9]
+    v2 = [(p, f, o, v, "urgent" if p == 49 else t, c) for p, f, o, v, t, c in v1] + [(51, "type", "equals", "unknown", "urgent", "eventType")]
+    cuts = [0, *sorted({r[-1] for r in RULE_LOG if r[0] != 5}), 1 << 62]
+    ctes = [O.msgs_cte()]
+    for i, rules in enumerate((SEED_RULES, v1, v2, [r for r in v2 if r[0] != 1])):
+        ctes.append(f"m{i} AS (SELECT * FROM msgs WHERE ts_ms >= {cuts[i]} AND ts_ms < {cuts[i + 1]})")
+        own = O.routed_cte(f"m{i}", rules, name=f"routed{i}")
+        ctes.append(own.replace("rules AS (", f"rules{i} AS (").replace("JOIN rules r", f"JOIN rules{i} r").replace("first_match", f"first_match{i}"))
+    cols = "id AS message_id, matched_priority, matched_rule_id, matched_rule, target_queue"
+    return O.with_(*ctes) + " UNION ALL ".join(f"SELECT {cols} FROM routed{i}" for i in range(4))
+
+
+@query("route_as_of", _as_of_sql())
+def route_as_of_q(spark, sf):
+    """Every message routed by the rules that were valid at its time."""
+    from ..operators.routing import route_as_of
+    from ..operators.rules import rule_versions
+    versions = rule_versions(seed_rules(spark).drop("description"), spark.createDataFrame(RULE_LOG, _LOG_SCHEMA))
+    return route_as_of(FX.messages(spark, sf), versions).select(
+        F.col("id").alias("message_id"), "matched_priority", "matched_rule_id", "matched_rule", "target_queue")
+
+
+@query("amount_texts", O.base() + """
+SELECT message_id, benchmark_id, printf('%.2f', amount) AS fixed, '$' || regexp_replace(format('{:,.3f}', amount), '[.]?0*$', '') AS shown
+FROM hist WHERE amount IS NOT NULL AND amount * 64 <> floor(amount * 64)""")
+def amount_texts(spark, sf):
+    """Amounts as ``toFixed(2)`` and as the view shows them (exact ties, which
+    C rounds to even, are left to the tests)."""
+    from ..functions.display import money, to_fixed
+    h = FX.history(spark, sf).filter("amount IS NOT NULL AND amount * 64 <> floor(amount * 64)")
+    return h.select("message_id", "benchmark_id", to_fixed(F.col("amount")).alias("fixed"), money(F.col("amount")).alias("shown"))
+
+
 # ============================================================ metrics
 @query("latency_summary", O.base() + f"""
 SELECT count(*) AS n, avg(latency_ms) AS avg_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms,

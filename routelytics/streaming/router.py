@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..constants import TOPIC
 from ..operators.history import to_history
 from ..operators.quality import dead_letters, parse_and_validate, split_valid
-from ..operators.routing import delivery_priority, route, route_json
+from ..operators.routing import delivery_priority, route, route_as_of, route_json
+from ..operators.rules import RuleVersions
 from ..schemas import MESSAGE
 from ..sinks.commits import CommitLog
 
@@ -62,7 +63,9 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
                   raw: bool = False, step: Callable[[str], None] | None = None) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` body: route one micro-batch and write queues, dead letters and
     history for it (K1, K2, K3), published by one commit (``sinks.commits``).  ``step``:
-    called after every write (tests inject failures there)."""
+    called after every write (tests inject failures there).  A loader that gives
+    ``RuleVersions`` has typed messages routed as of their stamps, so a replayed log
+    routes as it did then."""
     def run(batch: DataFrame, batch_id: int) -> None:
         log = CommitLog(batch.sparkSession, out_dir, step)
         if log.committed(batch_id):                 # a replay after the commit
@@ -85,7 +88,8 @@ def routing_batch(rules_loader: Callable[[], object], out_dir: str,
                 routed = from_variant(route_json(good, rules)).drop("matched_position")
                 routed = prepare(routed) if prepare is not None else routed
             else:
-                routed = route(keep(batch) if prepare is None else prepare(keep(batch)), rules)
+                rows = keep(batch) if prepare is None else prepare(keep(batch))
+                routed = route_as_of(rows, rules) if isinstance(rules, RuleVersions) else route(rows, rules)
             routed = keep(routed.drop("matched_position").withColumn("delivery_priority", delivery_priority(F.col("target_queue"))))
             entries |= log.write(batch_id, {"routed": (routed, ["target_queue"])})
             # latency = queue write done - receipt, as publish - receipt in the
