@@ -59,15 +59,18 @@ def queue_stats(routed: DataFrame, processed: DataFrame, dead_letters: DataFrame
         F.count_if(k == "done").alias("total_processed"))
 
 
+def consumer_of_letter(queue: str = "original_queue") -> Column:
+    """The consumer that rejected a letter of a queue (the queue itself, if it is neither's)."""
+    q = F.col(queue)
+    return (F.when(q == URGENT_QUEUE, F.lit("urgent-consumer"))
+            .when(q == BATCH_QUEUE, F.lit("batch-consumer")).otherwise(q))
+
+
 def processed_counters(processed: DataFrame, dead_letters: DataFrame) -> DataFrame:
     """Per consumer, messages processed and rejects sent to dead letters."""
     p = once(processed).groupBy(F.col("processed_by").alias("consumer")).agg(
         F.count(F.lit(1)).alias("processed"))
-    r = dead_letters.groupBy(F.col("original_queue").alias("queue")).agg(
-        F.count(F.lit(1)).alias("rejected"))
-    consumer = F.when(F.col("queue") == URGENT_QUEUE, F.lit("urgent-consumer")) \
-        .when(F.col("queue") == BATCH_QUEUE, F.lit("batch-consumer")).otherwise(F.col("queue"))
-    r = r.select(consumer.alias("consumer"), "rejected")
+    r = dead_letters.groupBy(consumer_of_letter().alias("consumer")).agg(F.count(F.lit(1)).alias("rejected"))
     return (p.join(r, "consumer", "full")
              .select("consumer", F.coalesce("processed", F.lit(0)).alias("processed"),
                      F.coalesce("rejected", F.lit(0)).alias("rejected")))

@@ -13,6 +13,7 @@ from ..sinks.commits import CommitLog, read_committed
 from ..sources.messages import message_columns, stream_path, table_path
 from ..sources.seed import SEED_RULES
 from ..streaming.consumers import depth_deltas_stream, live_metrics_stream, running_depth_stream, start_urgent_consumer
+from ..streaming.counters import running_counters
 from ..streaming.expiry import expire_stream
 from ..streaming.router import route_stream
 from . import dirty
@@ -141,3 +142,17 @@ def stream_queue_depth(spark, sf) -> DataFrame:
     return read_committed(spark, out, "depth").filter(F.col("target_queue") != "end").select(
         "target_queue", F.unix_millis("window_start").alias("window_start_ms"),
         F.col("net").cast("long").alias("net"), F.col("depth").cast("long").alias("depth"))
+
+
+@query("stream_counters", ORACLE["processed_counters_dirty"])
+def stream_counters(spark, sf) -> DataFrame:
+    """The running counters after the last micro-batch of the dirty logs."""
+    tables = {"processed": dirty.processed(spark, sf), "letters": dirty.rejected(spark, sf)}
+    streams = []
+    for name, df in tables.items():
+        path = scratch_path(spark, f"counters-{name}")
+        df.repartition(3).write.parquet(path)
+        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    out = scratch_path(spark, "stream-counters")
+    running_counters(*streams, out, f"{out}/_checkpoint", available_now=True).awaitTermination()
+    return CommitLog(spark, out).last("counters")
