@@ -180,28 +180,31 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         import gc
 
         import tokenizers  # noqa: F401
-        gc.disable()  # millions of short-lived byte strings and no cycles
         encode = _worker_ids(model.value)
-        for b in batches:
-            at, piece, start, length, crc, kept = [], [], [], [], [], []
-            for first, texts in _stretches(b.column("text")):
-                for i, ids in enumerate(encode(texts), first):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), size)):
-                        x = ids[a:a + size]
-                        at.append(i)
-                        piece.append(k)
-                        start.append(a // 4)
-                        length.append(len(x) // 4)
-                        crc.append(zlib.crc32(x))
-                        if keep_ids:
-                            kept.append(x)
-            cols = [b.column("id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()),
-                    *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            names = [id_col, "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+        gc.disable()  # millions of short-lived byte strings and no cycles
+        try:
+            for b in batches:
+                at, piece, start, length, crc, kept = [], [], [], [], [], []
+                for first, texts in _stretches(b.column("text")):
+                    for i, ids in enumerate(encode(texts), first):
+                        ids += end
+                        for k, a in enumerate(range(0, len(ids), size)):
+                            x = ids[a:a + size]
+                            at.append(i)
+                            piece.append(k)
+                            start.append(a // 4)
+                            length.append(len(x) // 4)
+                            crc.append(zlib.crc32(x))
+                            if keep_ids:
+                                kept.append(x)
+                cols = [b.column("id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()),
+                        *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                names = [id_col, "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
