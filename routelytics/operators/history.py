@@ -78,11 +78,11 @@ def processed_log(history: DataFrame, cost_col: str | None = None) -> DataFrame:
 
 
 def _latest_per_key(processed: DataFrame, key) -> DataFrame:
-    # several processed rows for one key (replays): the latest wins
+    # several processed rows for one key (replays): the latest wins, of equal ones the
+    # greatest by the other fields
     return (processed.groupBy(*key)
-            .agg(F.max_by(F.struct("processed_ms", "processed_by", "processing_time", "status"),
-                          F.col("processed_ms")).alias("_p"))
-            .select(*key, "_p.*"))
+            .agg(F.max(F.struct("processed_ms", "processed_by", "processing_time", "status")).alias("_p"))
+            .filter("_p.processed_ms IS NOT NULL").select(*key, "_p.*"))
 
 
 def mark_processed_many(history: DataFrame, processed: DataFrame, key=KEY) -> DataFrame:

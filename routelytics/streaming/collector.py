@@ -130,7 +130,7 @@ def collect_batches(stream: DataFrame, shard: str | None = None, size: int = BAT
     if shard is None:
         if not shards:
             raise ValueError("name a shard column or the number of collectors")
-        own = (F.abs(F.xxhash64("message_id")) % shards).cast("string")
+        own = F.pmod(F.xxhash64("message_id"), F.lit(shards)).cast("string")
         # stop markers carry their collector
         stream = stream.withColumn("_shard", F.coalesce(F.col("shard"), own) if "shard" in stream.columns else own)
         shard = "_shard"
