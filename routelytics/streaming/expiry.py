@@ -1,12 +1,14 @@
 """ST4 (stream form): routed messages that are neither processed nor rejected within
 ``ttl`` of routing become dead letters with reason 'expired'.
 
-One stateful operator per message (``transformWithState``): its state is when and where
-the message was routed first and when it was settled first, and an event-time timer fires
-when the watermark passes the deadline.  A missing cohort is a cohort: grouping takes
-null as a key.  Rows may come in any order within the watermark's delay; a replayed row
-finds its state, or comes after the watermark and is dropped with all late rows.  State
-goes when its timer has fired.
+One stateful operator (``transformWithState``) over buckets of messages: a bucket's state
+holds, for each of its open messages, when and where it was routed first and when it was
+settled first; one event-time timer fires when the watermark passes the bucket's earliest
+deadline.  A state call costs a round trip to the JVM, so a micro-batch makes a few for
+each bucket it meets, not for each message, and reads and writes the bucket's open
+messages.  A missing cohort is a cohort.  Rows may come in any order within the
+watermark's delay; a replayed row finds its message, or comes after the watermark and is
+dropped with all late rows.  A message leaves the state when its deadline has passed.
 """
 
 from __future__ import annotations
@@ -22,48 +24,79 @@ from ..operators.queues import KEY, own_message
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Buckets that the messages are dealt over, by hash of their key.
+BUCKETS = 4096
+
+
 class Expiry(StatefulProcessor):
-    """One message: its first routing, its first settling, one timer."""
+    """One bucket: its open messages by key, each with first routing, queue and first
+    settling; one timer."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.message = handle.getValueState("message", "routed_ms long, queue string, settled_ms long")
+        self.bucket = handle.getValueState("bucket", ", ".join(
+            f"{c} array<{t}>" for c, t in (("benchmark_id", "string"), ("message_id", "string"), ("own", "string"),
+                                           ("routed_ms", "long"), ("queue", "string"), ("settled_ms", "long"))) + ", timer long")
+
+    def _deadline(self, routed: int | None, settled: int | None) -> int:
+        # a message settled before its routing is seen is kept until that would be late
+        return settled + 1 if routed is None else routed + self.ttl_ms
+
+    def _load(self) -> tuple[dict, int | None]:
+        cohorts, ids, own, routed, queue, settled, timer = self.bucket.get() or ([], [], [], [], [], [], None)
+        return dict(zip(zip(cohorts, ids, own), zip(routed, queue, settled))), timer
+
+    def _store(self, messages: dict, timer: int | None) -> None:
+        """Keep the messages; the timer stands at their earliest deadline."""
+        first = min((self._deadline(routed, settled) for routed, _, settled in messages.values()), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.bucket.clear()
+            return
+        self.bucket.update((*map(list, zip(*messages)), *map(list, zip(*messages.values())), first))
+        if first != timer:
+            self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        routed, queue, settled = before = self.message.get() or (None, None, None)
-        for r in rows:
-            if not r.is_routed:
-                settled = r.at_ms if settled is None else min(settled, r.at_ms)
-            elif routed is None or (r.at_ms, r.target_queue or "") < (routed, queue or ""):
-                routed, queue = r.at_ms, r.target_queue
-        if (routed, queue, settled) != tuple(before):
-            self.message.update((routed, queue, settled))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            # a message settled before its routing is seen is kept until that would be late
-            self.handle.registerTimer(settled + 1 if routed is None else routed + self.ttl_ms)
+        messages, timer = self._load()
+        none = (None, None, None)
+        for _, cohort, message, own, target_queue, is_routed, _, at_ms in rows:
+            routed, queue, settled = messages.get((cohort, message, own), none)
+            if not is_routed:
+                settled = at_ms if settled is None else min(settled, at_ms)
+            elif routed is None or (at_ms, target_queue or "") < (routed, queue or ""):
+                routed, queue = at_ms, target_queue
+            messages[cohort, message, own] = routed, queue, settled
+        self._store(messages, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        routed, queue, settled = self.message.get() or (None, None, None)
-        self.message.clear()
-        if routed is not None and (settled is None or settled > routed + self.ttl_ms):
-            yield Row(original_queue=queue, benchmark_id=key[0], message_id=key[1], failed_ms=routed + self.ttl_ms)
+        messages, _ = self._load()
+        now, kept, letters = timerValues.getCurrentWatermarkInMs(), {}, []
+        for (cohort, message, own), (routed, queue, settled) in messages.items():
+            if self._deadline(routed, settled) > now:
+                kept[cohort, message, own] = routed, queue, settled
+            elif routed is not None and (settled is None or settled > routed + self.ttl_ms):
+                letters.append(Row(original_queue=queue, benchmark_id=cohort, message_id=message, failed_ms=routed + self.ttl_ms))
+        self._store(kept, None)  # the timer that fired goes by itself
+        return iter(letters)
 
     def close(self) -> None:
         pass
 
 
 def expire_stream(routed: DataFrame, processed: DataFrame, ttl: str = "10 seconds",
-                  delay: str = "1 minute", rejected: DataFrame | None = None) -> DataFrame:
+                  delay: str = "1 minute", rejected: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``routed``: (benchmark_id, message_id, target_queue, ts TIMESTAMP); ``processed``:
     (benchmark_id, message_id, processed_ms); ``rejected``: (benchmark_id, message_id,
     failed_at).  Each stream has the watermark ``delay``; the slowest one counts.  Rows
     without their stamp are left out, and so are settled rows without a message id; routed
-    rows without one are told apart by queue and stamp."""
+    rows without one are told apart by queue and stamp.  ``buckets`` is fixed for the life
+    of a checkpoint; a task holds the open messages of one bucket at a time."""
     spark = routed.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     ttl_ms = int(spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP'1970-01-01 00:00:00Z' + INTERVAL {ttl}) AS LONG)").first()[0])
@@ -79,7 +112,10 @@ def expire_stream(routed: DataFrame, processed: DataFrame, ttl: str = "10 second
         if df is not None:
             at = at if df is processed else at.cast("timestamp")
             rows = rows.unionByName(tagged(df.filter("message_id IS NOT NULL"), at, False, none, none))
-    out = rows.withColumn("at_ms", F.unix_millis("at")).groupBy(*KEY, "own").transformWithState(
+    bucket = F.pmod(F.xxhash64(*KEY, "own"), F.lit(buckets)).cast("int").alias("bucket")
+    # the processor takes the columns by place
+    rows = rows.select(bucket, *KEY, "own", "target_queue", "is_routed", "at", F.unix_millis("at").alias("at_ms"))
+    out = rows.groupBy("bucket").transformWithState(
         statefulProcessor=Expiry(ttl_ms), outputStructType="original_queue string, benchmark_id string, message_id string, failed_ms long",
         outputMode="Append", timeMode="EventTime")
     return out.select("original_queue", *KEY, F.lit("message expired").alias("error"), F.lit("expired").alias("reason"),
