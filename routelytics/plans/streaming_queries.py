@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 from ..sinks.commits import CommitLog, read_committed
-from ..sources.messages import message_columns, stream_path, table_path
+from ..sources.messages import message_columns, read_table, stream_path, table_path
 from ..sources.seed import SEED_RULES
 from ..streaming.consumers import depth_deltas_stream, live_metrics_stream, running_depth_stream, start_urgent_consumer
 from ..streaming.counters import running_counters
@@ -21,6 +22,27 @@ from . import fixture as FX
 from .catalog import EXPIRY_NOW_MS, EXPIRY_TTL_MS, ORACLE, query
 
 
+#: Events whose rows make a file of a derived topic, micro-batches a topic is read in at
+#: least, and files a router's micro-batch, which is cached, takes at most.
+FILE_EVENTS, BATCHES, ROUTED_FILES = 100_000, 3, 48
+
+
+def _topic(spark: SparkSession, sf: str, df: DataFrame, path: str) -> tuple[StructType, int]:
+    """Write ``df``, rows derived from ``events``, as files; their schema and number, which
+    grows with the events, so that no task is given more rows of larger tables."""
+    files = max(BATCHES, -(-read_table(spark, sf, "events").count() // FILE_EVENTS))
+    df.repartition(files).write.parquet(path)
+    return df.schema, files
+
+
+def _topic_stream(spark: SparkSession, sf: str, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """A stream of ``df`` in ``BATCHES`` micro-batches, or more where one would take over ``most`` files."""
+    path = scratch_path(spark, name)
+    schema, files = _topic(spark, sf, df, path)
+    each = -(-files // BATCHES)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", min(each, most or each)).parquet(path)
+
+
 def _run_router(spark: SparkSession, sf: str) -> str:
     path = table_path(sf, "events")
     schema = spark.read.parquet(path).schema
@@ -45,10 +67,8 @@ def stream_route_counts(spark, sf) -> DataFrame:
 def stream_raw_route_counts(spark, sf) -> DataFrame:
     """ST1 on raw text, over several micro-batches: rules see the JSON values, as in the
     batch form."""
-    src, out = scratch_path(spark, "raw-topic"), scratch_path(spark, "stream-raw")
-    feed = FX.raw_feed(spark, sf).select("key", "value")
-    feed.repartition(3, "key").write.parquet(src)
-    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = scratch_path(spark, "stream-raw")
+    stream = _topic_stream(spark, sf, FX.raw_feed(spark, sf).select("key", "value"), "raw-topic", ROUTED_FILES)
     route_stream(stream, lambda: SEED_RULES, out, f"{out}/_checkpoint", raw=True, available_now=True).awaitTermination()
     return (read_committed(spark, out, "routed").groupBy("target_queue", "matched_priority")
             .agg(F.count(F.lit(1)).alias("n")))
@@ -83,13 +103,14 @@ def stream_urgent_actions(spark, sf) -> DataFrame:
 DELAY_MS = 40 * 86_400_000
 
 
-def _ended(spark: SparkSession, df: DataFrame, name: str, end: dict) -> DataFrame:
-    """A stream of ``df`` in three files and one last file with a row that ends it."""
+def _ended(spark: SparkSession, sf: str, df: DataFrame, name: str, end: dict) -> DataFrame:
+    """A stream of ``df`` and one last file with a row that ends it, in two micro-batches."""
     path = scratch_path(spark, name)
-    df.repartition(3).write.parquet(f"{path}/rows")
-    last = spark.range(1).select(*[F.lit(end.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    schema, files = _topic(spark, sf, df, f"{path}/rows")
+    last = spark.range(1).select(*[F.lit(end.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
     last.write.parquet(f"{path}/zz-end")
-    return (spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(path))
+    return (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", -(-(files + 1) // 2)).parquet(path))
 
 
 def _end_rows() -> dict:
@@ -105,9 +126,9 @@ def stream_expired(spark, sf) -> DataFrame:
     """ST4: expiry by event-time timers over the dirty log's three streams, as of the
     report's "now": equals the batch form."""
     end, key = _end_rows(), ["benchmark_id", "message_id"]
-    routed = _ended(spark, dirty.history(spark, sf).select(*key, "target_queue", "ts"), "exp-routed", end)
-    done = _ended(spark, dirty.processed(spark, sf).select(*key, "processed_ms"), "exp-processed", end)
-    bad = _ended(spark, dirty.rejected(spark, sf).select(*key, "failed_at"), "exp-rejected", end)
+    routed = _ended(spark, sf, dirty.history(spark, sf).select(*key, "target_queue", "ts"), "exp-routed", end)
+    done = _ended(spark, sf, dirty.processed(spark, sf).select(*key, "processed_ms"), "exp-processed", end)
+    bad = _ended(spark, sf, dirty.rejected(spark, sf).select(*key, "failed_at"), "exp-rejected", end)
     out = scratch_path(spark, "stream-expired")
     letters = expire_stream(routed, done, f"{EXPIRY_TTL_MS // 1000} seconds", f"{DELAY_MS // 1000} seconds", rejected=bad)
     (letters.writeStream.format("parquet").option("path", f"{out}/letters").option("checkpointLocation", f"{out}/_checkpoint")
@@ -119,10 +140,8 @@ def stream_expired(spark, sf) -> DataFrame:
 @query("stream_live_metrics", ORACLE["live_metrics"])
 def stream_live_metrics(spark, sf) -> DataFrame:
     """ST6: the metrics after the last micro-batch equal the endpoint's over the whole history."""
-    path, out = scratch_path(spark, "live-history"), scratch_path(spark, "stream-live")
-    h = FX.history(spark, sf)
-    h.repartition(3).write.parquet(path)
-    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(spark, "stream-live")
+    stream = _topic_stream(spark, sf, FX.history(spark, sf), "live-history")
     live_metrics_stream(stream, out, f"{out}/_checkpoint", available_now=True).awaitTermination()
     return CommitLog(spark, out).last("metrics")
 
@@ -135,7 +154,7 @@ def stream_queue_depth(spark, sf) -> DataFrame:
     # the consumers' logs: a message is processed or rejected, by the consumer of its queue
     done = FX.processed(spark, sf).join(bad.select(*key), key, "left_anti").select(*key, "target_queue", "processed_ms")
     bad = bad.join(h.select(*key, F.col("target_queue").alias("original_queue")), key)
-    streams = [_ended(spark, df, f"depth-{i}", end) for i, df in enumerate((h.select(*key, "target_queue", "ts"), done, bad))]
+    streams = [_ended(spark, sf, df, f"depth-{i}", end) for i, df in enumerate((h.select(*key, "target_queue", "ts"), done, bad))]
     out = scratch_path(spark, "stream-depth")
     nets = depth_deltas_stream(*streams[:2], delay=f"{DELAY_MS // 1000} seconds", rejected_stream=streams[2])
     running_depth_stream(nets, out, f"{out}/_checkpoint", available_now=True).awaitTermination()
@@ -148,11 +167,7 @@ def stream_queue_depth(spark, sf) -> DataFrame:
 def stream_counters(spark, sf) -> DataFrame:
     """The running counters after the last micro-batch of the dirty logs."""
     tables = {"processed": dirty.processed(spark, sf), "letters": dirty.rejected(spark, sf)}
-    streams = []
-    for name, df in tables.items():
-        path = scratch_path(spark, f"counters-{name}")
-        df.repartition(3).write.parquet(path)
-        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    streams = [_topic_stream(spark, sf, df, f"counters-{name}") for name, df in tables.items()]
     out = scratch_path(spark, "stream-counters")
     running_counters(*streams, out, f"{out}/_checkpoint", available_now=True).awaitTermination()
     return CommitLog(spark, out).last("counters")

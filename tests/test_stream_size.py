@@ -1,10 +1,14 @@
 """What a stream keeps and what its tasks are given as the input grows."""
 
 import datetime as dt
+import glob
 
 from pyspark.sql import functions as F
 
-from routelytics.session import scratch_path
+from conftest import SF001
+from routelytics.plans import streaming_queries as S
+from routelytics.plans.catalog import all_queries
+from routelytics.session import ensure_checkpoint_dir, scratch_path
 from routelytics.streaming.expiry import expire_stream
 
 
@@ -33,3 +37,18 @@ def test_expiry_keeps_state_by_bucket(spark):
     assert got.filter("benchmark_id IS NULL").count() == ids.filter("id % 10 > 0 AND benchmark_id IS NULL").count()
     want = ids.filter("id % 10 > 0").select("message_id", (F.col("ts") + F.expr("INTERVAL 10 SECONDS")).alias("failed_at"))
     assert got.select("message_id", "failed_at").exceptAll(want).isEmpty()
+
+
+def test_raw_topic_grows_by_files_and_micro_batches(spark, monkeypatch):
+    monkeypatch.setattr(S, "FILE_EVENTS", 100, raising=False)
+    monkeypatch.setattr(S, "ROUTED_FILES", 2, raising=False)
+    base = ensure_checkpoint_dir(spark)
+    before = set(glob.glob(f"{base}/*"))
+    got = {tuple(r) for r in all_queries()["stream_raw_route_counts"](spark, SF001).collect()}
+    assert got == {tuple(r) for r in all_queries()["route_json_counts"](spark, SF001).collect()}
+    made = set(glob.glob(f"{base}/*")) - before
+    topic, = [p for p in made if "/raw-topic-" in p]
+    out, = [p for p in made if "/stream-raw-" in p]
+    per_file = spark.read.parquet(topic).groupBy(F.input_file_name()).count()
+    assert per_file.agg(F.max("count"), F.sum("count")).first()[:] == (100, 1000)
+    assert len(glob.glob(f"{out}/_commits/*.json")) == 5
