@@ -14,6 +14,7 @@ left; once all pieces left fit several times into a gap, it offers several slots
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import zlib
@@ -35,6 +36,8 @@ CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers (about 150 bytes each), and bytes of text handled at a time.
 CACHE_WORDS, SEGMENT = 600_000, 1 << 20
 SEPARATOR = b"~"
+#: Pieces and slots that one block of a round is given (about; blocks are at most as many as shuffle partitions).
+BLOCK_ROWS = 30_000
 
 
 def word_wise(tokenizer_json: str) -> bool:
@@ -177,6 +180,13 @@ def _worker_ids(tokenizer_json: str) -> WordIds | WholeIds:
     return store[key]
 
 
+def _forget_words() -> None:
+    """Give back what the process remembers of words: the rounds after tokenising need none."""
+    for ids in getattr(sys.modules.get("tokenizers"), "_word_ids", {}).values():
+        if isinstance(ids, WordIds):
+            ids.known.clear()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -196,6 +206,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         import gc
 
         import tokenizers  # noqa: F401
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode = _worker_ids(model.value)
         gc.disable()  # millions of short-lived byte strings and no cycles
         try:
@@ -248,6 +259,7 @@ SWEPT = "kind int, item long, size int, seq long, gap int, block int, place long
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pair gaps and pieces of one sorted block.  kind 2: a pair; 0: a piece and 1: a gap
     without one, with its place among its kind in the block."""
+    _forget_words()
     block, stack, gaps = TaskContext.get().partitionId(), [], 0
     for b in batches:
         rows = []
@@ -318,7 +330,6 @@ def best_fit(lengths: DataFrame, s: Scratch, capacity: int = CAPACITY) -> DataFr
     """(item, size, sequence_id, offset) for a table (item long and unique, size int from
     1 to ``capacity``).  Sequences hold at most ``capacity``, without holes."""
     spark = lengths.sparkSession
-    n = partitions(spark)
     full = lengths.filter(F.col("size") == capacity).select(
         "item", "size", (-F.col("item") - 1).alias("seq"), F.lit(0).alias("round"))
     items = lengths.filter(F.col("size") < capacity).select("item", "size")
@@ -339,6 +350,9 @@ def best_fit(lengths: DataFrame, s: Scratch, capacity: int = CAPACITY) -> DataFr
         rounds += 1
         slots = gaps.filter(F.col("gap") >= span[0]).withColumn(
             "_k", F.greatest(F.lit(1), F.floor(F.col("gap") / span[1]).cast("int")))
+        # a block's task costs the same few 10 ms however few rows it has
+        rows = span[2] + (slots.agg(F.sum("_k")).first()[0] or 0)
+        n = max(1, min(partitions(spark), -(-rows // BLOCK_ROWS)))
         slots = slots.select(F.lit(1).alias("kind"), F.lit(None).cast("long").alias("item"),
                              F.floor(F.col("gap") / F.col("_k")).cast("int").alias("size"), "seq", "gap",
                              F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("slot"))
@@ -350,8 +364,9 @@ def best_fit(lengths: DataFrame, s: Scratch, capacity: int = CAPACITY) -> DataFr
                         .drop("slot").mapInArrow(_sweep, SWEPT), "swept", keep=False)
         left = (swept.filter("kind < 2").groupBy("block").agg(
             F.count(F.when(F.col("kind") == 1, 1)), F.count(F.when(F.col("kind") == 0, 1))).orderBy("block").collect())
-        lone = swept.filter("kind < 2").mapInArrow(
-            _numbered(_across([tuple(r) for r in left])), "kind int, item long, size int, seq long, gap int, pair long")
+        lone = s.table(swept.filter("kind < 2").mapInArrow(
+            _numbered(_across([tuple(r) for r in left])), "kind int, item long, size int, seq long, gap int, pair long"),
+            "lone", keep=False)
         pairs = lone.filter("pair is not null").groupBy("pair").agg(
             *(F.max(c).alias(c) for c in ("item", "size", "seq", "gap")))
         pairs = s.table(swept.filter("kind = 2").select("item", "size", "seq", "gap")
@@ -362,7 +377,7 @@ def best_fit(lengths: DataFrame, s: Scratch, capacity: int = CAPACITY) -> DataFr
         placed.append(pairs.select("item", "size", "seq", F.lit(rounds).alias("round")))
         progress = pairs.count()
         items = s.table(lone.filter("kind = 0 and pair is null").select("item", "size"), "items", keep=False)
-        s.release(but_last=3)
+        s.release(but_last=2)
     # a sequence has at most ``capacity`` pieces, so a window over it is bounded
     w = Window.partitionBy("seq").orderBy("round", F.col("size").desc(), "item")
     return reduce(DataFrame.union, placed).select(
