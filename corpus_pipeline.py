@@ -37,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier, learned from ``labels``, does not reject."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = fit_quality(docs, labels)
-    scored = score_quality(docs.select(_rows(docs).alias("row"), "text"), model, ["row"])
+    scored = score_quality(docs.select(_rows(docs).alias("row")), model, ["row"], within="row")
     return scored.filter(F.col("_score") >= QUALITY_THRESHOLD).select("row.*")
 
 

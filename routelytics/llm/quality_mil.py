@@ -13,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PASSAGE, STRETCH = 64, 1 << 21
+#: Bytes of text whose features are computed at a time: the arrays take about 100 bytes for each.
+FEATURE_STRETCH = 1 << 19
 #: Labelled rows that the fit may use: the first by hash of the id.
 MAX_LABELLED = 3000
 FEATURES = ["upper", "digit", "pipe", "symbol", "exclamation", "punctuation", "period", "comma", "newline",
@@ -114,14 +117,14 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(x, 8).astype(np.float32), owner
 
 
-def _stretches(column) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of a column, about ``STRETCH`` bytes at a time."""
+def _stretches(column, most: int = STRETCH) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of a column, about ``most`` bytes at a time."""
     texts, size, at = [], 0, 0
     for i, t in enumerate(column.cast(pa.large_binary())):
         t = t.as_py() or b""
         texts.append(t)
         size += len(t)
-        if size >= STRETCH:
+        if size >= most:
             yield at, texts
             texts, size, at = [], 0, i + 1
     if texts:
@@ -205,7 +208,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = b.column("y").to_pylist()
-            for at, texts in _stretches(b.column("text")):
+            for at, texts in _stretches(b.column("text"), FEATURE_STRETCH):
                 x, owner = passage_features(texts)
                 bags = [x[a:z].tobytes() for a, z in zip(_segments(owner), [*_segments(owner)[1:], len(x)])]
                 yield pa.RecordBatch.from_arrays([pa.array(y[at:at + len(texts)], pa.int32()), pa.array(bags, pa.binary())], ["y", "bag"])
@@ -222,20 +225,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     return model.fit(np.concatenate(bags).astype(np.float64), owner, np.array([r.y for r in rows], float))
 
 
-def score_quality(docs: DataFrame, model: GatedAttention, carry: list[str], text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: GatedAttention, carry: list[str], text_col: str = "text",
+                  within: str | None = None) -> DataFrame:
     """The ``carry`` columns of ``docs`` with score (0 to 1, higher: better), as ``_score``.
-    Null and empty texts are one empty passage.  Whole texts are scored; their passages
-    are weighed together however many they are."""
-    src = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("_text"))
+    ``within``: a carried struct that holds the text, which then is not sent to the workers
+    twice.  Null and empty texts are one empty passage.  Whole texts are scored; their
+    passages are weighed together however many they are."""
+    text = [] if within else [F.col(text_col).alias("_text")]
+    src = docs.select(*[F.col(c) for c in carry], *text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [model.score(*passage_features(texts)) for _, texts in _stretches(b.column(len(carry)))]
+            column = pc.struct_field(b.column(within), text_col) if within else b.column(len(carry))
+            scores = [model.score(*passage_features(texts)) for _, texts in _stretches(column, FEATURE_STRETCH)]
             if scores:
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], [*b.schema.names[:-1], "_score"])
+                    [*b.columns[:len(carry)], pa.array(np.concatenate(scores), pa.float64())], [*b.schema.names[:len(carry)], "_score"])
 
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*src.schema.fields[:len(carry)], T.StructField("_score", T.DoubleType())])
     return src.mapInArrow(run, schema)
 
 
